@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import duckdb_checks  # noqa: E402
 from patronscope.config import CustomerFilter, HeatmapBands, SegmentationConfig  # noqa: E402
 from patronscope.functions.numeric import round_half_even  # noqa: E402
+from patronscope.functions.order_stats import GlobalOrder  # noqa: E402
 from patronscope.operators import explorer, reports, rfm, segments  # noqa: E402
 from patronscope.operators import clustering as cl  # noqa: E402
 from patronscope.operators import features as ft  # noqa: E402
@@ -53,14 +54,14 @@ def _rfm(spark: SparkSession, folder: str, workspace: Workspace | None = None) -
     return rfm.rfm_base(_clean(spark, folder), workspace or Workspace(spark))
 
 
-def _scored(spark: SparkSession, folder: str, workspace: Workspace | None = None) -> DataFrame:
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
     lines = transactions.from_order_tables(spark, folder)
-    return pipeline.score_customers(lines, workspace or Workspace(spark))
+    return pipeline.score_customers(lines, Workspace(spark))[0]
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
-    workspace = Workspace(spark)
-    return pipeline.prepare_features(_scored(spark, folder, workspace), CONFIG, workspace)
+    lines = transactions.from_order_tables(spark, folder)
+    return pipeline.prepare_features(lines, CONFIG, Workspace(spark))
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,27 +93,33 @@ def _rfm_base_events(spark: SparkSession, folder: str) -> DataFrame:
     return rfm.rfm_base(sales, Workspace(spark))
 
 
-def _rfm_ranks(spark: SparkSession, folder: str) -> DataFrame:
+def _ordered(spark: SparkSession, folder: str) -> tuple[DataFrame, GlobalOrder]:
     workspace = Workspace(spark)
-    return rfm.rfm_ranks(rfm.metric_order(_rfm(spark, folder, workspace), workspace))
+    base = _rfm(spark, folder, workspace)
+    return base, rfm.metric_order(base, workspace)
+
+
+def _rfm_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return rfm.rfm_ranks(_ordered(spark, folder)[1])
 
 
 def _outlier_caps(spark: SparkSession, folder: str) -> DataFrame:
-    caps = ft.outlier_caps(_rfm(spark, folder), CONFIG.cap_quantiles)
+    caps = ft.outlier_caps(_ordered(spark, folder)[1], CONFIG.cap_quantiles)
     return _six(caps, "recency_cap", "frequency_cap", "monetary_cap")
 
 
+def _capped(spark: SparkSession, folder: str) -> DataFrame:
+    base, order = _ordered(spark, folder)
+    return ft.capped_features(base, ft.outlier_caps(order, CONFIG.cap_quantiles))
+
+
 def _capped_features(spark: SparkSession, folder: str) -> DataFrame:
-    base = _rfm(spark, folder)
-    capped = ft.capped_features(base, ft.outlier_caps(base, CONFIG.cap_quantiles))
     names = ["recency_capped", "frequency_capped", "monetary_capped"]
-    return _six(capped.select("customer_id", *names), *names)
+    return _six(_capped(spark, folder).select("customer_id", *names), *names)
 
 
 def _scaled_features(spark: SparkSession, folder: str) -> DataFrame:
-    base = _rfm(spark, folder)
-    capped = ft.capped_features(base, ft.outlier_caps(base, CONFIG.cap_quantiles))
-    scaled = ft.scaled_features(capped, ft.feature_stats(capped))
+    scaled = ft.scaled_features(_capped(spark, folder))
     return _six(scaled.select("customer_id", *ft.FEATURES), *ft.FEATURES)
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from patronscope.sources.small import small_table
 from patronscope.sources.workspace import Workspace
@@ -82,13 +81,10 @@ def global_order(
     return GlobalOrder(rows, tasks, starts, total)
 
 
-def long_metrics(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """One row per (row, metric) with columns ``by``, ``metric`` and ``value``; no nulls or NaN."""
-    doubles = [F.col(v).cast("double").alias(v) for v in values]
-    return (
-        df.select(*by, *doubles)
-        .unpivot([F.col(b) for b in by], list(values), "metric", "value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+def clean_values(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The ``by`` columns and the values as doubles, with null in place of NaN."""
+    return df.select(
+        *by, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values]
     )
 
 
@@ -96,87 +92,42 @@ def exact_quantiles(
     df: DataFrame,
     values: Sequence[str],
     fractions: Sequence[float],
-    by: Sequence[str] = (),
+    by: str,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, in rows (``by``, metric, fraction, n, quantile).
+    """Exact linear-interpolated quantiles per group, as one array column per value column.
 
     ``by`` must have few distinct values, such as segments. Two passes over ``df``, neither of which
-    moves its rows: mergeable sketches bracket each wanted order statistic to within a few
-    ``1/accuracy`` of the rows, then values inside the bracket are counted exactly. Only distinct
-    values inside brackets are shuffled. Small groups use the whole range as their bracket.
+    moves its rows. The first brackets each wanted quantile with mergeable sketches. The second
+    clamps every value to the bracket, which leaves the order statistics inside it in place, and
+    takes the exact percentile of that; its buffers hold only the distinct values of a bracket, a
+    few ``1/accuracy`` of the group. Small groups use the whole range as their bracket.
     """
-    by = list(by)
-    group = [*by, "metric"]
-    long = long_metrics(df, values, by)
+    rows = clean_values(df, values, [by])
     # A sketch may be off by 1/accuracy on either side; three times that leaves room for rounding.
     margin = 3.0 / accuracy
-    levels = [
-        level for f in fractions for level in (max(0.0, f - margin), min(1.0, f + margin))
-    ]
-    sketch = long.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [float(x) for x in levels], accuracy).alias("marks"),
-    )
-    narrow = F.col("n") >= 4 * accuracy
-    targets = sketch.select(
-        *group,
-        "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(f)).alias("fraction"),
-                        F.when(narrow, F.col("marks")[2 * i]).otherwise(float("-inf")).alias("lo"),
-                        F.when(narrow, F.col("marks")[2 * i + 1])
-                        .otherwise(float("inf"))
-                        .alias("hi"),
-                    )
-                    for i, f in enumerate(fractions)
-                ]
-            )
-        ),
-    )
-    counts = (
-        # Groups x metrics x fractions rows, so the broadcast does not grow with the data.
-        long.join(F.broadcast(targets), group)
-        .where(F.col("value") <= F.col("hi"))
-        .withColumn("inside", F.when(F.col("value") >= F.col("lo"), F.col("value")))
-        .groupBy(*group, "fraction", "n", "inside")
-        .agg(F.count("*").alias("rows"))
-    )
-    rising = (
-        Window.partitionBy(*group, "fraction")
-        .orderBy(F.col("inside").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    place = F.col("fraction") * (F.col("n") - 1)
-    reached = counts.withColumn("upto", F.sum("rows").over(rising)).withColumn("place", place)
-    picked = reached.groupBy(*group, "fraction", "n", "place").agg(
-        _value_at(F.floor("place")).alias("low"),
-        _value_at(F.ceil("place")).alias("high"),
-        F.coalesce(F.max(F.when(F.col("inside").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
-    )
-    missed = (
-        (F.col("below") > F.floor("place")) | F.col("low").isNull() | F.col("high").isNull()
+    levels = [level for f in fractions for level in (max(0.0, f - margin), min(1.0, f + margin))]
+    sketch = rows.groupBy(by).agg(
+        *[F.count(v).alias(f"{v}_n") for v in values],
+        *[F.percentile_approx(v, levels, accuracy).alias(f"{v}_marks") for v in values],
     )
-    share = F.col("place") - F.floor("place")
-    return picked.select(
-        *group,
-        "fraction",
-        "n",
-        F.when(missed, F.raise_error(F.lit("quantile outside its bracket; raise accuracy")))
-        .otherwise(F.col("low") + (F.col("high") - F.col("low")) * share)
-        .cast("double")
-        .alias("quantile"),
-    )
-
-
-def _value_at(place: Column) -> Column:
-    return F.min(F.when(F.col("upto") > place, F.col("inside")))
 
+    def clamped(value: str, at: int) -> Column:
+        narrow = F.col(f"{value}_n") >= 4 * accuracy
+        low = F.when(narrow, F.col(f"{value}_marks")[2 * at])
+        high = F.when(narrow, F.col(f"{value}_marks")[2 * at + 1])
+        # greatest() and least() skip nulls, so an absent bracket leaves the value as it is, but an
+        # absent value would turn into the bracket.
+        return F.when(F.col(value).isNotNull(), F.least(F.greatest(value, low), high))
 
-def quantile_of(metric: str, fraction: float) -> Column:
-    """Aggregate that picks one quantile from the rows of :func:`exact_quantiles`."""
-    wanted = (F.col("metric") == metric) & (F.col("fraction") == F.lit(float(fraction)))
-    return F.max(F.when(wanted, F.col("quantile")))
+    return (
+        # One row per group.
+        rows.join(F.broadcast(sketch), by)
+        .groupBy(by)
+        .agg(
+            *[
+                F.array(*[F.percentile(clamped(v, i), f) for i, f in enumerate(fractions)]).alias(v)
+                for v in values
+            ]
+        )
+    )

@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from patronscope.catalog import METRICS
-from patronscope.functions.order_stats import exact_quantiles, quantile_of
+from patronscope.functions.order_stats import GlobalOrder
+from patronscope.operators.rfm import customer_count
+from patronscope.sources.small import small_table
 
 FEATURES = tuple(f"z_{metric}" for metric in METRICS)
 
 
-def outlier_caps(rfm: DataFrame, quantiles: Mapping[str, float]) -> DataFrame:
-    """One row with the upper limit of each metric."""
-    found = exact_quantiles(rfm, METRICS, sorted(set(quantiles.values())))
-    return found.agg(*[quantile_of(m, quantiles[m]).alias(f"{m}_cap") for m in METRICS])
+def outlier_caps(order: GlobalOrder, quantiles: Mapping[str, float]) -> DataFrame:
+    """One row with the exact, linear-interpolated upper quantile of each metric.
+
+    The two neighbouring values of each quantile are looked up in the sorted metric table.
+    """
+    customers = customer_count(order)
+    places = {m: quantiles[m] * (customers - 1) for m in METRICS} if customers else {}
+    ends = {
+        (m, step): i * customers + step(places[m])
+        for i, m in enumerate(METRICS)
+        if m in places
+        for step in (math.floor, math.ceil)
+    }
+    rows = order.rows_at(set(ends.values()))
+    caps = []
+    for m, place in places.items():
+        low, high = (rows[ends[m, step]]["value"] for step in (math.floor, math.ceil))
+        caps.append(low + (high - low) * (place - math.floor(place)))
+    return small_table(
+        order.rows.sparkSession,
+        [tuple(caps or [None] * len(METRICS))],
+        ", ".join(f"{m}_cap double" for m in METRICS),
+    )
 
 
 def capped_features(rfm: DataFrame, caps: DataFrame) -> DataFrame:
     """Add ``*_capped`` columns; the metrics themselves keep their raw values."""
-    limits = caps.select(F.struct(*[f"{m}_cap" for m in METRICS])).scalar()
+    limits = caps.first()
     return rfm.select(
         *rfm.columns,
         *[
-            F.least(F.col(m).cast("double"), limits[f"{m}_cap"]).alias(f"{m}_capped")
+            F.least(F.col(m).cast("double"), F.lit(limits[f"{m}_cap"])).alias(f"{m}_capped")
             for m in METRICS
         ],
     )
@@ -39,14 +61,14 @@ def feature_stats(capped: DataFrame) -> DataFrame:
     )
 
 
-def scaled_features(capped: DataFrame, stats: DataFrame) -> DataFrame:
+def scaled_features(capped: DataFrame) -> DataFrame:
     """Replace the capped columns by standardised ``z_*`` columns; a constant metric becomes 0."""
-    found = stats.select(F.struct("*")).scalar()
+    stats = feature_stats(capped).first()
+    kept = [c for c in capped.columns if not c.endswith("_capped")]
+    return capped.select(*kept, *[_standardised(m, stats).alias(f"z_{m}") for m in METRICS])
 
-    def standardised(metric: str):
-        spread = found[f"{metric}_std"]
-        centred = F.col(f"{metric}_capped") - found[f"{metric}_mean"]
-        return F.when(spread == 0, 0.0).otherwise(centred / spread)
 
-    kept = [c for c in capped.columns if not c.endswith("_capped")]
-    return capped.select(*kept, *[standardised(m).alias(f"z_{m}") for m in METRICS])
+def _standardised(metric: str, stats: Row) -> Column:
+    if not stats[f"{metric}_std"]:
+        return F.lit(0.0)
+    return (F.col(f"{metric}_capped") - stats[f"{metric}_mean"]) / stats[f"{metric}_std"]

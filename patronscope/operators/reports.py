@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from patronscope.catalog import ALL_CUSTOMERS, METRICS
 from patronscope.config import CustomerFilter, HeatmapBands
 from patronscope.functions.numeric import band, exact_total, round_half_even
-from patronscope.functions.order_stats import exact_quantiles, long_metrics, quantile_of
+from patronscope.functions.order_stats import clean_values, exact_quantiles
 from patronscope.operators.segments import in_display_order
 from patronscope.sources.small import small_table
 
@@ -161,42 +161,34 @@ def box_stats(df: DataFrame, by: str) -> DataFrame:
     Quartiles are linear-interpolated. A whisker ends at the last value within 1.5 interquartile
     ranges of its quartile, or at the quartile if there is none.
     """
-    quartiles = (
-        exact_quantiles(df, METRICS, QUARTILES, by=[by])
-        .groupBy(by, "metric")
-        .agg(*[quantile_of_any(f).alias(n) for f, n in zip(QUARTILES, ("q1", "median", "q3"))])
-        .withColumn("reach", 1.5 * (F.col("q3") - F.col("q1")))
-    )
-    value = F.col("value")
-    inside_lo = value >= F.col("q1") - F.col("reach")
-    inside_hi = value <= F.col("q3") + F.col("reach")
-    return (
-        long_metrics(df, METRICS, [by])
-        # One row per group and metric.
-        .join(F.broadcast(quartiles), [by, "metric"])
-        .groupBy(by, "metric", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside_lo, value)).alias("lowest"),
-            F.max(F.when(inside_hi, value)).alias("highest"),
+    quartiles = exact_quantiles(df, METRICS, QUARTILES, by)
+    found = quartiles.select(by, *[F.col(m).alias(f"{m}_q") for m in METRICS])
+
+    def box(metric: str) -> Column:
+        value, q = F.col(metric), F.col(f"{metric}_q")
+        reach = 1.5 * (q[2] - q[0])
+        inside_lo = value >= q[0] - reach
+        inside_hi = value <= q[2] + reach
+        q1, median, q3 = (F.first(q[i]) for i in range(3))
+        return F.struct(
+            F.lit(metric).alias("metric"),
+            q1.alias("q1"),
+            median.alias("median"),
+            q3.alias("q3"),
+            F.least(F.min(F.when(inside_lo, value)), q1).alias("whisker_lo"),
+            F.greatest(F.max(F.when(inside_hi, value)), q3).alias("whisker_hi"),
             F.count_if(~(inside_lo & inside_hi)).alias("n_outliers"),
-            (F.sum(value.cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean"),
-        )
-        .select(
-            by,
-            "metric",
-            "q1",
-            "median",
-            "q3",
-            F.least("lowest", "q1").alias("whisker_lo"),
-            F.greatest("highest", "q3").alias("whisker_hi"),
-            "n_outliers",
-            "mean",
+            F.try_divide(exact_total(value), F.count(value)).alias("mean"),
         )
-    )
-
 
-def quantile_of_any(fraction: float) -> Column:
-    return F.max(F.when(F.col("fraction") == F.lit(float(fraction)), F.col("quantile")))
+    return (
+        clean_values(df, METRICS, [by])
+        # One row per group.
+        .join(F.broadcast(found), by)
+        .groupBy(by)
+        .agg(F.array(*[box(m) for m in METRICS]).alias("boxes"))
+        .select(by, F.inline("boxes"))
+    )
 
 
 def segment_box_stats(labelled: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.catalog import METRICS
-from patronscope.functions.order_stats import GlobalOrder, global_order, long_metrics
+from patronscope.functions.order_stats import GlobalOrder, global_order
 from patronscope.sources.workspace import Workspace
 
 QUINTILES = 5
@@ -31,7 +31,8 @@ def rfm_base(clean_tx: DataFrame, workspace: Workspace) -> DataFrame:
         ),
         "customers",
     )
-    snapshot = customers.agg(F.max("last_ts") + F.expr("interval 1 day")).scalar()
+    latest = customers.agg(F.max("last_ts").cast("string")).first()[0]
+    snapshot = F.lit(latest).cast("timestamp_ntz") + F.expr("interval 1 day")
     # Elapsed time cut to whole days. An interval of zone-free timestamps does not depend on the
     # session time zone, unlike timestampdiff.
     days = F.extract(F.lit("DAY"), snapshot - F.col("last_ts"))
@@ -45,15 +46,21 @@ def metric_order(rfm: DataFrame, workspace: Workspace) -> GlobalOrder:
 
     Ties go by customer id, which also makes every row's key unique.
     """
-    long = long_metrics(rfm, METRICS, ["customer_id"])
-    number = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric"))
-    numbered = long.select((number - 1).cast("int").alias("metric_no"), "value", "customer_id")
-    return global_order(numbered, ["metric_no", "value", "customer_id"], workspace, "metric-order")
+    values = [
+        F.struct(F.lit(i).alias("metric_no"), F.col(m).cast("double").alias("value"))
+        for i, m in enumerate(METRICS)
+    ]
+    long = rfm.select(F.inline(F.array(*values)), "customer_id")
+    return global_order(long, ["metric_no", "value", "customer_id"], workspace, "metric-order")
+
+
+def customer_count(order: GlobalOrder) -> int:
+    return order.total // len(METRICS)
 
 
 def rfm_ranks(order: GlobalOrder) -> DataFrame:
     """1-based rank of each customer in each metric, smallest value first."""
-    customers = order.total // len(METRICS)
+    customers = customer_count(order)
     rank = F.col("position") - F.col("metric_no") * customers + 1
     return (
         order.with_position()
@@ -74,9 +81,7 @@ def rfm_scores(rfm: DataFrame, order: GlobalOrder) -> DataFrame:
     the first four quintiles. Those twelve rows are looked up in the sorted table, so scoring is a
     projection and shuffles nothing.
     """
-    customers, rest = divmod(order.total, len(METRICS))
-    if rest:
-        raise ValueError("every customer needs a value in every metric")
+    customers = customer_count(order)
     if customers < 2:
         raise ValueError(f"quintiles need at least two customers, found {customers}")
     ends = [(b * (customers - 1)) // QUINTILES for b in range(1, QUINTILES)]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from patronscope.catalog import PLAYBOOK, SEGMENTS, Play
 from patronscope.functions.numeric import round_half_even
-from patronscope.functions.order_stats import exact_quantiles, quantile_of
+from patronscope.functions.order_stats import exact_quantiles
 from patronscope.sources.small import small_table
 
 
@@ -30,13 +30,10 @@ def cluster_ranking(assigned: DataFrame) -> DataFrame:
     ``assigned`` holds ``rfm_score``, ``monetary`` and ``cluster``. The window runs over one row per
     cluster.
     """
-    medians = (
-        exact_quantiles(assigned, ["rfm_score", "monetary"], [0.5], by=["cluster"])
-        .groupBy("cluster")
-        .agg(
-            quantile_of("rfm_score", 0.5).alias("med_rfm"),
-            quantile_of("monetary", 0.5).alias("med_monetary"),
-        )
+    medians = exact_quantiles(assigned, ["rfm_score", "monetary"], [0.5], "cluster").select(
+        "cluster",
+        F.col("rfm_score")[0].alias("med_rfm"),
+        F.col("monetary")[0].alias("med_monetary"),
     )
     best_first = Window.orderBy(
         F.desc("med_rfm"), F.desc("med_monetary"), F.asc("cluster")

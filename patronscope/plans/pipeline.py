@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 
 from patronscope.catalog import SEGMENTS
 from patronscope.config import SegmentationConfig
+from patronscope.functions.order_stats import GlobalOrder
 from patronscope.operators.clean import clean_transactions
 from patronscope.operators.clustering import assign_centroid, fit_kmeans, k_sweep
 from patronscope.operators.features import (
     capped_features,
-    feature_stats,
     outlier_caps,
     scaled_features,
 )
@@ -42,19 +42,20 @@ from patronscope.sources.tables import (
 from patronscope.sources.workspace import Workspace
 
 
-def score_customers(tx: DataFrame, workspace: Workspace) -> DataFrame:
-    """Transactions to customers with RFM values and scores."""
+def score_customers(tx: DataFrame, workspace: Workspace) -> tuple[DataFrame, GlobalOrder]:
+    """Transactions to customers with RFM values and scores, and the order the scores rest on."""
     rfm = rfm_base(clean_transactions(tx), workspace)
-    return rfm_scores(rfm, metric_order(rfm, workspace))
+    order = metric_order(rfm, workspace)
+    return rfm_scores(rfm, order), order
 
 
 def prepare_features(
-    scored: DataFrame, config: SegmentationConfig, workspace: Workspace
+    tx: DataFrame, config: SegmentationConfig, workspace: Workspace
 ) -> DataFrame:
     """Scored customers with standardised features, stored for the passes of clustering."""
-    caps = pin(outlier_caps(scored, config.cap_quantiles))
-    capped = capped_features(scored, caps)
-    return workspace.save(scaled_features(capped, feature_stats(capped)), "features")
+    scored, order = score_customers(tx, workspace)
+    capped = capped_features(scored, outlier_caps(order, config.cap_quantiles))
+    return workspace.save(scaled_features(capped), "features")
 
 
 def label_customers(
@@ -95,7 +96,7 @@ def run(
     workspace = workspace or Workspace(tx.sparkSession)
     spark = tx.sparkSession
     try:
-        features = prepare_features(score_customers(tx, workspace), config, workspace)
+        features = prepare_features(tx, config, workspace)
         sweep = k_sweep(features, config.sweep_ks, config.sweep_n_init, config.random_state)
         final = fit_kmeans(features, config.k_final, config.n_init, config.random_state)
         labelled = workspace.save(label_customers(features, final.centers), "labelled")

@@ -26,6 +26,22 @@ PUBLISHED_NAMES = {
 }
 
 
+# The columns read from the order and event tables, declared so that no job infers them.
+ORDER_TABLES = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+        "l_returnflag string"
+    ),
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(ORDER_TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
 def canonical(tx: DataFrame) -> DataFrame:
     """Select the five transaction columns, under their own or their published names."""
     present = set(tx.columns)
@@ -76,19 +92,17 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     cleaning rule has rows to act on. The joins carry no hints: Spark broadcasts ``part`` or
     ``orders`` when their measured size allows it and sorts and merges otherwise.
     """
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    parts = spark.read.parquet(f"{folder}/part.parquet")
+    lines = _table(spark, folder, "lineitem")
+    orders = _table(spark, folder, "orders")
+    parts = _table(spark, folder, "part")
     few = F.col("l_quantity") < 5
-    order_text = F.col("o_orderkey").cast("string")
+    prefix = F.when(F.col("l_returnflag") == "R", "C").otherwise("")
     price = F.col("p_retailprice").cast(T.DecimalType(18, 2))
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(parts, lines.l_partkey == parts.p_partkey)
         .select(
-            F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), order_text))
-            .otherwise(order_text)
-            .alias("invoice_no"),
+            F.concat(prefix, F.col("o_orderkey").cast("string")).alias("invoice_no"),
             F.col("o_orderdate").alias("invoice_ts"),
             F.when(F.col("o_custkey") % 97 != 0, F.col("o_custkey")).alias("customer_id"),
             F.when((F.col("l_linenumber") == 7) & few, -F.col("l_quantity"))
@@ -104,7 +118,7 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def from_events(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases in the table ``events`` as transactions with a time of day."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = _table(spark, folder, "events")
     return events.where(F.col("event_type") == "purchase").select(
         F.col("event_id").cast("string").alias("invoice_no"),
         F.col("ts").alias("invoice_ts"),
