@@ -1,25 +1,25 @@
-"""K-Means on the standardised metrics, with assignment and quality measures."""
+"""Clusters of customers in feature space: assignment, choice of model, and quality."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
-from dataclasses import dataclass
-from typing import Any
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.operators.features import FEATURES
+from patronscope.operators.kmeans import Clustering, fit_models, training_points
 from patronscope.sources.small import small_table
 
+# Functions of this module travel to tasks by value: workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Above this many customers the pairwise silhouette gives way to its linear, squared form.
 PAIRWISE_LIMIT = 50_000
 # Distances held at once while computing pairwise silhouettes: 8 bytes each, so 32 MB.
@@ -29,18 +29,11 @@ EUCLIDEAN = "euclidean"
 SQUARED = "squared_euclidean"
 
 
-@dataclass(frozen=True)
-class Clustering:
-    """Centres in feature space and the sum of squared distances to them."""
-
-    centers: tuple[tuple[float, ...], ...]
-    inertia: float
-
-
-def assign_centroid(features: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
-    """Add the nearest centre's number and squared distance; ties go to the lower number.
+def nearest_center(centers: Sequence[Sequence[float]]) -> Column:
+    """Struct of the squared distance to the nearest centre and that centre's number.
 
-    The centres become literals of one projection, so no join and no Python worker is involved.
+    The centres are literals, so assignment is one projection without join or Python worker. Ties go
+    to the lower number.
     """
     candidates = []
     for number, center in enumerate(centers):
@@ -49,8 +42,12 @@ def assign_centroid(features: DataFrame, centers: Sequence[Sequence[float]]) ->
         for gap in gaps[1:]:
             dist2 = dist2 + gap * gap
         candidates.append(F.struct(dist2.alias("dist2"), F.lit(number).alias("cluster")))
-    nearest = F.array_min(F.array(*candidates))
-    return features.withColumn("nearest", nearest).select(
+    return F.array_min(F.array(*candidates))
+
+
+def assign_centroid(features: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """Add the nearest centre's number as ``cluster`` and its squared distance as ``dist2``."""
+    return features.withColumn("nearest", nearest_center(centers)).select(
         *features.columns, F.col("nearest.cluster"), F.col("nearest.dist2")
     )
 
@@ -60,20 +57,26 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 
 def fit_kmeans(
-    features: DataFrame,
-    k: int,
-    starts: int,
-    seed: int,
-    max_iter: int = 300,
-    tol: float = 1e-4,
-    parallelism: int = 8,
+    features: DataFrame, k: int, starts: int, seed: int, max_iter: int = 300, tol: float = 1e-4
 ) -> Clustering:
-    """Best of ``starts`` MLlib fits by training cost."""
-    with _cached_vectors(features) as vectors:
-        if vectors.count() < k:
-            raise ValueError(f"K-Means with k={k} needs at least {k} customers")
-        jobs = [(k, seed + i) for i in range(starts)]
-        return _best_fits(vectors, jobs, max_iter, tol, parallelism)[k]
+    """The best of ``starts`` models by inertia."""
+    return _best_of_starts(features, [k], starts, seed, max_iter, tol)[k]
+
+
+def _best_of_starts(
+    features: DataFrame, ks: Sequence[int], starts: int, seed: int, max_iter: int, tol: float
+) -> dict[int, Clustering]:
+    jobs = [(k, seed + i) for k in ks for i in range(starts)]
+    with training_points(features) as points:
+        n = points.count()
+        if n < max(ks):
+            raise ValueError(f"{max(ks)} clusters need at least as many customers, found {n}")
+        models = fit_models(points, jobs, max_iter, tol)
+    best: dict[int, Clustering] = {}
+    for (k, _), model in zip(jobs, models):
+        if k not in best or model.inertia < best[k].inertia:
+            best[k] = model
+    return best
 
 
 def k_sweep(
@@ -83,7 +86,6 @@ def k_sweep(
     seed: int,
     max_iter: int = 300,
     tol: float = 1e-4,
-    parallelism: int = 8,
     pairwise_limit: int = PAIRWISE_LIMIT,
 ) -> DataFrame:
     """Inertia and silhouette per number of clusters.
@@ -92,134 +94,108 @@ def k_sweep(
     Euclidean one, which needs one pass. Column ``measure`` tells which.
     """
     ks = sorted(set(ks))
-    spark = features.sparkSession
-    with _cached_vectors(features) as vectors:
-        n = vectors.count()
-        if n <= ks[-1]:
-            raise ValueError(f"a sweep up to k={ks[-1]} needs more than {ks[-1]} customers, not {n}")
-        jobs = [(k, seed + i) for k in ks for i in range(starts)]
-        best = _best_fits(vectors, jobs, max_iter, tol, parallelism)
-
-        def quality(k: int) -> tuple[float, str]:
-            return _silhouette(assign_centroid(vectors, best[k].centers), pairwise_limit)
-
-        scores = dict(zip(ks, _in_threads(spark, quality, ks, parallelism)))
+    best = _best_of_starts(features, ks, starts, seed, max_iter, tol)
+    labels = {f"cluster_{k}": nearest_center(best[k].centers)["cluster"] for k in ks}
+    points = features.select(*FEATURES, *[c.alias(name) for name, c in labels.items()])
+    sizes = [[n for n in best[k].sizes if n] for k in ks]
+    scores, measure = _silhouettes(points, list(labels), sizes, pairwise_limit)
     return small_table(
-        spark,
-        [(k, best[k].inertia, *scores[k]) for k in ks],
+        features.sparkSession,
+        [(k, best[k].inertia, score, measure) for k, score in zip(ks, scores)],
         "k int, inertia double, silhouette double, measure string",
     )
 
 
 def silhouette(assigned: DataFrame, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """Mean silhouette of a clustering in one row; see :func:`k_sweep` for the measure."""
-    score, measure = _silhouette(assigned, pairwise_limit)
+    sizes = [row["count"] for row in assigned.groupBy("cluster").count().collect()]
+    (score,), measure = _silhouettes(assigned, ["cluster"], [sizes], pairwise_limit)
     return small_table(
         assigned.sparkSession, [(score, measure)], "silhouette double, measure string"
     )
 
 
-@contextmanager
-def _cached_vectors(features: DataFrame) -> Iterator[DataFrame]:
-    """The features with an MLlib vector column, cached for the many passes of training."""
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    vectors = assembler.transform(features.select(*FEATURES))
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield vectors
-    finally:
-        vectors.unpersist()
-
-
-def _in_threads(
-    spark: SparkSession, work: Callable[[Any], Any], items: Sequence[Any], parallelism: int
-) -> list[Any]:
-    """Run Spark jobs side by side; one small fit alone leaves most of a cluster idle."""
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
-def _best_fits(
-    vectors: DataFrame, jobs: Sequence[tuple[int, int]], max_iter: int, tol: float, parallelism: int
-) -> dict[int, Clustering]:
-    def fit(job: tuple[int, int]) -> Clustering:
-        k, seed = job
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(vectors)
-        centers = tuple(tuple(float(x) for x in c) for c in model.clusterCenters())
-        return Clustering(centers, float(model.summary.trainingCost))
-
-    best: dict[int, Clustering] = {}
-    for (k, _), found in zip(jobs, _in_threads(vectors.sparkSession, fit, jobs, parallelism)):
-        if k not in best or found.inertia < best[k].inertia:
-            best[k] = found
-    return best
-
-
-def _silhouette(assigned: DataFrame, pairwise_limit: int) -> tuple[float, str]:
-    sizes = [row["count"] for row in assigned.groupBy("cluster").count().collect()]
-    used, n = len(sizes), sum(sizes)
-    if not 2 <= used < n:
-        raise ValueError(f"a silhouette needs 2 to {n - 1} clusters for {n} customers, not {used}")
+def _silhouettes(
+    assigned: DataFrame,
+    labels: Sequence[str],
+    sizes: Sequence[Sequence[int]],
+    pairwise_limit: int,
+) -> tuple[list[float], str]:
+    """Mean silhouette of each label column, whose cluster sizes are known."""
+    n = sum(sizes[0])
+    for used in sizes:
+        if not 2 <= len(used) < n:
+            raise ValueError(
+                f"a silhouette of {n} customers needs 2 to {n - 1} clusters, found {len(used)}"
+            )
     if n <= pairwise_limit:
-        return _pairwise_silhouette(assigned), EUCLIDEAN
-    if "features" not in assigned.columns:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        assigned = assembler.transform(assigned)
+        return _pairwise_silhouettes(assigned.select(*FEATURES, *labels), labels), EUCLIDEAN
     evaluator = ClusteringEvaluator(predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    labelled = assigned.select("features", F.col("cluster").cast("double").alias("prediction"))
-    return float(evaluator.evaluate(labelled)), SQUARED
-
-
-def _pairwise_silhouette(assigned: DataFrame) -> float:
-    """Euclidean silhouette against a broadcast of all points, at most ``PAIRWISE_LIMIT`` of them.
-
-    Spark spreads the points over tasks; each task sums distances per cluster block by block and
-    emits two numbers per batch, never pairs.
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(assigned)
+    return [
+        float(
+            evaluator.evaluate(
+                vectors.select("features", F.col(label).cast("double").alias("prediction"))
+            )
+        )
+        for label in labels
+    ], SQUARED
+
+
+def _pairwise_silhouettes(points: DataFrame, labels: Sequence[str]) -> list[float]:
+    """Euclidean silhouettes against a broadcast of all points, at most ``PAIRWISE_LIMIT`` of them.
+
+    Spark spreads the points over tasks. A task takes the distances of a block of its points to all
+    others once, sums them per cluster for every label column, and emits one row of totals.
     """
-    points = assigned.select(*FEATURES, "cluster")
+    context = points.sparkSession.sparkContext
     table = points.toPandas()
-    labels, codes = np.unique(table["cluster"].to_numpy(), return_inverse=True)
-    # Ordered by cluster, so that distances to one cluster are adjacent columns.
-    order = np.argsort(codes, kind="stable")
-    sizes = np.bincount(codes)
-    shared = assigned.sparkSession.sparkContext.broadcast(
-        (table[list(FEATURES)].to_numpy()[order], labels, sizes)
-    )
-
-    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everyone, names, counts = shared.value
-        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    names = [np.unique(table[label]) for label in labels]
+    members = [
+        (table[label].to_numpy()[:, None] == found).astype(float)
+        for label, found in zip(labels, names)
+    ]
+    shared = context.broadcast((table[list(FEATURES)].to_numpy(), names, members))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everyone, found, belongs = shared.value
         step = max(1, PAIRWISE_BLOCK // len(everyone))
+        sums = np.zeros(len(labels))
         for batch in batches:
-            total = 0.0
-            mine = batch[list(FEATURES)].to_numpy()
-            own = np.searchsorted(names, batch["cluster"].to_numpy())
-            for at in range(0, len(mine), step):
-                block, home = mine[at : at + step], own[at : at + step]
-                dist2 = np.zeros((len(block), len(everyone)))
-                for axis in range(everyone.shape[1]):
-                    dist2 += (block[:, axis, None] - everyone[None, :, axis]) ** 2
-                sums = np.add.reduceat(np.sqrt(dist2), firsts, axis=1)
-                rows = np.arange(len(block))
-                others = counts[home] - 1
-                inner = sums[rows, home] / np.maximum(others, 1)
-                outer = sums / counts
-                outer[rows, home] = np.inf
-                nearest = outer.min(axis=1)
-                widest = np.maximum(inner, nearest)
-                valid = (others > 0) & (widest > 0)
-                gap = np.divide(
-                    nearest - inner, widest, out=np.zeros(len(block)), where=valid
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, step):
+                block = [c[at : at + step] for c in columns]
+                gaps = sum(
+                    (axis[:, None] - everyone[:, i]) ** 2
+                    for i, axis in enumerate(block[: everyone.shape[1]])
                 )
-                total += float(gap.sum())
-            yield pd.DataFrame({"total": [total], "n": [len(mine)]})
+                distances = np.sqrt(gaps)
+                for j, label in enumerate(block[everyone.shape[1] :]):
+                    home = np.searchsorted(found[j], label)
+                    sums[j] += _gains(distances @ belongs[j], belongs[j].sum(axis=0), home).sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([float(x)]) for x in sums], names=list(labels)
+        )
 
-    spread = assigned.sparkSession.sparkContext.defaultParallelism
     summed = (
-        points.repartition(spread)
-        .mapInPandas(totals, "total double, n bigint")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        points.repartition(context.defaultParallelism)
+        .mapInArrow(totals, ", ".join(f"{label} double" for label in labels))
+        .agg(*[F.sum(label) for label in labels])
         .first()
     )
     shared.destroy()
-    return summed["total"] / summed["n"]
+    return [total / len(table) for total in summed]
+
+
+def _gains(sums: np.ndarray, sizes: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Silhouette per point from its summed distances to each cluster; 0 for a lone point."""
+    rows = np.arange(len(sums))
+    others = sizes[home] - 1
+    inner = sums[rows, home] / np.maximum(others, 1)
+    outer = sums / sizes
+    outer[rows, home] = np.inf
+    nearest = outer.min(axis=1)
+    widest = np.maximum(inner, nearest)
+    return np.divide(
+        nearest - inner, widest, out=np.zeros(len(sums)), where=(others > 0) & (widest > 0)
+    )
