@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import duckdb_checks  # noqa: E402
 from patronscope.config import CustomerFilter, HeatmapBands, SegmentationConfig  # noqa: E402
-from patronscope.functions.numeric import round_half_even  # noqa: E402
+from patronscope.functions.numeric import half_even  # noqa: E402
 from patronscope.functions.order_stats import GlobalOrder  # noqa: E402
 from patronscope.operators import explorer, reports, rfm, segments  # noqa: E402
 from patronscope.operators import clustering as cl  # noqa: E402
@@ -80,7 +80,7 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
     """Round to six digits, past which two engines' sums of doubles may differ."""
-    return df.withColumns({n: round_half_even(F.col(n), 6) for n in names})
+    return df.withColumns({n: F.expr(half_even(n, 6)) for n in names})
 
 
 def _clean_transactions(spark: SparkSession, folder: str) -> DataFrame:

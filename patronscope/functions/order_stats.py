@@ -6,9 +6,10 @@ from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from patronscope.functions.numeric import double
 from patronscope.sources.small import small_table
 from patronscope.sources.workspace import Workspace
 
@@ -30,13 +31,11 @@ class GlobalOrder:
         offsets = small_table(
             self.rows.sparkSession, list(zip(self.tasks, self.starts)), "task bigint, start bigint"
         )
-        task = F.shiftright("slot", TASK_SHIFT)
-        local = F.col("slot") - F.shiftleft(task, TASK_SHIFT)
         return (
             # One row per task that wrote the order: a few thousand at most.
-            self.rows.withColumn("task", task)
+            self.rows.withColumn("task", F.expr(f"shiftright(slot, {TASK_SHIFT})"))
             .join(F.broadcast(offsets), "task")
-            .withColumn(name, F.col("start") + local)
+            .withColumn(name, F.expr(f"start + slot - shiftleft(task, {TASK_SHIFT})"))
             .drop("task", "start", "slot")
         )
 
@@ -68,8 +67,8 @@ def global_order(
     )
     rows = workspace.save(ordered, name)
     sizes = (
-        rows.groupBy(F.shiftright("slot", TASK_SHIFT).alias("task"))
-        .agg(F.count("*").alias("n"))
+        rows.groupBy(F.expr(f"shiftright(slot, {TASK_SHIFT}) as task"))
+        .agg(F.expr("count(*) as n"))
         .orderBy("task")
         .collect()
     )
@@ -81,11 +80,9 @@ def global_order(
     return GlobalOrder(rows, tasks, starts, total)
 
 
-def clean_values(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The ``by`` columns and the values as doubles, with null in place of NaN."""
-    return df.select(
-        *by, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values]
-    )
+def clean_values(df: DataFrame, values: Sequence[str], by: str) -> DataFrame:
+    """The ``by`` column and the values as doubles, with null in place of NaN."""
+    return df.selectExpr(by, *[f"nullif(cast({v} as double), double('NaN')) as {v}" for v in values])
 
 
 def exact_quantiles(
@@ -103,31 +100,35 @@ def exact_quantiles(
     takes the exact percentile of that; its buffers hold only the distinct values of a bracket, a
     few ``1/accuracy`` of the group. Small groups use the whole range as their bracket.
     """
-    rows = clean_values(df, values, [by])
+    rows = clean_values(df, values, by)
     # A sketch may be off by 1/accuracy on either side; three times that leaves room for rounding.
     margin = 3.0 / accuracy
-    levels = [level for f in fractions for level in (max(0.0, f - margin), min(1.0, f + margin))]
+    levels = ", ".join(
+        double(level) for f in fractions for level in (max(0.0, f - margin), min(1.0, f + margin))
+    )
     sketch = rows.groupBy(by).agg(
-        *[F.count(v).alias(f"{v}_n") for v in values],
-        *[F.percentile_approx(v, levels, accuracy).alias(f"{v}_marks") for v in values],
+        *[
+            F.expr(
+                f"if(count({v}) >= {4 * accuracy}, "
+                f"percentile_approx({v}, array({levels}), {accuracy}), null) as {v}_marks"
+            )
+            for v in values
+        ]
     )
 
-    def clamped(value: str, at: int) -> Column:
-        narrow = F.col(f"{value}_n") >= 4 * accuracy
-        low = F.when(narrow, F.col(f"{value}_marks")[2 * at])
-        high = F.when(narrow, F.col(f"{value}_marks")[2 * at + 1])
+    def quantile(value: str, at: int, fraction: float) -> str:
         # greatest() and least() skip nulls, so an absent bracket leaves the value as it is, but an
         # absent value would turn into the bracket.
-        return F.when(F.col(value).isNotNull(), F.least(F.greatest(value, low), high))
+        low, high = f"{value}_marks[{2 * at}]", f"{value}_marks[{2 * at + 1}]"
+        clamped = f"if({value} is null, null, least(greatest({value}, {low}), {high}))"
+        return f"percentile({clamped}, {double(fraction)})"
+
+    def quantiles(value: str) -> str:
+        return ", ".join(quantile(value, i, f) for i, f in enumerate(fractions))
 
     return (
         # One row per group.
         rows.join(F.broadcast(sketch), by)
         .groupBy(by)
-        .agg(
-            *[
-                F.array(*[F.percentile(clamped(v, i), f) for i, f in enumerate(fractions)]).alias(v)
-                for v in values
-            ]
-        )
+        .agg(*[F.expr(f"array({quantiles(v)}) as {v}") for v in values])
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronscope.functions.numeric import is_floating, positive, present
+from patronscope.functions.numeric import is_floating, positive, present, quoted
 from patronscope.sources.transactions import canonical
 
 # First letters of invoices that are not sales.
@@ -21,37 +21,34 @@ def clean_transactions(tx: DataFrame) -> DataFrame:
     are plain predicates on source columns, so the scan itself skips what statistics rule out.
     """
     tx = canonical(tx)
-    invoice = F.col("invoice_no").cast("string")
-    first_letter = F.coalesce(F.substring(invoice, 1, 1), F.lit(""))
-    return tx.where(
-        present(tx, "customer_id")
-        & ~first_letter.isin(*EXCLUDED_PREFIXES)
-        & positive(tx, "quantity")
-        & positive(tx, "unit_price")
-    ).select(
-        invoice.alias("invoice_no"),
-        F.col("invoice_ts").cast(T.TimestampNTZType()).alias("invoice_ts"),
-        F.col("customer_id").cast("bigint").alias("customer_id"),
+    prefixes = ", ".join(quoted(p) for p in EXCLUDED_PREFIXES)
+    kept = tx.where(
+        f"{present(tx, 'customer_id')} and {positive(tx, 'quantity')} "
+        f"and {positive(tx, 'unit_price')} "
+        f"and coalesce(substring(cast(invoice_no as string), 1, 1), '') not in ({prefixes})"
+    )
+    return kept.selectExpr(
+        "cast(invoice_no as string) as invoice_no",
+        "cast(invoice_ts as timestamp_ntz) as invoice_ts",
+        "cast(customer_id as bigint) as customer_id",
         "quantity",
         "unit_price",
-        _revenue(tx).alias("revenue"),
+        f"{_revenue(tx)} as revenue",
     )
 
 
-def _revenue(tx: DataFrame) -> Column:
+def _revenue(tx: DataFrame) -> str:
     """Quantity times price as a decimal, so that sums do not depend on the order of rows."""
-    product = F.col("quantity") * F.col("unit_price")
     if is_floating(tx, "quantity") or is_floating(tx, "unit_price"):
-        return product.cast(T.DecimalType(28, 8))
+        return "cast(quantity * unit_price as decimal(28, 8))"
     price = tx.schema["unit_price"].dataType
     scale = price.scale if isinstance(price, T.DecimalType) else 0
-    return product.cast(T.DecimalType(max(18, scale), scale))
+    return f"cast(quantity * unit_price as decimal({max(18, scale)}, {scale}))"
 
 
 def load_stats(clean_tx: DataFrame) -> DataFrame:
     """Number of lines and of customers, from one pass that pre-aggregates per customer."""
-    per_customer = clean_tx.groupBy("customer_id").agg(F.count("*").alias("lines"))
-    return per_customer.agg(
-        F.coalesce(F.sum("lines"), F.lit(0)).alias("n_records"),
-        F.count("customer_id").alias("n_customers"),
+    per_customer = clean_tx.groupBy("customer_id").agg(F.expr("count(*) as lines"))
+    return per_customer.selectExpr(
+        "coalesce(sum(lines), 0) as n_records", "count(customer_id) as n_customers"
     )

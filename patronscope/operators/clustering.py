@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronscope.functions.numeric import double
 from patronscope.operators.features import FEATURES
 from patronscope.operators.kmeans import Clustering, fit_models, training_points
 from patronscope.sources.small import small_table
@@ -29,31 +30,29 @@ EUCLIDEAN = "euclidean"
 SQUARED = "squared_euclidean"
 
 
-def nearest_center(centers: Sequence[Sequence[float]]) -> Column:
-    """Struct of the squared distance to the nearest centre and that centre's number.
+def nearest_center(centers: Sequence[Sequence[float]]) -> str:
+    """SQL struct of the squared distance to the nearest centre and that centre's number.
 
     The centres are literals, so assignment is one projection without join or Python worker. Ties go
     to the lower number.
     """
-    candidates = []
-    for number, center in enumerate(centers):
-        gaps = [F.col(f) - float(c) for f, c in zip(FEATURES, center)]
-        dist2 = gaps[0] * gaps[0]
-        for gap in gaps[1:]:
-            dist2 = dist2 + gap * gap
-        candidates.append(F.struct(dist2.alias("dist2"), F.lit(number).alias("cluster")))
-    return F.array_min(F.array(*candidates))
+
+    def candidate(number: int, center: Sequence[float]) -> str:
+        gaps = [f"({f} - {double(c)})" for f, c in zip(FEATURES, center)]
+        return f"struct({' + '.join(f'{g} * {g}' for g in gaps)} as dist2, {number} as cluster)"
+
+    return f"array_min(array({', '.join(candidate(i, c) for i, c in enumerate(centers))}))"
 
 
 def assign_centroid(features: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     """Add the nearest centre's number as ``cluster`` and its squared distance as ``dist2``."""
-    return features.withColumn("nearest", nearest_center(centers)).select(
-        *features.columns, F.col("nearest.cluster"), F.col("nearest.dist2")
+    return features.selectExpr("*", f"{nearest_center(centers)} as nearest").selectExpr(
+        *features.columns, "nearest.cluster", "nearest.dist2"
     )
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
-    return assigned.agg(F.sum("dist2").alias("inertia"))
+    return assigned.selectExpr("sum(dist2) as inertia")
 
 
 def fit_kmeans(
@@ -95,10 +94,12 @@ def k_sweep(
     """
     ks = sorted(set(ks))
     best = _best_of_starts(features, ks, starts, seed, max_iter, tol)
-    labels = {f"cluster_{k}": nearest_center(best[k].centers)["cluster"] for k in ks}
-    points = features.select(*FEATURES, *[c.alias(name) for name, c in labels.items()])
+    labels = [f"cluster_{k}" for k in ks]
+    points = features.selectExpr(
+        *FEATURES, *[f"{nearest_center(best[k].centers)}.cluster as cluster_{k}" for k in ks]
+    )
     sizes = [[n for n in best[k].sizes if n] for k in ks]
-    scores, measure = _silhouettes(points, list(labels), sizes, pairwise_limit)
+    scores, measure = _silhouettes(points, labels, sizes, pairwise_limit)
     return small_table(
         features.sparkSession,
         [(k, best[k].inertia, score, measure) for k, score in zip(ks, scores)],
@@ -135,7 +136,7 @@ def _silhouettes(
     return [
         float(
             evaluator.evaluate(
-                vectors.select("features", F.col(label).cast("double").alias("prediction"))
+                vectors.selectExpr("features", f"cast({label} as double) as prediction")
             )
         )
         for label in labels

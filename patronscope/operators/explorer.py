@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.config import CustomerFilter
-from patronscope.functions.numeric import round_half_even
+from patronscope.functions.numeric import half_even
 from patronscope.operators.reports import filtered_customers
 
 # Columns of the customer table and the headings they are shown under.
@@ -35,14 +35,14 @@ def customer_profile(labelled: DataFrame, text: str) -> DataFrame:
     return (
         labelled.where(wanted)
         .limit(1)
-        .select(
+        .selectExpr(
             "customer_id",
             "segment",
             "recency",
             "frequency",
             "monetary",
             "rfm_score",
-            F.format_string("R%d F%d M%d", "r_score", "f_score", "m_score").alias("profile"),
+            "format_string('R%d F%d M%d', r_score, f_score, m_score) as profile",
         )
     )
 
@@ -62,12 +62,8 @@ def explorer_table(
         raise ValueError(f"cannot sort by {sort!r}; choose one of {', '.join(SORTABLE)}")
     key = F.col(sort).asc() if ascending else F.col(sort).desc()
     rows = filtered_customers(labelled, chosen).orderBy(key, "customer_id")
-    return rows.select(
-        *[
-            (round_half_even(F.col(c), 2) if c == "monetary" else F.col(c)).alias(heading)
-            for c, heading in HEADINGS.items()
-        ]
-    )
+    shown = {**{c: c for c in HEADINGS}, "monetary": half_even("monetary", 2)}
+    return rows.selectExpr(*[f"{shown[c]} as `{heading}`" for c, heading in HEADINGS.items()])
 
 
 def export_view(view: DataFrame, path: str) -> None:

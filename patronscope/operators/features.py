@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
 
 from patronscope.catalog import METRICS
+from patronscope.functions.numeric import double
 from patronscope.functions.order_stats import GlobalOrder
 from patronscope.operators.rfm import customer_count
 from patronscope.sources.small import small_table
@@ -44,10 +44,10 @@ def outlier_caps(order: GlobalOrder, quantiles: Mapping[str, float]) -> DataFram
 def capped_features(rfm: DataFrame, caps: DataFrame) -> DataFrame:
     """Add ``*_capped`` columns; the metrics themselves keep their raw values."""
     limits = caps.first()
-    return rfm.select(
-        *rfm.columns,
+    return rfm.selectExpr(
+        "*",
         *[
-            F.least(F.col(m).cast("double"), F.lit(limits[f"{m}_cap"])).alias(f"{m}_capped")
+            f"least(cast({m} as double), {_number(limits[f'{m}_cap'])}) as {m}_capped"
             for m in METRICS
         ],
     )
@@ -55,9 +55,9 @@ def capped_features(rfm: DataFrame, caps: DataFrame) -> DataFrame:
 
 def feature_stats(capped: DataFrame) -> DataFrame:
     """One row with mean and population standard deviation of each capped metric."""
-    return capped.agg(
-        *[F.avg(f"{m}_capped").alias(f"{m}_mean") for m in METRICS],
-        *[F.stddev_pop(f"{m}_capped").alias(f"{m}_std") for m in METRICS],
+    return capped.selectExpr(
+        *[f"avg({m}_capped) as {m}_mean" for m in METRICS],
+        *[f"stddev_pop({m}_capped) as {m}_std" for m in METRICS],
     )
 
 
@@ -65,10 +65,13 @@ def scaled_features(capped: DataFrame) -> DataFrame:
     """Replace the capped columns by standardised ``z_*`` columns; a constant metric becomes 0."""
     stats = feature_stats(capped).first()
     kept = [c for c in capped.columns if not c.endswith("_capped")]
-    return capped.select(*kept, *[_standardised(m, stats).alias(f"z_{m}") for m in METRICS])
+    return capped.selectExpr(*kept, *[f"{_standardised(m, stats)} as z_{m}" for m in METRICS])
 
 
-def _standardised(metric: str, stats: Row) -> Column:
-    if not stats[f"{metric}_std"]:
-        return F.lit(0.0)
-    return (F.col(f"{metric}_capped") - stats[f"{metric}_mean"]) / stats[f"{metric}_std"]
+def _standardised(metric: str, stats: Row) -> str:
+    mean, spread = stats[f"{metric}_mean"], stats[f"{metric}_std"]
+    return f"({metric}_capped - {double(mean)}) / {double(spread)}" if spread else "0D"
+
+
+def _number(value: float | None) -> str:
+    return "cast(null as double)" if value is None else double(value)

@@ -168,7 +168,7 @@ def _one_pass(points: DataFrame, models: Sequence[np.ndarray]) -> list[np.ndarra
     summed = (
         points.mapInArrow(partial_sums, "center int, " + ", ".join(f"{c} double" for c in sums))
         .groupBy("center")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+        .agg(*[F.expr(f"sum({c}) as {c}") for c in sums])
         # As many rows as there are centres.
         .toPandas()
         .sort_values("center")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from patronscope.catalog import ALL_CUSTOMERS, METRICS
 from patronscope.config import CustomerFilter, HeatmapBands
-from patronscope.functions.numeric import band, exact_total, round_half_even
+from patronscope.functions.numeric import band, exact_total, half_even, quoted_array
 from patronscope.functions.order_stats import clean_values, exact_quantiles
 from patronscope.operators.segments import in_display_order
 from patronscope.sources.small import small_table
@@ -38,10 +37,10 @@ def filtered_customers(labelled: DataFrame, chosen: CustomerFilter) -> DataFrame
 
 def filter_bounds(labelled: DataFrame) -> DataFrame:
     """Range of scores, and the largest spend without its fraction."""
-    return labelled.agg(
-        F.min("rfm_score").alias("score_min"),
-        F.max("rfm_score").alias("score_max"),
-        F.max("monetary").cast("bigint").alias("monetary_max_int"),
+    return labelled.selectExpr(
+        "min(rfm_score) as score_min",
+        "max(rfm_score) as score_max",
+        "cast(max(monetary) as bigint) as monetary_max_int",
     )
 
 
@@ -50,34 +49,35 @@ def segment_summary(labelled: DataFrame) -> DataFrame:
 
     The revenue share divides the rounded totals. Its window covers one row per segment.
     """
-    total = exact_total(F.col("monetary"))
+    total = exact_total("monetary")
+    figures = {
+        "avg_recency": "avg(recency)",
+        "avg_frequency": "avg(frequency)",
+        "avg_monetary": f"{total} / count(monetary)",
+        "total_revenue": total,
+    }
     sums = labelled.groupBy("segment").agg(
-        F.count("customer_id").alias("customers"),
-        round_half_even(F.avg("recency"), 1).alias("avg_recency"),
-        round_half_even(F.avg("frequency"), 1).alias("avg_frequency"),
-        round_half_even(total / F.count("monetary"), 1).alias("avg_monetary"),
-        round_half_even(total, 1).alias("total_revenue"),
+        F.expr("count(customer_id) as customers"),
+        *[F.expr(f"{half_even(text, 1)} as {name}") for name, text in figures.items()],
     )
-    share = _share(F.col("total_revenue").cast("decimal(20,1)"))
-    return in_display_order(sums.withColumn("revenue_pct", round_half_even(share, 1)))
+    share = half_even(_share("cast(total_revenue as decimal(20, 1))"), 1)
+    return in_display_order(sums.selectExpr("*", f"{share} as revenue_pct"))
 
 
-def _share(part: Column) -> Column:
+def _share(part: str) -> str:
     """Percentage of the sum over all rows of a small table."""
-    whole = F.sum(part).over(Window.partitionBy()).cast("double")
-    return F.try_divide(part.cast("double"), whole) * 100
+    return f"try_divide(cast({part} as double), cast(sum({part}) over () as double)) * 100"
 
 
 def segment_share(summary: DataFrame, segments: Sequence[str]) -> DataFrame:
     """Shares of customers and revenue among the selected segments only."""
-    return summary.where(F.col("segment").isin(list(segments))).select(
+    revenue = _share("cast(total_revenue as decimal(20, 1))")
+    return summary.where(F.col("segment").isin(list(segments))).selectExpr(
         "segment",
         "customers",
-        round_half_even(_share(F.col("customers")), 1).alias("customer_pct"),
+        f"{half_even(_share('customers'), 1)} as customer_pct",
         "total_revenue",
-        round_half_even(_share(F.col("total_revenue").cast("decimal(20,1)")), 1).alias(
-            "revenue_pct_selected"
-        ),
+        f"{half_even(revenue, 1)} as revenue_pct_selected",
     )
 
 
@@ -87,15 +87,15 @@ def segment_kpis(summary: DataFrame, segment: str) -> DataFrame:
 
 def portfolio_kpis(labelled: DataFrame, chosen: CustomerFilter) -> DataFrame:
     """Headline figures of the customers in view, in one row."""
-    total = exact_total(F.col("monetary"))
-    return filtered_customers(labelled, chosen).agg(
-        F.count("*").alias("n_rows"),
+    total = exact_total("monetary")
+    return filtered_customers(labelled, chosen).selectExpr(
+        "count(*) as n_rows",
         # Customer ids are unique here, so counting them needs no distinct.
-        F.count("customer_id").alias("customers"),
-        F.coalesce(total, F.lit(0.0)).alias("total_revenue"),
-        F.try_divide(total, F.count("monetary")).alias("avg_monetary"),
-        F.avg("recency").alias("avg_recency"),
-        F.avg("frequency").alias("avg_frequency"),
+        "count(customer_id) as customers",
+        f"coalesce({total}, 0D) as total_revenue",
+        f"try_divide({total}, count(monetary)) as avg_monetary",
+        "avg(recency) as avg_recency",
+        "avg(frequency) as avg_frequency",
     )
 
 
@@ -103,15 +103,13 @@ def rfm_heatmap(labelled: DataFrame, chosen: CustomerFilter, bands: HeatmapBands
     """Customers per spend band and recency band, with a row for every pair of bands."""
     counted = (
         filtered_customers(labelled, chosen)
-        .select(
-            band(F.col("monetary"), bands.monetary_edges, bands.monetary_labels).alias(
-                "monetary_band"
-            ),
-            band(F.col("recency"), bands.recency_edges, bands.recency_labels).alias("recency_band"),
+        .selectExpr(
+            f"{band('monetary', bands.monetary_edges, bands.monetary_labels)} as monetary_band",
+            f"{band('recency', bands.recency_edges, bands.recency_labels)} as recency_band",
         )
-        .where(F.col("monetary_band").isNotNull() & F.col("recency_band").isNotNull())
+        .where("monetary_band is not null and recency_band is not null")
         .groupBy("monetary_band", "recency_band")
-        .agg(F.count("*").alias("customers"))
+        .agg(F.expr("count(*) as customers"))
     )
     cells = [
         (m, r, i * len(bands.recency_labels) + j)
@@ -126,19 +124,13 @@ def rfm_heatmap(labelled: DataFrame, chosen: CustomerFilter, bands: HeatmapBands
     return (
         grid.join(F.broadcast(counted), ["monetary_band", "recency_band"], "left")
         .orderBy("cell")
-        .select(
-            "monetary_band",
-            "recency_band",
-            F.coalesce("customers", F.lit(0)).alias("customers"),
-        )
+        .selectExpr("monetary_band", "recency_band", "coalesce(customers, 0) as customers")
     )
 
 
 def heatmap_matrix(cells: DataFrame, bands: HeatmapBands) -> DataFrame:
     """The heatmap with one row per spend band and one column per recency band."""
-    order = F.array_position(
-        F.array(*[F.lit(m) for m in bands.monetary_labels]), F.col("monetary_band")
-    )
+    order = F.expr(f"array_position({quoted_array(bands.monetary_labels)}, monetary_band)")
     return (
         cells.groupBy("monetary_band")
         .pivot("recency_band", list(bands.recency_labels))
@@ -162,32 +154,27 @@ def box_stats(df: DataFrame, by: str) -> DataFrame:
     ranges of its quartile, or at the quartile if there is none.
     """
     quartiles = exact_quantiles(df, METRICS, QUARTILES, by)
-    found = quartiles.select(by, *[F.col(m).alias(f"{m}_q") for m in METRICS])
-
-    def box(metric: str) -> Column:
-        value, q = F.col(metric), F.col(f"{metric}_q")
-        reach = 1.5 * (q[2] - q[0])
-        inside_lo = value >= q[0] - reach
-        inside_hi = value <= q[2] + reach
-        q1, median, q3 = (F.first(q[i]) for i in range(3))
-        return F.struct(
-            F.lit(metric).alias("metric"),
-            q1.alias("q1"),
-            median.alias("median"),
-            q3.alias("q3"),
-            F.least(F.min(F.when(inside_lo, value)), q1).alias("whisker_lo"),
-            F.greatest(F.max(F.when(inside_hi, value)), q3).alias("whisker_hi"),
-            F.count_if(~(inside_lo & inside_hi)).alias("n_outliers"),
-            F.try_divide(exact_total(value), F.count(value)).alias("mean"),
+    found = quartiles.withColumnsRenamed({m: f"{m}_q" for m in METRICS})
+
+    def box(m: str) -> str:
+        low = f"{m} >= {m}_q[0] - 1.5D * ({m}_q[2] - {m}_q[0])"
+        high = f"{m} <= {m}_q[2] + 1.5D * ({m}_q[2] - {m}_q[0])"
+        q1, median, q3 = (f"first({m}_q[{i}])" for i in range(3))
+        return (
+            f"struct('{m}' as metric, {q1} as q1, {median} as median, {q3} as q3, "
+            f"least(min(if({low}, {m}, null)), {q1}) as whisker_lo, "
+            f"greatest(max(if({high}, {m}, null)), {q3}) as whisker_hi, "
+            f"count_if(not ({low} and {high})) as n_outliers, "
+            f"try_divide({exact_total(m)}, count({m})) as mean)"
         )
 
     return (
-        clean_values(df, METRICS, [by])
+        clean_values(df, METRICS, by)
         # One row per group.
         .join(F.broadcast(found), by)
         .groupBy(by)
-        .agg(F.array(*[box(m) for m in METRICS]).alias("boxes"))
-        .select(by, F.inline("boxes"))
+        .agg(F.expr(f"array({', '.join(box(m) for m in METRICS)}) as boxes"))
+        .selectExpr(by, "inline(boxes)")
     )
 
 
@@ -217,22 +204,22 @@ def segment_radar(labelled: DataFrame) -> DataFrame:
     extremes per segment, and the overall extremes follow from those few rows.
     """
     per_segment = labelled.groupBy("segment").agg(
-        *[F.avg(m).alias(f"{m}_mean") for m in METRICS],
-        *[F.min(m).alias(f"{m}_min") for m in METRICS],
-        *[F.max(m).alias(f"{m}_max") for m in METRICS],
+        *[
+            F.expr(f"{name}({m}) as {m}_{name}")
+            for m in METRICS
+            for name in ("avg", "min", "max")
+        ]
     )
-    everyone = Window.partitionBy()
 
-    def scaled(metric: str) -> Column:
-        low = F.min(f"{metric}_min").over(everyone)
-        high = F.max(f"{metric}_max").over(everyone)
-        return (F.col(f"{metric}_mean") - low) / F.nullif(high - low, F.lit(0))
+    def scaled(m: str) -> str:
+        low, high = f"min({m}_min) over ()", f"max({m}_max) over ()"
+        return f"({m}_avg - {low}) / nullif({high} - {low}, 0)"
 
-    return per_segment.select(
+    return per_segment.selectExpr(
         "segment",
-        (1 - scaled("recency")).alias("recency_inv"),
-        scaled("frequency").alias("frequency"),
-        scaled("monetary").alias("monetary"),
+        f"1 - {scaled('recency')} as recency_inv",
+        f"{scaled('frequency')} as frequency",
+        f"{scaled('monetary')} as monetary",
     )
 
 

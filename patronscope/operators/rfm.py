@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.catalog import METRICS
+from patronscope.functions.numeric import double
 from patronscope.functions.order_stats import GlobalOrder, global_order
 from patronscope.sources.workspace import Workspace
 
@@ -21,23 +22,27 @@ def rfm_base(clean_tx: DataFrame, workspace: Workspace) -> DataFrame:
     read it again.
     """
     invoices = clean_tx.groupBy("customer_id", "invoice_no").agg(
-        F.max("invoice_ts").alias("last_ts"), F.sum("revenue").alias("revenue")
+        F.expr("max(invoice_ts) as last_ts"), F.expr("sum(revenue) as revenue")
     )
     customers = workspace.save(
         invoices.groupBy("customer_id").agg(
-            F.max("last_ts").alias("last_ts"),
-            F.count("invoice_no").alias("frequency"),
-            F.bround(F.sum("revenue"), 2).cast("double").alias("monetary"),
+            F.expr("max(last_ts) as last_ts"),
+            F.expr("count(invoice_no) as frequency"),
+            F.expr("cast(bround(sum(revenue), 2) as double) as monetary"),
         ),
         "customers",
     )
-    latest = customers.agg(F.max("last_ts").cast("string")).first()[0]
-    snapshot = F.lit(latest).cast("timestamp_ntz") + F.expr("interval 1 day")
+    latest = customers.selectExpr("cast(max(last_ts) as string)").first()[0]
+    if latest is None:
+        return customers.selectExpr(
+            "customer_id", "cast(null as bigint) as recency", "frequency", "monetary"
+        )
     # Elapsed time cut to whole days. An interval of zone-free timestamps does not depend on the
     # session time zone, unlike timestampdiff.
-    days = F.extract(F.lit("DAY"), snapshot - F.col("last_ts"))
-    return customers.select(
-        "customer_id", days.cast("bigint").alias("recency"), "frequency", "monetary"
+    elapsed = f"timestamp_ntz '{latest}' + interval 1 day - last_ts"
+    return customers.selectExpr(
+        "customer_id", f"cast(extract(day from {elapsed}) as bigint) as recency", "frequency",
+        "monetary",
     )
 
 
@@ -46,11 +51,10 @@ def metric_order(rfm: DataFrame, workspace: Workspace) -> GlobalOrder:
 
     Ties go by customer id, which also makes every row's key unique.
     """
-    values = [
-        F.struct(F.lit(i).alias("metric_no"), F.col(m).cast("double").alias("value"))
-        for i, m in enumerate(METRICS)
-    ]
-    long = rfm.select(F.inline(F.array(*values)), "customer_id")
+    values = ", ".join(
+        f"struct({i} as metric_no, cast({m} as double) as value)" for i, m in enumerate(METRICS)
+    )
+    long = rfm.selectExpr(f"inline(array({values}))", "customer_id")
     return global_order(long, ["metric_no", "value", "customer_id"], workspace, "metric-order")
 
 
@@ -61,13 +65,15 @@ def customer_count(order: GlobalOrder) -> int:
 def rfm_ranks(order: GlobalOrder) -> DataFrame:
     """1-based rank of each customer in each metric, smallest value first."""
     customers = customer_count(order)
-    rank = F.col("position") - F.col("metric_no") * customers + 1
     return (
         order.with_position()
         .groupBy("customer_id")
         .agg(
             *[
-                F.max(F.when(F.col("metric_no") == i, rank)).alias(f"{metric}_rank")
+                F.expr(
+                    f"max(if(metric_no = {i}, position - {i * customers} + 1, null)) "
+                    f"as {metric}_rank"
+                )
                 for i, metric in enumerate(METRICS)
             ]
         )
@@ -87,27 +93,25 @@ def rfm_scores(rfm: DataFrame, order: GlobalOrder) -> DataFrame:
     ends = [(b * (customers - 1)) // QUINTILES for b in range(1, QUINTILES)]
     rows = order.rows_at({i * customers + end for i in range(len(METRICS)) for end in ends})
 
-    def quintile(number: int, metric: str) -> Column:
-        value = F.col(metric).cast("double")
-        bucket = F.lit(1)
+    def quintile(number: int, metric: str) -> str:
+        beyond = []
         for end in ends:
             last = rows[number * customers + end]
-            beyond = (value > last["value"]) | (
-                (value == last["value"]) & (F.col("customer_id") > last["customer_id"])
+            value = double(last["value"])
+            beyond.append(
+                f"int({metric} > {value} or ({metric} = {value} "
+                f"and customer_id > {last['customer_id']}L))"
             )
-            bucket = bucket + beyond.cast("int")
-        return bucket
+        return "1 + " + " + ".join(beyond)
 
     recency, frequency, monetary = (quintile(i, m) for i, m in enumerate(METRICS))
-    return rfm.select(
-        *rfm.columns,
-        (QUINTILES + 1 - recency).alias("r_score"),
-        frequency.alias("f_score"),
-        monetary.alias("m_score"),
-    ).withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
+    return rfm.selectExpr(
+        "*",
+        f"{QUINTILES + 1} - ({recency}) as r_score",
+        f"{frequency} as f_score",
+        f"{monetary} as m_score",
+    ).selectExpr("*", "r_score + f_score + m_score as rfm_score")
 
 
 def score_range(scored: DataFrame) -> DataFrame:
-    return scored.agg(
-        F.min("rfm_score").alias("min_score"), F.max("rfm_score").alias("max_score")
-    )
+    return scored.selectExpr("min(rfm_score) as min_score", "max(rfm_score) as max_score")

@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from patronscope.catalog import PLAYBOOK, SEGMENTS, Play
-from patronscope.functions.numeric import round_half_even
+from patronscope.functions.numeric import half_even, quoted_array
 from patronscope.functions.order_stats import exact_quantiles
 from patronscope.sources.small import small_table
 
 
-def display_order(segment: Column, names: Sequence[str] = SEGMENTS) -> Column:
-    """Place of a segment in the catalogue, null for unknown names."""
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), segment)
-    return F.when(place > 0, place)
-
-
 def in_display_order(df: DataFrame, names: Sequence[str] = SEGMENTS) -> DataFrame:
-    return df.orderBy(display_order(F.col("segment"), names).asc_nulls_last(), "segment")
+    """Sort by the place of ``segment`` in the catalogue, unknown names last."""
+    place = F.expr(f"nullif(array_position({quoted_array(names)}, segment), 0)")
+    return df.orderBy(place.asc_nulls_last(), "segment")
 
 
 def cluster_ranking(assigned: DataFrame) -> DataFrame:
@@ -30,23 +25,20 @@ def cluster_ranking(assigned: DataFrame) -> DataFrame:
     ``assigned`` holds ``rfm_score``, ``monetary`` and ``cluster``. The window runs over one row per
     cluster.
     """
-    medians = exact_quantiles(assigned, ["rfm_score", "monetary"], [0.5], "cluster").select(
-        "cluster",
-        F.col("rfm_score")[0].alias("med_rfm"),
-        F.col("monetary")[0].alias("med_monetary"),
-    )
-    best_first = Window.orderBy(
-        F.desc("med_rfm"), F.desc("med_monetary"), F.asc("cluster")
+    medians = exact_quantiles(assigned, ["rfm_score", "monetary"], [0.5], "cluster")
+    return medians.selectExpr(
+        "cluster", "rfm_score[0] as med_rfm", "monetary[0] as med_monetary"
+    ).selectExpr(
+        "*",
+        "row_number() over (order by med_rfm desc, med_monetary desc, cluster) as rank",
     )
-    return medians.withColumn("rank", F.row_number().over(best_first))
 
 
 def segment_labels(
     assigned: DataFrame, ranking: DataFrame, names: Sequence[str] = SEGMENTS
 ) -> DataFrame:
     """Add ``segment``; it is null for a cluster ranked below the last name."""
-    by_rank = F.get(F.array(*[F.lit(n) for n in names]), F.col("rank") - 1)
-    lookup = ranking.select("cluster", by_rank.alias("segment"))
+    lookup = ranking.selectExpr("cluster", f"get({quoted_array(names)}, rank - 1) as segment")
     # One row per cluster.
     return assigned.join(F.broadcast(lookup), "cluster", "left").select(
         *assigned.columns, "segment"
@@ -69,9 +61,8 @@ def empty_segments(labelled: DataFrame, names: Sequence[str] = SEGMENTS) -> Data
 
 
 def cluster_segment_mean(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("cluster", "segment").agg(
-        round_half_even(F.avg("rfm_score"), 1).alias("avg_rfm_score")
-    )
+    mean = half_even("avg(rfm_score)", 1)
+    return labelled.groupBy("cluster", "segment").agg(F.expr(f"{mean} as avg_rfm_score"))
 
 
 def segment_counts(labelled: DataFrame) -> DataFrame:
@@ -94,17 +85,6 @@ def segment_playbook(
     )
     sizes = labelled.groupBy("segment").agg(F.count("*").alias("customers"))
     # The playbook has one row per segment name.
-    return sizes.join(F.broadcast(plays), "segment").select(
-        "segment",
-        "customers",
-        "priority",
-        F.posexplode("actions").alias("at", "action"),
-        "target",
-    ).select(
-        "segment",
-        "customers",
-        "priority",
-        (F.col("at") + 1).alias("action_no"),
-        "action",
-        "target",
-    )
+    return sizes.join(F.broadcast(plays), "segment").selectExpr(
+        "segment", "customers", "priority", "posexplode(actions) as (at, action)", "target"
+    ).selectExpr("segment", "customers", "priority", "at + 1 as action_no", "action", "target")

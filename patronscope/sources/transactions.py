@@ -95,34 +95,26 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     lines = _table(spark, folder, "lineitem")
     orders = _table(spark, folder, "orders")
     parts = _table(spark, folder, "part")
-    few = F.col("l_quantity") < 5
-    prefix = F.when(F.col("l_returnflag") == "R", "C").otherwise("")
-    price = F.col("p_retailprice").cast(T.DecimalType(18, 2))
-    return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(parts, lines.l_partkey == parts.p_partkey)
-        .select(
-            F.concat(prefix, F.col("o_orderkey").cast("string")).alias("invoice_no"),
-            F.col("o_orderdate").alias("invoice_ts"),
-            F.when(F.col("o_custkey") % 97 != 0, F.col("o_custkey")).alias("customer_id"),
-            F.when((F.col("l_linenumber") == 7) & few, -F.col("l_quantity"))
-            .otherwise(F.col("l_quantity"))
-            .cast("int")
-            .alias("quantity"),
-            F.when((F.col("l_linenumber") == 6) & few, F.lit(0).cast(T.DecimalType(18, 2)))
-            .otherwise(price)
-            .alias("unit_price"),
-        )
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
+        parts, lines.l_partkey == parts.p_partkey
+    )
+    return joined.selectExpr(
+        "if(l_returnflag = 'R', 'C', '') || cast(o_orderkey as string) as invoice_no",
+        "o_orderdate as invoice_ts",
+        "if(o_custkey % 97 <> 0, o_custkey, null) as customer_id",
+        "cast(if(l_linenumber = 7 and l_quantity < 5, -l_quantity, l_quantity) as int) as quantity",
+        "if(l_linenumber = 6 and l_quantity < 5, 0, cast(p_retailprice as decimal(18, 2))) "
+        "as unit_price",
     )
 
 
 def from_events(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases in the table ``events`` as transactions with a time of day."""
     events = _table(spark, folder, "events")
-    return events.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").cast("string").alias("invoice_no"),
-        F.col("ts").alias("invoice_ts"),
-        F.col("user_id").alias("customer_id"),
-        F.lit(1).alias("quantity"),
-        F.col("value").cast(T.DecimalType(18, 2)).alias("unit_price"),
+    return events.where("event_type = 'purchase'").selectExpr(
+        "cast(event_id as string) as invoice_no",
+        "ts as invoice_ts",
+        "user_id as customer_id",
+        "1 as quantity",
+        "cast(value as decimal(18, 2)) as unit_price",
     )
