@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.functions.numeric import double
 from patronscope.operators.features import FEATURES
-from patronscope.operators.kmeans import Clustering, fit_models, training_points
+from patronscope.operators.kmeans import Clustering, fit_models
 from patronscope.sources.small import small_table
 
 # Functions of this module travel to tasks by value: workers need not have the package.
@@ -66,13 +65,8 @@ def _best_of_starts(
     features: DataFrame, ks: Sequence[int], starts: int, seed: int, max_iter: int, tol: float
 ) -> dict[int, Clustering]:
     jobs = [(k, seed + i) for k in ks for i in range(starts)]
-    with training_points(features) as points:
-        n = points.count()
-        if n < max(ks):
-            raise ValueError(f"{max(ks)} clusters need at least as many customers, found {n}")
-        models = fit_models(points, jobs, max_iter, tol)
     best: dict[int, Clustering] = {}
-    for (k, _), model in zip(jobs, models):
+    for (k, _), model in zip(jobs, fit_models(features, jobs, max_iter, tol)):
         if k not in best or model.inertia < best[k].inertia:
             best[k] = model
     return best
@@ -90,7 +84,7 @@ def k_sweep(
     """Inertia and silhouette per number of clusters.
 
     Up to ``pairwise_limit`` customers the silhouette is the Euclidean one; above, the squared
-    Euclidean one, which needs one pass. Column ``measure`` tells which.
+    Euclidean one, which needs two passes. Column ``measure`` tells which.
     """
     ks = sorted(set(ks))
     best = _best_of_starts(features, ks, starts, seed, max_iter, tol)
@@ -98,8 +92,7 @@ def k_sweep(
     points = features.selectExpr(
         *FEATURES, *[f"{nearest_center(best[k].centers)}.cluster as cluster_{k}" for k in ks]
     )
-    sizes = [[n for n in best[k].sizes if n] for k in ks]
-    scores, measure = _silhouettes(points, labels, sizes, pairwise_limit)
+    scores, measure = _silhouettes(points, labels, pairwise_limit)
     return small_table(
         features.sparkSession,
         [(k, best[k].inertia, score, measure) for k, score in zip(ks, scores)],
@@ -109,83 +102,125 @@ def k_sweep(
 
 def silhouette(assigned: DataFrame, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """Mean silhouette of a clustering in one row; see :func:`k_sweep` for the measure."""
-    sizes = [row["count"] for row in assigned.groupBy("cluster").count().collect()]
-    (score,), measure = _silhouettes(assigned, ["cluster"], [sizes], pairwise_limit)
+    points = assigned.select(*FEATURES, "cluster")
+    (score,), measure = _silhouettes(points, ["cluster"], pairwise_limit)
     return small_table(
         assigned.sparkSession, [(score, measure)], "silhouette double, measure string"
     )
 
 
 def _silhouettes(
-    assigned: DataFrame,
-    labels: Sequence[str],
-    sizes: Sequence[Sequence[int]],
-    pairwise_limit: int,
+    points: DataFrame, labels: Sequence[str], pairwise_limit: int
 ) -> tuple[list[float], str]:
-    """Mean silhouette of each label column, whose cluster sizes are known."""
-    n = sum(sizes[0])
-    for used in sizes:
-        if not 2 <= len(used) < n:
+    """Mean silhouette of each label column of ``points``, from passes shared by all of them."""
+    totals = _cluster_totals(points, labels)
+    n = int(totals[0].sizes.sum())
+    for found in totals:
+        if not 2 <= len(found.names) < n:
             raise ValueError(
-                f"a silhouette of {n} customers needs 2 to {n - 1} clusters, found {len(used)}"
+                f"a silhouette of {n} customers needs 2 to {n - 1} clusters, "
+                f"found {len(found.names)}"
             )
     if n <= pairwise_limit:
-        return _pairwise_silhouettes(assigned.select(*FEATURES, *labels), labels), EUCLIDEAN
-    evaluator = ClusteringEvaluator(predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(assigned)
-    return [
-        float(
-            evaluator.evaluate(
-                vectors.selectExpr("features", f"cast({label} as double) as prediction")
-            )
-        )
-        for label in labels
-    ], SQUARED
-
-
-def _pairwise_silhouettes(points: DataFrame, labels: Sequence[str]) -> list[float]:
-    """Euclidean silhouettes against a broadcast of all points, at most ``PAIRWISE_LIMIT`` of them.
+        distances, measure = _pairwise_distances(points, labels, totals), EUCLIDEAN
+    else:
+        distances, measure = _squared_distances(totals), SQUARED
 
-    Spark spreads the points over tasks. A task takes the distances of a block of its points to all
-    others once, sums them per cluster for every label column, and emits one row of totals.
-    """
-    context = points.sparkSession.sparkContext
-    table = points.toPandas()
-    names = [np.unique(table[label]) for label in labels]
-    members = [
-        (table[label].to_numpy()[:, None] == found).astype(float)
-        for label, found in zip(labels, names)
-    ]
-    shared = context.broadcast((table[list(FEATURES)].to_numpy(), names, members))
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everyone, found, belongs = shared.value
-        step = max(1, PAIRWISE_BLOCK // len(everyone))
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(labels))
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for at in range(0, batch.num_rows, step):
-                block = [c[at : at + step] for c in columns]
-                gaps = sum(
-                    (axis[:, None] - everyone[:, i]) ** 2
-                    for i, axis in enumerate(block[: everyone.shape[1]])
-                )
-                distances = np.sqrt(gaps)
-                for j, label in enumerate(block[everyone.shape[1] :]):
-                    home = np.searchsorted(found[j], label)
-                    sums[j] += _gains(distances @ belongs[j], belongs[j].sum(axis=0), home).sum()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([float(x)]) for x in sums], names=list(labels)
-        )
+            axes, numbers = np.array(columns[: len(FEATURES)]), columns[len(FEATURES) :]
+            for span, place, to_clusters in distances(axes):
+                found = totals[place]
+                home = np.searchsorted(found.names, numbers[place][span])
+                sums[place] += _gains(to_clusters, found.sizes, home).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list(labels))
 
     summed = (
-        points.repartition(context.defaultParallelism)
-        .mapInArrow(totals, ", ".join(f"{label} double" for label in labels))
+        # At most the pairwise limit is moved, to share the quadratic work; otherwise nothing is.
+        (points.repartition(points.sparkSession.sparkContext.defaultParallelism)
+         if n <= pairwise_limit else points)
+        .mapInArrow(gains, ", ".join(f"{label} double" for label in labels))
         .agg(*[F.sum(label) for label in labels])
         .first()
     )
-    shared.destroy()
-    return [total / len(table) for total in summed]
+    return [total / n for total in summed], measure
+
+
+@dataclass(frozen=True)
+class _Totals:
+    """Per cluster of one label column: number, size, coordinate sums, sum of squared norms."""
+
+    names: np.ndarray
+    sizes: np.ndarray
+    sums: np.ndarray
+    norms: np.ndarray
+
+
+def _cluster_totals(points: DataFrame, labels: Sequence[str]) -> list[_Totals]:
+    norm = " + ".join(f"{f} * {f}" for f in FEATURES)
+    rows = (
+        points.unpivot(list(FEATURES), list(labels), "label", "cluster")
+        .groupBy("label", "cluster")
+        .agg(
+            F.expr("cast(count(*) as double) as n"),
+            *[F.expr(f"sum({f}) as {f}") for f in FEATURES],
+            F.expr(f"sum({norm}) as norm"),
+        )
+        # As many rows as there are clusters.
+        .toPandas()
+        .sort_values("cluster")
+    )
+    parts = [rows[rows["label"] == label] for label in labels]
+    return [
+        _Totals(*(p[c].to_numpy() for c in ("cluster", "n", list(FEATURES), "norm")))
+        for p in parts
+    ]
+
+
+# Yields (slice of the batch, label column, summed distances of its points to each cluster).
+Distances = Callable[[np.ndarray], Iterator[tuple[slice, int, np.ndarray]]]
+
+
+def _squared_distances(totals: Sequence[_Totals]) -> Distances:
+    """Sums of squared distances, which follow from a cluster's size, sum and squared norms."""
+
+    def distances(axes: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
+        norms = (axes**2).sum(axis=0)
+        for place, found in enumerate(totals):
+            cross = axes.T @ found.sums.T
+            yield slice(None), place, np.outer(norms, found.sizes) - 2 * cross + found.norms
+
+    return distances
+
+
+def _pairwise_distances(
+    points: DataFrame, labels: Sequence[str], totals: Sequence[_Totals]
+) -> Distances:
+    """Sums of distances to a broadcast of all points, at most ``PAIRWISE_LIMIT`` of them.
+
+    Each task takes the distances of a block of its points to all others once for all labels.
+    """
+    table = points.toPandas()
+    members = [
+        (table[label].to_numpy()[:, None] == found.names).astype(float)
+        for label, found in zip(labels, totals)
+    ]
+    everyone = table[list(FEATURES)].to_numpy().T
+    shared = points.sparkSession.sparkContext.broadcast((everyone, members))
+
+    def distances(axes: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
+        others, belongs = shared.value
+        step = max(1, PAIRWISE_BLOCK // others.shape[1])
+        for at in range(0, axes.shape[1], step):
+            span = slice(at, at + step)
+            gaps = sum((mine[span, None] - theirs) ** 2 for mine, theirs in zip(axes, others))
+            block = np.sqrt(gaps)
+            for place, member in enumerate(belongs):
+                yield span, place, block @ member
+
+    return distances
 
 
 def _gains(sums: np.ndarray, sizes: np.ndarray, home: np.ndarray) -> np.ndarray:

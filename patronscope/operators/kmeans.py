@@ -39,8 +39,42 @@ class Clustering:
     inertia: float
 
 
+def fit_models(
+    features: DataFrame, jobs: Sequence[tuple[int, int]], max_iter: int, tol: float
+) -> list[Clustering]:
+    """One model per (k, seed) in ``jobs``; a model rests once its centres move by ``tol`` in all.
+
+    ``features`` holds ``customer_id`` and the feature columns. ``tol`` bounds the sum of squared
+    shifts of a model's centres in one pass.
+    """
+    with _cached_points(features) as points:
+        n, needed = points.count(), max(k for k, _ in jobs)
+        if n < needed:
+            raise ValueError(f"{needed} clusters need at least as many customers, found {n}")
+        centers = _refined_starts(_start_sample(features, n), jobs, max_iter, tol)
+        moving = list(range(len(jobs)))
+        for _ in range(max_iter):
+            still = []
+            for model, totals in zip(moving, _one_pass(points, [centers[m] for m in moving])):
+                centers[model], shift = _moved(centers[model], totals)
+                if shift > tol:
+                    still.append(model)
+            moving = still
+            if not moving:
+                break
+        final = _one_pass(points, centers)
+    return [
+        Clustering(
+            tuple(tuple(float(x) for x in row) for row in found),
+            tuple(int(x) for x in totals[:, 0]),
+            float(totals[:, 1].sum()),
+        )
+        for found, totals in zip(centers, final)
+    ]
+
+
 @contextmanager
-def training_points(features: DataFrame) -> Iterator[DataFrame]:
+def _cached_points(features: DataFrame) -> Iterator[DataFrame]:
     """The feature columns, cached for many passes and spread over at least all cores."""
     points = features.select(*FEATURES)
     cores = features.sparkSession.sparkContext.defaultParallelism
@@ -53,41 +87,19 @@ def training_points(features: DataFrame) -> Iterator[DataFrame]:
         points.unpersist()
 
 
-def fit_models(
-    points: DataFrame, jobs: Sequence[tuple[int, int]], max_iter: int, tol: float
-) -> list[Clustering]:
-    """One model per (k, seed) in ``jobs``; a model rests once its centres move by ``tol`` in all.
-
-    ``tol`` bounds the sum of squared shifts of a model's centres in one pass.
-    """
-    centers = _refined_starts(points, jobs, max_iter, tol)
-    moving = list(range(len(jobs)))
-    for _ in range(max_iter):
-        still = []
-        for model, totals in zip(moving, _one_pass(points, [centers[m] for m in moving])):
-            centers[model], shift = _moved(centers[model], totals)
-            if shift > tol:
-                still.append(model)
-        moving = still
-        if not moving:
-            break
-    return [
-        Clustering(
-            tuple(tuple(float(x) for x in row) for row in found),
-            tuple(int(x) for x in totals[:, 0]),
-            float(totals[:, 1].sum()),
-        )
-        for found, totals in zip(centers, _one_pass(points, centers))
-    ]
+def _start_sample(features: DataFrame, n: int) -> DataFrame:
+    """About ``START_SAMPLE`` customers to refine starts on, whatever the partitioning."""
+    if n <= START_SAMPLE:
+        return features.select(*FEATURES)
+    share = int(2**40 * START_SAMPLE / n)
+    return features.where(f"pmod(xxhash64(customer_id), {2**40}L) < {share}L").select(*FEATURES)
 
 
 def _refined_starts(
-    points: DataFrame, jobs: Sequence[tuple[int, int]], max_iter: int, tol: float
+    drawn: DataFrame, jobs: Sequence[tuple[int, int]], max_iter: int, tol: float
 ) -> list[np.ndarray]:
-    """Starting centres of each job, trained on at most about ``START_SAMPLE`` customers."""
-    spark = points.sparkSession
-    n = points.count()
-    drawn = points if n <= START_SAMPLE else points.sample(START_SAMPLE / n, seed=0)
+    """Centres of each job trained on a sample only, in one task per few jobs."""
+    spark = drawn.sparkSession
     found = drawn.toPandas().to_numpy()
     # Sorted, since the order rows arrive in may differ between runs.
     shared = spark.sparkContext.broadcast(found[np.lexsort(found.T)])

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from brute_force import silhouette_by_hand
 
@@ -86,6 +87,24 @@ def test_silhouettes(blobs):
     squared = silhouette(assigned, pairwise_limit=10).first()
     assert squared.measure == SQUARED
     assert squared.silhouette == pytest.approx(silhouette_by_hand(points, labels, squared=True))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(assigned)
+    theirs = ClusteringEvaluator(predictionCol="cluster").evaluate(
+        vectors.withColumn("cluster", vectors.cluster.cast("double"))
+    )
+    assert squared.silhouette == pytest.approx(theirs)
+
+
+def test_sweep_beyond_the_pairwise_limit(blobs):
+    got = k_sweep(blobs, [3, 5], starts=4, seed=42, pairwise_limit=100).toPandas()
+    assert set(got["measure"]) == {SQUARED}
+    assert got["silhouette"].is_monotonic_increasing
+
+
+def test_order_of_rows_does_not_matter(blobs, monkeypatch):
+    monkeypatch.setattr(kmeans, "START_SAMPLE", 100)
+    first = fit_kmeans(blobs.repartition(7), 4, starts=2, seed=3)
+    second = fit_kmeans(blobs.repartition(2, "z_recency"), 4, starts=2, seed=3)
+    assert np.allclose(first.centers, second.centers)
 
 
 def test_lone_points_and_twins(spark):
@@ -109,6 +128,7 @@ def test_too_few_customers(spark, blobs):
 
 
 def test_fewer_distinct_points_than_centres(spark):
-    same = spark.createDataFrame([(1.0, 1.0, 1.0)] * 6, ", ".join(f"{f} double" for f in FEATURES))
+    schema = "customer_id int, " + ", ".join(f"{f} double" for f in FEATURES)
+    same = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(6)], schema)
     found = fit_kmeans(same, 3, starts=1, seed=0)
     assert sum(found.sizes) == 6 and found.inertia == 0
