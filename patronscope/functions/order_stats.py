@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from patronscope.sources.workspace import Workspace
 
 # monotonically_increasing_id() keeps the task number above bit 33 and the row number below it.
 TASK_SHIFT = 33
+# Spark's default for spark.sql.parquet.pushdown.inFilterThreshold.
+PUSHED_LIST = 10
 
 
 @dataclass(frozen=True)
@@ -40,14 +43,18 @@ class GlobalOrder:
         )
 
     def rows_at(self, positions: Iterable[int]) -> dict[int, Row]:
-        """Fetch the rows at a few positions; the slot filter prunes Parquet row groups."""
+        """Fetch the rows at a few positions, reading only the Parquet row groups that hold them."""
         slots = {}
         for position in positions:
             if not 0 <= position < self.total:
                 raise IndexError(f"position {position} outside 0..{self.total - 1}")
             at = bisect_right(self.starts, position) - 1
             slots[(self.tasks[at] << TASK_SHIFT) + position - self.starts[at]] = position
-        found = self.rows.where(F.col("slot").isin(list(slots))).collect()
+        if not slots:
+            return {}
+        # Longer lists would be pushed down as one range from the lowest to the highest slot.
+        lists = [", ".join(f"{s}L" for s in part) for part in batched(slots, PUSHED_LIST)]
+        found = self.rows.where(" or ".join(f"slot in ({part})" for part in lists)).collect()
         return {slots[row["slot"]]: row for row in found}
 
 

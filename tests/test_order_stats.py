@@ -29,6 +29,9 @@ def test_positions_over_many_tasks(spark, workspace, many_partitions):
     assert (got[["value", "id"]] == want).all().all()
     picked = order.rows_at([0, 749, 1500, 2999])
     assert {p: r["id"] for p, r in picked.items()} == want["id"][[0, 749, 1500, 2999]].to_dict()
+    many = order.rows_at(range(0, 3000, 120))
+    assert {p: r["id"] for p, r in many.items()} == want["id"][::120].to_dict()
+    assert order.rows_at([]) == {}
     with pytest.raises(IndexError):
         order.rows_at([3000])
 
