@@ -84,8 +84,9 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _clean_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    money = {n: F.col(n).cast("double") for n in ("unit_price", "revenue")}
-    return _clean(spark, folder).withColumns(money)
+    # Two engines hold decimals and timestamps in different units; doubles and text compare as is.
+    kinds = {"unit_price": "double", "revenue": "double", "invoice_ts": "string"}
+    return _clean(spark, folder).withColumns({n: F.col(n).cast(k) for n, k in kinds.items()})
 
 
 def _rfm_base_events(spark: SparkSession, folder: str) -> DataFrame:

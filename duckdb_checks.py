@@ -170,7 +170,7 @@ def all_checks() -> dict[str, str]:
     return {
         "clean_transactions": sql(
             "clean",
-            """SELECT invoice_no, invoice_ts, customer_id, quantity,
+            """SELECT invoice_no, CAST(invoice_ts AS VARCHAR) AS invoice_ts, customer_id, quantity,
                       CAST(unit_price AS DOUBLE) AS unit_price, CAST(revenue AS DOUBLE) AS revenue
                FROM clean""",
         ),
