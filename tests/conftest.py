@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
-from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
@@ -64,10 +63,6 @@ def day(text: str) -> dt.datetime:
     return dt.datetime.fromisoformat(text)
 
 
-def money(text: str) -> Decimal:
-    return Decimal(text)
-
-
 def rows(df) -> list[tuple]:
     return [tuple(r) for r in df.collect()]
 
