@@ -27,6 +27,12 @@ from patronscope.plans import pipeline  # noqa: E402
 from patronscope.sources import tables, transactions  # noqa: E402
 from patronscope.sources.workspace import Workspace  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from patronscope.llm import queries as llm_queries
+except ImportError:  # the subpackage is optional
+    llm_queries = None
+
 CONFIG = SegmentationConfig()
 # Centres in feature space that make the clustering, and so all reports, reproducible in SQL.
 CENTERS = (
@@ -171,7 +177,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each callable takes (spark, folder of Parquet tables)."""
-    return {
+    found: dict[str, Query] = {
         "clean_transactions": _clean_transactions,
         "load_stats": lambda s, d: load_stats(_clean(s, d)),
         "rfm_base": _rfm,
@@ -219,8 +225,14 @@ def queries() -> dict[str, Query]:
         "segment_playbook": _on_labelled(segments.segment_playbook),
         "scored_roundtrip": _scored_roundtrip,
     }
+    if llm_queries:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every query but the two that depend on K-Means seeding."""
-    return duckdb_checks.all_checks()
+    """SQL for every query that SQL can express."""
+    found = duckdb_checks.all_checks()
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+    return found
