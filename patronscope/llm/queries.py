@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patronscope.llm.mixing import op9_mixing
+from patronscope.llm.near_duplicates import op10_near_duplicates
+from patronscope.llm.quality import op7_quality
 from patronscope.llm.sharding import op1_sharding
+from patronscope.llm.toxicity import op8_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 

@@ -31,6 +31,8 @@ LOWERED[65:91] += 32
 WORD_VALUES = BYTE_VALUES[LOWERED]
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14)]] = True
+# For words without punctuation: every ASCII byte but digits and letters separates.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 class _Powers:
@@ -99,27 +101,35 @@ def _buffer(first: int, raw: list[bytes]) -> Buffer:
 
 @dataclass
 class Words:
-    """Hashes of the words of a buffer's texts; those of text i are hash[of[i]:of[i + 1]]."""
+    """Hashes of the words of a buffer's texts; those of text i are hash[of[i]:of[i + 1]].
+
+    ``heads`` has one row for each asked-for length: hashes of the first so many bytes of a word.
+    """
 
     first: int
     last: int
     hash: np.ndarray
     of: np.ndarray
+    heads: list[np.ndarray]
 
 
-def words(texts: Sequence[str | None]) -> Iterator[Words]:
+def words(
+    texts: Sequence[str | None], between: np.ndarray = BLANK, heads: Sequence[int] = ()
+) -> Iterator[Words]:
     for b in buffers(texts):
-        yield words_of(b)
+        yield words_of(b, between, heads)
 
 
-def words_of(b: Buffer) -> Words:
+def words_of(b: Buffer, between: np.ndarray = BLANK, heads: Sequence[int] = ()) -> Words:
+    """Words separated by the bytes that ``between`` marks; a blank must be among them."""
     blank = np.ones(len(b.bytes) + 2, dtype=bool)
-    blank[1:-1] = BLANK[b.bytes]
+    blank[1:-1] = between[b.bytes]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edges[::2], edges[1::2]
     sums, down = prefix_sums(WORD_VALUES[b.bytes])
     of = np.append(np.searchsorted(start, b.start), len(start))
-    return Words(b.first, b.last, span_hash(sums, down, start, end), of)
+    cut = [span_hash(sums, down, start, np.minimum(end, start + n)) for n in heads]
+    return Words(b.first, b.last, span_hash(sums, down, start, end), of, cut)
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
