@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patronscope.llm.decontamination import op2_decontamination
 from patronscope.llm.mixing import op9_mixing
 from patronscope.llm.near_duplicates import op10_near_duplicates
 from patronscope.llm.quality import op7_quality
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_decontamination": op2_decontamination,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
