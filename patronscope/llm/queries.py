@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patronscope.llm.decontamination import op2_decontamination
+from patronscope.llm.licenses import op3_licenses
+from patronscope.llm.line_dedup import op5_line_dedup
 from patronscope.llm.mixing import op9_mixing
 from patronscope.llm.near_duplicates import op10_near_duplicates
 from patronscope.llm.quality import op7_quality
@@ -20,6 +22,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_decontamination": op2_decontamination,
+        "op3_licenses": op3_licenses,
+        "op5_line_dedup": op5_line_dedup,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
