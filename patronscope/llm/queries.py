@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patronscope.llm.decontamination import op2_decontamination
+from patronscope.llm.fingerprints import op4_fingerprints
 from patronscope.llm.licenses import op3_licenses
 from patronscope.llm.line_dedup import op5_line_dedup
 from patronscope.llm.mixing import op9_mixing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op1_sharding": op1_sharding,
         "op2_decontamination": op2_decontamination,
         "op3_licenses": op3_licenses,
+        "op4_fingerprints": op4_fingerprints,
         "op5_line_dedup": op5_line_dedup,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
