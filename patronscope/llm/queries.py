@@ -14,6 +14,7 @@ from patronscope.llm.mixing import op9_mixing
 from patronscope.llm.near_duplicates import op10_near_duplicates
 from patronscope.llm.quality import op7_quality
 from patronscope.llm.sharding import op1_sharding
+from patronscope.llm.suffix_dedup import op6_suffix_dedup
 from patronscope.llm.toxicity import op8_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op3_licenses": op3_licenses,
         "op4_fingerprints": op4_fingerprints,
         "op5_line_dedup": op5_line_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
