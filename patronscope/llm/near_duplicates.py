@@ -1,11 +1,13 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents with equal shingle sets are one class from the start. Two classes can only be linked if
-they share a shingle among the first few of each in one common order, so classes that share such a
-shingle, directly or through others, form a cell; everything else is settled. Each cell is searched
-whole: a document's required overlap T splits its inverted lists into the T - 1 longest, which are
-only probed by binary search, and the short rest, which are merged (DivideSkip). A cell too large
-for one task is searched in pairs of blocks, so no link is lost and nothing is capped.
+they share a shingle among the first few of each in one common order; how many such shingles they
+share bounds their similarity. Classes first meet the one with which they share most, which joins
+large groups at the cost of one search each. Then every pair of classes that share a first shingle,
+are not joined yet and may still be similar enough is searched, so no link between different
+components is lost. A search has an index of inverted lists: the required overlap T splits a
+document's lists into the T - 1 longest, which are only probed by binary search, and the short
+rest, which are merged (DivideSkip).
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.llm.components import connected_components
-from patronscope.llm.shared import Store, parts_for, rows_with_keys
+from patronscope.llm.shared import SENDABLE_ROWS, Store, parts_for, rows_with_keys
 from patronscope.llm.texthash import shingle_sets, words
 
 SHINGLE = 5
 # Similarity as a fraction of whole numbers, so that comparing is exact.
 NUMERATOR, DENOMINATOR = 3, 4
 # Most frequent shingles that come last in the common order. Only speed depends on it.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 21
 # A shingle is counted where one task sees it in so many documents. Only speed depends on it.
-COUNTED_FROM = 4
-# Documents of one block; a task holds two blocks at most, and as many of small cells.
+COUNTED_FROM = 2
+# Documents that are searched in one task.
 BLOCK = 2048
+# Share of a document's first shingles (one in so many) that makes a first meeting worthwhile.
+WORTHWHILE = 5
 
 
 def _strings(column: pd.Series) -> list[str | None]:
@@ -87,13 +91,29 @@ def _profile(kind: str):
     )
 
 
+def _frequent(counted: DataFrame, store: Store) -> np.ndarray:
+    """Up to ``FREQUENT`` shingles (signed), most frequent first, from the tasks' own counts.
+
+    All with a count above some least one, so neither side has to sort what doesn't fit.
+    """
+    total = store.save(counted.groupBy("hi").agg(F.sum("n_shingles").alias("n")), "frequent")
+    by_count = total.groupBy("n").agg(F.count("*").alias("shingles"))
+    running = by_count.selectExpr("n", "sum(shingles) OVER (ORDER BY n DESC) AS so_far")
+    least = running.filter(f"so_far <= {FREQUENT}").agg(F.min("n")).first()[0]
+    if least is None:
+        return np.empty(0, dtype=np.int64)
+    rows = total.filter(F.col("n") >= least).select("hi", "n").toArrow()
+    hi, n = (rows[c].to_numpy().astype(np.int64) for c in ("hi", "n"))
+    return hi[np.lexsort((hi, -n))]
+
+
 def required(n):
     """Least number of shingles that a set of n shares with any set it is linked to."""
     return -(-n * NUMERATOR // DENOMINATOR)
 
 
 def _first_shingles(frequent: np.ndarray):
-    """(token, key) for the shingles of each document that may lead to a link.
+    """(token, key, n) for the shingles of each document that may lead to a link.
 
     The common order is by hash, with the ``frequent`` ones (signed, most frequent first) last.
     """
@@ -103,7 +123,7 @@ def _first_shingles(frequent: np.ndarray):
 
     def run(batches):
         for rows in batches:
-            tokens, keys = [], []
+            tokens, keys, sizes = [], [], []
             for s in _sets(rows["text"]):
                 if not len(s):
                     continue
@@ -120,9 +140,14 @@ def _first_shingles(frequent: np.ndarray):
                     s_first = s[:first]
                 tokens.append(s_first)
                 keys.append(np.full(len(s_first), _digest(s)[1]))
+                sizes.append(np.full(len(s_first), len(s), dtype=np.int32))
             if tokens:
                 yield pd.DataFrame(
-                    {"token": _signed(np.concatenate(tokens)), "key": np.concatenate(keys)}
+                    {
+                        "token": _signed(np.concatenate(tokens)),
+                        "key": np.concatenate(keys),
+                        "n": np.concatenate(sizes),
+                    }
                 )
 
     return run
@@ -134,9 +159,7 @@ def _whole_sets(batches):
         digests = [_digest(s) for s in sets]
         yield pd.DataFrame(
             {
-                "rep": rows["doc_id"],
-                "hi": [d[0] for d in digests],
-                "lo": [d[1] for d in digests],
+                "key": [d[1] for d in digests],
                 "tokens": [s.tobytes() for s in sets],
             }
         )
@@ -202,41 +225,106 @@ class TOccurrence:
         return found
 
 
-def link_cell(reps, sets: list[np.ndarray], side: np.ndarray) -> list[tuple]:
-    """(rep, smallest rep linked to it) within a cell, or between the two blocks of ``side``.
-
-    With one side, every pair counts; with two, only pairs of different sides are searched.
-    """
-    order = np.argsort(side, kind="stable")
-    sets, reps, side = [sets[i] for i in order], [reps[i] for i in order], side[order]
-    labels = np.arange(len(sets))
-    split = int((side == side[0]).sum())
-    two = split < len(sets)
-    index = TOccurrence(sets[:split] if two else sets)
-    for i in range(split if two else 1, len(sets)):
-        for other in index.search(sets[i], split if two else i, i, labels):
+def link_cell(keys: list, sets: list[np.ndarray], side: np.ndarray) -> list[tuple]:
+    """(key, smallest key linked to it): sets of side 1 are searched among those of side 0."""
+    hubs = np.flatnonzero(side == 0)
+    index, labels = TOccurrence([sets[i] for i in hubs]), np.arange(len(sets))
+    order = np.append(hubs, np.flatnonzero(side == 1))
+    for i in range(len(hubs), len(order)):
+        for other in index.search(sets[order[i]], len(hubs), i, labels):
             if labels[other] != labels[i]:
                 labels[labels == labels[other]] = labels[i]
     lowest: dict[int, object] = {}
-    for label, rep in zip(labels.tolist(), reps, strict=True):
-        lowest[label] = min(rep, lowest.get(label, rep))
+    for label, i in zip(labels.tolist(), order.tolist(), strict=True):
+        lowest[label] = min(keys[i], lowest.get(label, keys[i]))
     return [
-        (rep, lowest[label])
-        for label, rep in zip(labels.tolist(), reps, strict=True)
-        if rep != lowest[label]
+        (keys[i], lowest[label])
+        for label, i in zip(labels.tolist(), order.tolist(), strict=True)
+        if keys[i] != lowest[label]
     ]
 
 
 def _search_group(rows: pd.DataFrame) -> pd.DataFrame:
-    edges = []
-    rows = rows.drop_duplicates(["cell", "hi", "lo", "side"])
-    for _, own in rows.groupby("cell", sort=False):
-        if len(own) > 1:
-            sets = [np.frombuffer(b, dtype=np.uint64) for b in own["tokens"]]
-            edges += link_cell(own["rep"].tolist(), sets, own["side"].to_numpy())
+    rows = rows.drop_duplicates(["key", "side"])
+    sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["tokens"]]
+    edges = link_cell(rows["key"].tolist(), sets, rows["side"].to_numpy())
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
+def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
+    """Links (a, b) among classes: at least those of ``pairs`` (a, hub) that are similar enough.
+
+    Hubs are spread over tasks, a hub with many partners over several, each with a part of them.
+    """
+    met = pairs.groupBy("hub").agg(F.expr(f"ceil(count(*) / {BLOCK}D)").alias("chunks"))
+    spread = pairs.join(met, "hub").withColumn(
+        "chunk", F.expr("pmod(xxhash64(a, 3), chunks)")
+    )
+    groups = parts_for(pairs.count(), BLOCK)
+    place = f"pmod(xxhash64(hub, chunk), {groups}) AS place"
+    placed = spread.selectExpr("a AS key", place, "1 AS side").unionByName(
+        spread.selectExpr("hub AS key", place, "0 AS side")
+    )
+    placed = store.save(placed.distinct(), f"{name}-placed")
+    ids = owners.join(placed.select("key").distinct(), "key", "left_semi").select("doc_id")
+    sets = rows_with_keys(texts.select("doc_id", "text"), ids.distinct(), ["doc_id"]).mapInPandas(
+        _whole_sets, "key long, tokens binary"
+    )
+    # Few places are sent to the sets, so that these move only once.
+    few = placed.count() <= SENDABLE_ROWS
+    return store.save(
+        sets.join(F.broadcast(placed) if few else placed, "key")
+        .groupBy("place")
+        .applyInPandas(_search_group, "a long, b long"),
+        f"{name}-links",
+    )
+
+
+def _first_pairs(entries: DataFrame) -> DataFrame:
+    """(a, hub): each class with the leader with which it shares most first shingles."""
+    shared = entries.filter("key <> leader").groupBy("key", "n", "leader").count()
+    best = shared.groupBy("key", "n").agg(
+        F.expr("max_by(leader, struct(count, leader))").alias("hub"), F.max("count").alias("c")
+    )
+    need = f"ceil(n * {NUMERATOR} / {DENOMINATOR}D)"
+    return best.filter(f"c * {WORTHWHILE} >= n - {need} + 1").selectExpr("key AS a", "hub")
+
+
+def _open_pairs(entries: DataFrame, joined: DataFrame, store: Store) -> DataFrame:
+    """(a, hub): pairs of classes in different components that may be similar enough.
+
+    Of the first shingles of two sets, of which they share c, those of one set that end earlier in
+    the order are all known to be shared or not. So at most max(T, T') - 1 + c shingles are shared,
+    where T and T' are the least overlaps of the two sizes.
+    """
+    labelled = store.save(
+        entries.join(joined.withColumnRenamed("node", "key"), "key", "left").selectExpr(
+            "token", "key", "n", "coalesce(component, key) AS component"
+        ),
+        "labelled",
+    )
+    mixed = labelled.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x <> y").select("token")
+    rest = store.save(labelled.join(mixed, "token", "left_semi"), "rest")
+    size = f"a.n * {DENOMINATOR} >= b.n * {NUMERATOR} AND b.n * {DENOMINATOR} >= a.n * {NUMERATOR}"
+    counted = (
+        rest.alias("a")
+        .join(
+            rest.alias("b"),
+            F.expr(f"a.token = b.token AND a.key < b.key AND a.component <> b.component AND {size}"),
+        )
+        .groupBy(
+            F.expr("a.key").alias("hub"), F.expr("b.key").alias("a"), F.expr("a.n").alias("m"),
+            F.expr("b.n").alias("n"),
+        )
+        .count()
+    )
+    least = f"ceil(greatest(m, n) * {NUMERATOR} / {DENOMINATOR}D)"
+    overlap = f"ceil((m + n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR}D)"
+    return counted.filter(f"{least} - 1 + count >= {overlap}").select("a", "hub")
+
+
 def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -245,71 +333,40 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     component_id is the smallest id reachable over links, the own id included. Null texts and
     texts without words have no shingles and no links; a null id is never smallest, and stays null
     without links to others. ``text_key`` is the hash of the text, for joins back to rows whose id
-    is repeated. Shingles are 64-bit hashes: two different ones agree with probability 2^-64.
+    is repeated. Shingles and sets are known by 64-bit hashes: two different ones agree with
+    probability 2^-64.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     run, schema = _profile(kind)
     stored = store.save(texts.mapInPandas(run, schema), "profile")
     profile = stored.filter("NOT frequent").drop("frequent")
-    often = (
-        stored.filter("frequent").groupBy("hi").agg(F.sum("n_shingles").alias("n"))
-        .orderBy(F.desc("n"), "hi").limit(FREQUENT).toPandas()
+    often = _frequent(stored.filter("frequent"), store)
+    first = texts.mapInPandas(_first_shingles(often), "token long, key long, n int")
+    meet = first.selectExpr(
+        "*", "min(key) OVER (PARTITION BY token) AS leader",
+        "max(key) OVER (PARTITION BY token) AS last",
     )
-    first = texts.mapInPandas(
-        _first_shingles(often["hi"].to_numpy(np.int64)), "token long, key long"
-    )
-    # All classes that share a first shingle meet in the smallest of them.
-    meet = first.selectExpr("key", "min(key) OVER (PARTITION BY token) AS leader")
-    shared = store.save(
-        meet.filter("key <> leader").selectExpr("key AS a", "leader AS b").distinct(), "shared"
-    )
-    cells = store.save(connected_components(shared, store, "cells"), "cells")
+    entries = store.save(meet.filter("leader <> last").drop("last").distinct(), "entries")
+    with_words = profile.filter("n_shingles > 0").withColumnRenamed("lo", "key")
     classes = store.save(
-        profile.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")),
-        "classes",
-    )
-    members = classes.filter("rep IS NOT NULL").join(
-        cells.withColumnRenamed("node", "lo").withColumnRenamed("component", "cell"), "lo"
-    )
-    members = store.save(members, "members")
-    blocks = members.groupBy("cell").agg(F.expr(f"ceil(count(*) / {BLOCK}D)").alias("blocks"))
-    groups = parts_for(members.count(), BLOCK)
-    # A small cell goes with others; a large one meets in all pairs of its blocks.
-    placed = (
-        members.join(blocks, "cell")
-        .withColumn("block", F.expr("pmod(xxhash64(hi, lo), blocks)"))
-        .withColumn("other", F.expr("explode(sequence(0L, blocks - 1))"))
-        .selectExpr(
-            "rep", "hi", "lo", "cell",
-            f"IF(blocks = 1, pmod(xxhash64(cell), {groups}), cell) AS place",
-            "IF(blocks = 1, -1, least(block, other)) AS i",
-            "IF(blocks = 1, -1, greatest(block, other)) AS j",
-            "CAST(IF(block = other OR block < other, 0, 1) AS INT) AS side",
-        )
-    )
-    wanted = rows_with_keys(
-        texts.select("doc_id", "text"), members.selectExpr("rep AS doc_id").distinct(), ["doc_id"]
+        with_words.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
     )
-    sets = wanted.mapInPandas(_whole_sets, f"rep {kind}, hi long, lo long, tokens binary")
-    links = store.save(
-        placed.join(sets, ["rep", "hi", "lo"])
-        .groupBy("place", "i", "j")
-        .applyInPandas(_search_group, f"a {kind}, b {kind}"),
-        "links",
-    )
-    joined = connected_components(links, store, "linked").withColumnRenamed("node", "rep")
-    of_class = store.save(
-        classes.join(joined, "rep", "left").selectExpr(
-            "hi", "lo", "coalesce(component, rep) AS component_id"
-        ),
-        "of-class",
+    # Rows without an id are found by the text of another row, or have no links to search.
+    owners = classes.filter("rep IS NOT NULL").selectExpr("key", "rep AS doc_id")
+    links = _search(_first_pairs(entries), texts, owners, store, "first")
+    joined = connected_components(links, store, "first")
+    more = store.save(_open_pairs(entries, joined, store), "open")
+    links = links.unionByName(_search(more, texts, owners, store, "open"))
+    joined = connected_components(links, store, "linked").withColumnRenamed("node", "key")
+    of_class = classes.join(joined, "key", "left").selectExpr(
+        "key", "rep", "coalesce(component, key) AS component"
     )
-    with_words = profile.filter("n_shingles > 0").join(of_class, ["hi", "lo"])
+    lowest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = store.save(of_class.join(lowest, "component").select("key", "component_id"), "of")
     without = profile.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     names = ["doc_id", "text_key", "n_shingles", "component_id"]
-    return with_words.select(*names).unionByName(without.select(*names))
+    return with_words.join(of_class, "key").select(*names).unionByName(without.select(*names))
 
 
 def keep_one_of_each(docs: DataFrame, store: Store) -> DataFrame:
