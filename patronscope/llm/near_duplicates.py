@@ -91,12 +91,12 @@ def _profile(kind: str):
     )
 
 
-def _frequent(counted: DataFrame, store: Store) -> np.ndarray:
+def _frequent(counted: DataFrame, store: Store, name: str) -> np.ndarray:
     """Up to ``FREQUENT`` shingles (signed), most frequent first, from the tasks' own counts.
 
     All with a count above some least one, so neither side has to sort what doesn't fit.
     """
-    total = store.save(counted.groupBy("hi").agg(F.sum("n_shingles").alias("n")), "frequent")
+    total = store.save(counted.groupBy("hi").agg(F.sum("n_shingles").alias("n")), name)
     by_count = total.groupBy("n").agg(F.count("*").alias("shingles"))
     running = by_count.selectExpr("n", "sum(shingles) OVER (ORDER BY n DESC) AS so_far")
     least = running.filter(f"so_far <= {FREQUENT}").agg(F.min("n")).first()[0]
@@ -290,23 +290,25 @@ def _first_pairs(entries: DataFrame) -> DataFrame:
     return best.filter(f"c * {WORTHWHILE} >= n - {need} + 1").selectExpr("key AS a", "hub")
 
 
-def _open_pairs(entries: DataFrame, joined: DataFrame, store: Store) -> DataFrame:
+def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -> DataFrame:
+    """Entries (token, key, n, component) of shingles that different components share."""
+    labelled = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").selectExpr(
+        "token", "key", "n", "coalesce(component, key) AS component"
+    )
+    labelled = store.save(labelled, f"{name}-labelled")
+    mixed = labelled.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    ).filter("x <> y").select("token")
+    return store.save(labelled.join(mixed, "token", "left_semi"), name)
+
+
+def _open_pairs(rest: DataFrame) -> DataFrame:
     """(a, hub): pairs of classes in different components that may be similar enough.
 
     Of the first shingles of two sets, of which they share c, those of one set that end earlier in
     the order are all known to be shared or not. So at most max(T, T') - 1 + c shingles are shared,
     where T and T' are the least overlaps of the two sizes.
     """
-    labelled = store.save(
-        entries.join(joined.withColumnRenamed("node", "key"), "key", "left").selectExpr(
-            "token", "key", "n", "coalesce(component, key) AS component"
-        ),
-        "labelled",
-    )
-    mixed = labelled.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")
-    ).filter("x <> y").select("token")
-    rest = store.save(labelled.join(mixed, "token", "left_semi"), "rest")
     size = f"a.n * {DENOMINATOR} >= b.n * {NUMERATOR} AND b.n * {DENOMINATOR} >= a.n * {NUMERATOR}"
     counted = (
         rest.alias("a")
@@ -325,6 +327,18 @@ def _open_pairs(entries: DataFrame, joined: DataFrame, store: Store) -> DataFram
     return counted.filter(f"{least} - 1 + count >= {overlap}").select("a", "hub")
 
 
+def _meet(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """(token, key, n, leader) of first shingles that two classes share; leader is the smallest."""
+    first = texts.select("doc_id", "text").mapInPandas(
+        _first_shingles(often), "token long, key long, n int"
+    )
+    met = first.selectExpr(
+        "*", "min(key) OVER (PARTITION BY token) AS leader",
+        "max(key) OVER (PARTITION BY token) AS last",
+    )
+    return met.filter("leader <> last").drop("last").distinct()
+
+
 def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -341,13 +355,8 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     run, schema = _profile(kind)
     stored = store.save(texts.mapInPandas(run, schema), "profile")
     profile = stored.filter("NOT frequent").drop("frequent")
-    often = _frequent(stored.filter("frequent"), store)
-    first = texts.mapInPandas(_first_shingles(often), "token long, key long, n int")
-    meet = first.selectExpr(
-        "*", "min(key) OVER (PARTITION BY token) AS leader",
-        "max(key) OVER (PARTITION BY token) AS last",
-    )
-    entries = store.save(meet.filter("leader <> last").drop("last").distinct(), "entries")
+    often = _frequent(stored.filter("frequent"), store, "shared")
+    entries = store.save(_meet(texts, often), "entries")
     with_words = profile.filter("n_shingles > 0").withColumnRenamed("lo", "key")
     classes = store.save(
         with_words.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
@@ -356,8 +365,22 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     owners = classes.filter("rep IS NOT NULL").selectExpr("key", "rep AS doc_id")
     links = _search(_first_pairs(entries), texts, owners, store, "first")
     joined = connected_components(links, store, "first")
-    more = store.save(_open_pairs(entries, joined, store), "open")
-    links = links.unionByName(_search(more, texts, owners, store, "open"))
+    rest = _unsettled(entries, joined, store, "unsettled")
+    # What is still open meets again in a better order: shingles known to be shared come last. Two
+    # classes to be linked are both among these, so the order has to be common to them alone.
+    counted = stored.filter("frequent").select("hi", "n_shingles").unionByName(
+        rest.selectExpr("token AS hi", "1L AS n_shingles")
+    )
+    often = _frequent(counted, store, "shared-again")
+    ids = owners.join(rest.select("key").distinct(), "key", "left_semi").select("doc_id")
+    again = store.save(
+        _meet(rows_with_keys(texts, ids.distinct(), ["doc_id"]), often), "entries-again"
+    )
+    rest = _unsettled(again.drop("leader"), joined, store, "open")
+    more = store.save(_open_pairs(rest), "open-pairs")
+    links = joined.selectExpr("node AS a", "component AS b").unionByName(
+        _search(more, texts, owners, store, "last")
+    )
     joined = connected_components(links, store, "linked").withColumnRenamed("node", "key")
     of_class = classes.join(joined, "key", "left").selectExpr(
         "key", "rep", "coalesce(component, key) AS component"

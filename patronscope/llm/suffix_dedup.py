@@ -327,7 +327,7 @@ def repeated_strings(numbered: DataFrame, store: Store) -> DataFrame:
         .groupBy("id", "copy")
         .agg(
             F.expr(
-                "collect_list(struct(lo, n, seed, coalesce(crowded, false) AS crowded))"
+                "collect_set(struct(lo, n, seed, coalesce(crowded, false) AS crowded))"
             ).alias("wanted")
         )
     )
