@@ -25,6 +25,7 @@ from patronscope.operators import features as ft  # noqa: E402
 from patronscope.operators.clean import clean_transactions, load_stats  # noqa: E402
 from patronscope.plans import pipeline  # noqa: E402
 from patronscope.sources import tables, transactions  # noqa: E402
+from patronscope.sources.small import small_table  # noqa: E402
 from patronscope.sources.workspace import Workspace  # noqa: E402
 
 try:
@@ -162,6 +163,10 @@ def _scored_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_scored(spark, path, "csv")
 
 
+def _playbook(spark: SparkSession) -> DataFrame:
+    return small_table(spark, duckdb_checks.TEST_PLAYBOOK, segments.PLAYBOOK_SCHEMA)
+
+
 def _on_labelled(report: Callable[..., DataFrame], *arguments) -> Query:
     return lambda spark, folder: report(_labelled(spark, folder), *arguments)
 
@@ -192,9 +197,11 @@ def queries() -> dict[str, Query]:
         "kmeans_segments": _kmeans_segments,
         "assign_centroid": _assign_centroid,
         "inertia_fixed": lambda s, d: _six(cl.inertia(_assigned(s, d)), "inertia"),
-        "silhouette_exact": lambda s, d: _six(cl.silhouette(_assigned(s, d)), "silhouette"),
+        "silhouette_exact": lambda s, d: _six(
+            cl.silhouette(_assigned(s, d), cl.EUCLIDEAN), "silhouette"
+        ),
         "silhouette_squared": lambda s, d: _six(
-            cl.silhouette(_assigned(s, d), pairwise_limit=0), "silhouette"
+            cl.silhouette(_assigned(s, d), cl.SQUARED), "silhouette"
         ),
         "cluster_ranking": lambda s, d: segments.cluster_ranking(_assigned(s, d)),
         "segment_labels": _labelled,
@@ -222,7 +229,7 @@ def queries() -> dict[str, Query]:
         "scatter_points": _on_labelled(reports.scatter_points),
         "customer_profile": _on_labelled(explorer.customer_profile, " 101 "),
         "explorer_table": _on_labelled(explorer.explorer_table, CHOSEN, "monetary", False),
-        "segment_playbook": _on_labelled(segments.segment_playbook),
+        "segment_playbook": lambda s, d: segments.segment_playbook(_labelled(s, d), _playbook(s)),
         "scored_roundtrip": _scored_roundtrip,
     }
     if llm_queries:

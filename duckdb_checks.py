@@ -156,13 +156,20 @@ SCORED = "customer_id, recency, frequency, monetary, r_score, f_score, m_score,
 PLAYS = "segment, customers, priority, action_no, action, target"
 
 
-def playbook_values() -> str:
-    from patronscope.catalog import PLAYBOOK
+# A playbook to test with: uneven numbers of actions, one segment without any, one not listed.
+TEST_PLAYBOOK = (
+    ("Champions", "p1", ["action a", "action b", "action c"], "t1"),
+    ("Loyal Customers", "p2", ["action d"], "t2"),
+    ("Potential Loyalists", "p3", [], "t3"),
+    ("Lost / Churned", "p4", ["action e", "action f"], "t4"),
+)
 
+
+def playbook_values() -> str:
     return ", ".join(
-        f"('{name}', '{play.priority}', {number}, '{action}', '{play.target}')"
-        for name, play in PLAYBOOK.items()
-        for number, action in enumerate(play.actions, 1)
+        f"('{name}', '{priority}', {number}, '{action}', '{target}')"
+        for name, priority, actions, target in TEST_PLAYBOOK
+        for number, action in enumerate(actions, 1)
     )
 
 

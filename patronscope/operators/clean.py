@@ -12,6 +12,9 @@ from patronscope.sources.transactions import canonical
 # First letters of invoices that are not sales.
 EXCLUDED_PREFIXES = ("C", "D", "M", "S")
 
+# Digits of a quantity (an int), and digits before the point that a price may have.
+QUANTITY_DIGITS, WHOLE_DIGITS = 10, 15
+
 
 def clean_transactions(tx: DataFrame) -> DataFrame:
     """Keep sales to known customers and add ``revenue``.
@@ -42,8 +45,15 @@ def _revenue(tx: DataFrame) -> str:
     if is_floating(tx, "quantity") or is_floating(tx, "unit_price"):
         return "cast(quantity * unit_price as decimal(28, 8))"
     price = tx.schema["unit_price"].dataType
-    scale = price.scale if isinstance(price, T.DecimalType) else 0
-    return f"cast(quantity * unit_price as decimal({max(18, scale)}, {scale}))"
+    if not isinstance(price, T.DecimalType):
+        return "cast(quantity as decimal(19, 0)) * cast(unit_price as decimal(19, 0))"
+    # The product of narrowed factors keeps every digit: Spark adds up their precisions, plus one.
+    whole = min(price.precision - price.scale, WHOLE_DIGITS)
+    scale = min(price.scale, 38 - 1 - QUANTITY_DIGITS - whole)
+    return (
+        f"cast(quantity as decimal({QUANTITY_DIGITS}, 0))"
+        f" * cast(unit_price as decimal({whole + scale}, {scale}))"
+    )
 
 
 def load_stats(clean_tx: DataFrame) -> DataFrame:

@@ -20,8 +20,6 @@ from patronscope.sources.small import small_table
 # Functions of this module travel to tasks by value: workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Above this many customers the pairwise silhouette gives way to its linear, squared form.
-PAIRWISE_LIMIT = 50_000
 # Distances held at once while computing pairwise silhouettes: 8 bytes each, so 32 MB.
 PAIRWISE_BLOCK = 4_000_000
 
@@ -79,12 +77,12 @@ def k_sweep(
     seed: int,
     max_iter: int = 300,
     tol: float = 1e-4,
-    pairwise_limit: int = PAIRWISE_LIMIT,
+    measure: str = SQUARED,
 ) -> DataFrame:
     """Inertia and silhouette per number of clusters.
 
-    Up to ``pairwise_limit`` customers the silhouette is the Euclidean one; above, the squared
-    Euclidean one, which needs two passes. Column ``measure`` tells which.
+    ``measure`` holds at any size. The squared Euclidean silhouette takes two linear passes; the
+    Euclidean one is quadratic and sends all points to every task, so it is for small tables.
     """
     ks = sorted(set(ks))
     best = _best_of_starts(features, ks, starts, seed, max_iter, tol)
@@ -92,7 +90,7 @@ def k_sweep(
     points = features.selectExpr(
         *FEATURES, *[f"{nearest_center(best[k].centers)}.cluster as cluster_{k}" for k in ks]
     )
-    scores, measure = _silhouettes(points, labels, pairwise_limit)
+    scores = _silhouettes(points, labels, measure)
     return small_table(
         features.sparkSession,
         [(k, best[k].inertia, score, measure) for k, score in zip(ks, scores)],
@@ -100,19 +98,21 @@ def k_sweep(
     )
 
 
-def silhouette(assigned: DataFrame, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
+def silhouette(assigned: DataFrame, measure: str = SQUARED) -> DataFrame:
     """Mean silhouette of a clustering in one row; see :func:`k_sweep` for the measure."""
     points = assigned.select(*FEATURES, "cluster")
-    (score,), measure = _silhouettes(points, ["cluster"], pairwise_limit)
+    (score,) = _silhouettes(points, ["cluster"], measure)
     return small_table(
         assigned.sparkSession, [(score, measure)], "silhouette double, measure string"
     )
 
 
 def _silhouettes(
-    points: DataFrame, labels: Sequence[str], pairwise_limit: int
-) -> tuple[list[float], str]:
+    points: DataFrame, labels: Sequence[str], measure: str
+) -> list[float]:
     """Mean silhouette of each label column of ``points``, from passes shared by all of them."""
+    if measure not in (EUCLIDEAN, SQUARED):
+        raise ValueError(f"measure is {EUCLIDEAN!r} or {SQUARED!r}, not {measure!r}")
     totals = _cluster_totals(points, labels)
     n = int(totals[0].sizes.sum())
     for found in totals:
@@ -121,10 +121,10 @@ def _silhouettes(
                 f"a silhouette of {n} customers needs 2 to {n - 1} clusters, "
                 f"found {len(found.names)}"
             )
-    if n <= pairwise_limit:
-        distances, measure = _pairwise_distances(points, labels, totals), EUCLIDEAN
-    else:
-        distances, measure = _squared_distances(totals), SQUARED
+    pairwise = measure == EUCLIDEAN
+    distances = (
+        _pairwise_distances(points, labels, totals) if pairwise else _squared_distances(totals)
+    )
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(labels))
@@ -138,14 +138,14 @@ def _silhouettes(
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list(labels))
 
     summed = (
-        # At most the pairwise limit is moved, to share the quadratic work; otherwise nothing is.
+        # Points move only to share the quadratic work.
         (points.repartition(points.sparkSession.sparkContext.defaultParallelism)
-         if n <= pairwise_limit else points)
+         if pairwise else points)
         .mapInArrow(gains, ", ".join(f"{label} double" for label in labels))
         .agg(*[F.sum(label) for label in labels])
         .first()
     )
-    return [total / n for total in summed], measure
+    return [total / n for total in summed]
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,7 @@ def _squared_distances(totals: Sequence[_Totals]) -> Distances:
 def _pairwise_distances(
     points: DataFrame, labels: Sequence[str], totals: Sequence[_Totals]
 ) -> Distances:
-    """Sums of distances to a broadcast of all points, at most ``PAIRWISE_LIMIT`` of them.
+    """Sums of distances to a broadcast of all points.
 
     Each task takes the distances of a block of its points to all others once for all labels.
     """

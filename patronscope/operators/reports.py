@@ -90,8 +90,7 @@ def portfolio_kpis(labelled: DataFrame, chosen: CustomerFilter) -> DataFrame:
     total = exact_total("monetary")
     return filtered_customers(labelled, chosen).selectExpr(
         "count(*) as n_rows",
-        # Customer ids are unique here, so counting them needs no distinct.
-        "count(customer_id) as customers",
+        "count(distinct customer_id) as customers",
         f"coalesce({total}, 0D) as total_revenue",
         f"try_divide({total}, count(monetary)) as avg_monetary",
         "avg(recency) as avg_recency",

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronscope.catalog import PLAYBOOK, SEGMENTS, Play
+from patronscope.catalog import SEGMENTS
 from patronscope.functions.numeric import half_even, quoted_array
 from patronscope.functions.order_stats import exact_quantiles
 from patronscope.sources.small import small_table
 
+PLAYBOOK_SCHEMA = "segment string, priority string, actions array<string>, target string"
+
 
 def in_display_order(df: DataFrame, names: Sequence[str] = SEGMENTS) -> DataFrame:
     """Sort by the place of ``segment`` in the catalogue, unknown names last."""
@@ -73,18 +75,13 @@ def segment_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def segment_playbook(
-    labelled: DataFrame, playbook: Mapping[str, Play] = PLAYBOOK
-) -> DataFrame:
-    """One row per recommended action of each segment present, numbered from 1."""
-    rows = [(name, p.priority, list(p.actions), p.target) for name, p in playbook.items()]
-    plays = small_table(
-        labelled.sparkSession,
-        rows,
-        "segment string, priority string, actions array<string>, target string",
-    )
+def segment_playbook(labelled: DataFrame, playbook: DataFrame) -> DataFrame:
+    """One row per recommended action of each segment present, numbered from 1.
+
+    ``playbook`` is the user's own table of ``PLAYBOOK_SCHEMA``, one row per segment. A segment
+    without a row, or whose row has no actions, has no rows in the result.
+    """
     sizes = labelled.groupBy("segment").agg(F.count("*").alias("customers"))
-    # The playbook has one row per segment name.
-    return sizes.join(F.broadcast(plays), "segment").selectExpr(
+    return sizes.join(playbook, "segment").selectExpr(
         "segment", "customers", "priority", "posexplode(actions) as (at, action)", "target"
     ).selectExpr("segment", "customers", "priority", "at + 1 as action_no", "action", "target")

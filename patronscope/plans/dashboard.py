@@ -43,13 +43,17 @@ def overview(
 
 
 def segment_detail(
-    scored: DataFrame, summary: DataFrame, segment: str, chosen: CustomerFilter = CustomerFilter()
+    scored: DataFrame,
+    summary: DataFrame,
+    segment: str,
+    playbook: DataFrame,
+    chosen: CustomerFilter = CustomerFilter(),
 ) -> dict[str, DataFrame]:
-    """One segment: its summary row, its spread next to everyone's, and what to do with it."""
+    """One segment: its summary row, its spread next to everyone's, and its part of the playbook."""
     return {
         "kpis": segment_kpis(summary, segment),
         "boxes": segment_vs_portfolio(scored, segment, chosen),
-        "playbook": segment_playbook(scored.where(F.col("segment") == segment)),
+        "playbook": segment_playbook(scored.where(F.col("segment") == segment), playbook),
     }
 
 

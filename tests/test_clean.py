@@ -87,3 +87,25 @@ def test_filters_reach_the_scan(spark, tmp_path):
     for pushed in ("IsNotNull(customer_id)", "GreaterThan(quantity,0)", "GreaterThan(unit_price,0.0)"):
         assert pushed in plan
     assert "note" not in plan
+
+
+@pytest.mark.parametrize(
+    "kind", ["decimal(38,18)", "decimal(20,10)", "decimal(10,2)", "int", "bigint", "double"]
+)
+def test_revenue_of_any_price_type(spark, kind):
+    lines = [(2**31 - 1, "7"), (3, "2"), (1, "20000000")]
+    df = spark.createDataFrame(lines, "quantity int, price string").selectExpr(
+        "'1' as invoice_no", "timestamp_ntz'2024-05-01' as invoice_ts", "1L as customer_id",
+        "quantity", f"cast(price as {kind}) as unit_price",
+    )
+    total = clean_transactions(df.where("unit_price is not null")).selectExpr("sum(revenue)").first()
+    whole = sum(q * int(p) for q, p in lines)
+    assert int(total[0]) == whole
+
+
+def test_revenue_keeps_digits(spark):
+    df = spark.sql(
+        "select '1' as invoice_no, timestamp_ntz'2024-05-01' as invoice_ts, 1L as customer_id,"
+        " 10 as quantity, cast('2500000000.5000000001' as decimal(20,10)) as unit_price"
+    )
+    assert str(clean_transactions(df).first().revenue).rstrip("0") == "25000000005.000000001"

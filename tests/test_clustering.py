@@ -72,7 +72,7 @@ def test_sweep(blobs):
     assert got["k"].tolist() == [2, 3, 4, 5, 6]
     assert got["inertia"].is_monotonic_decreasing
     assert got["silhouette"].between(-1, 1).all()
-    assert set(got["measure"]) == {EUCLIDEAN}
+    assert set(got["measure"]) == {SQUARED}
     assert got.set_index("k")["silhouette"].idxmax() == 5
 
 
@@ -81,10 +81,10 @@ def test_silhouettes(blobs):
     assigned = assign_centroid(blobs, centers)
     table = assigned.toPandas()
     points, labels = table[list(FEATURES)].to_numpy(), table["cluster"].to_numpy()
-    exact = silhouette(assigned).first()
+    exact = silhouette(assigned, EUCLIDEAN).first()
     assert exact.measure == EUCLIDEAN
     assert exact.silhouette == pytest.approx(silhouette_by_hand(points, labels))
-    squared = silhouette(assigned, pairwise_limit=10).first()
+    squared = silhouette(assigned).first()
     assert squared.measure == SQUARED
     assert squared.silhouette == pytest.approx(silhouette_by_hand(points, labels, squared=True))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(assigned)
@@ -94,9 +94,9 @@ def test_silhouettes(blobs):
     assert squared.silhouette == pytest.approx(theirs)
 
 
-def test_sweep_beyond_the_pairwise_limit(blobs):
-    got = k_sweep(blobs, [3, 5], starts=4, seed=42, pairwise_limit=100).toPandas()
-    assert set(got["measure"]) == {SQUARED}
+def test_sweep_keeps_the_measure_asked_for(blobs):
+    got = k_sweep(blobs, [3, 5], starts=4, seed=42, measure=EUCLIDEAN).toPandas()
+    assert set(got["measure"]) == {EUCLIDEAN}
     assert got["silhouette"].is_monotonic_increasing
 
 
@@ -114,7 +114,7 @@ def test_lone_points_and_twins(spark):
     )
     table = df.toPandas()
     want = silhouette_by_hand(table[list(FEATURES)].to_numpy(), table["cluster"].to_numpy())
-    assert silhouette(df).first().silhouette == pytest.approx(want)
+    assert silhouette(df, EUCLIDEAN).first().silhouette == pytest.approx(want)
 
 
 def test_too_few_customers(spark, blobs):

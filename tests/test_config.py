@@ -1,6 +1,6 @@
 import pytest
 
-from patronscope.catalog import METRICS, PLAYBOOK, SEGMENTS
+from patronscope.catalog import METRICS, SEGMENTS
 from patronscope.config import HeatmapBands, SegmentationConfig
 
 
@@ -50,7 +50,5 @@ def test_bad_bands():
         HeatmapBands(recency_edges=(1, 0), recency_labels=("a", "b"))
 
 
-def test_five_segments_with_plays():
-    assert len(SEGMENTS) == 5
-    assert tuple(PLAYBOOK) == SEGMENTS
-    assert all(len(p.actions) == 4 and p.target for p in PLAYBOOK.values())
+def test_five_segments():
+    assert len(set(SEGMENTS)) == 5

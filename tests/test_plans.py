@@ -4,6 +4,7 @@ from conftest import rows
 from patronscope.__main__ import main
 from patronscope.catalog import SEGMENTS
 from patronscope.config import CustomerFilter, SegmentationConfig
+from patronscope.operators.segments import PLAYBOOK_SCHEMA
 from patronscope.plans import dashboard
 from patronscope.plans.pipeline import run
 
@@ -50,20 +51,23 @@ def test_chart_tables_are_written(spark, result):
 def test_dashboard_tabs(result):
     scored, summary = result[1].scored, result[1].summary
     chosen = CustomerFilter(segments=SEGMENTS[:3])
+    plays = scored.sparkSession.createDataFrame(
+        [(SEGMENTS[0], "p", ["a", "b"], "t")], PLAYBOOK_SCHEMA
+    )
     assert dashboard.has_customers(scored, chosen)
     assert not dashboard.has_customers(scored, CustomerFilter(segments=[]))
     assert not dashboard.has_customers(scored, CustomerFilter(score_lo=16))
     frames = {
         **dashboard.overview(scored, summary, chosen),
         **{f"detail_{k}": v for k, v in
-           dashboard.segment_detail(scored, summary, SEGMENTS[0], chosen).items()},
+           dashboard.segment_detail(scored, summary, SEGMENTS[0], plays, chosen).items()},
         **dashboard.explorer(scored, chosen, "monetary", True),
     }
     counts = {name: len(rows(df)) for name, df in frames.items()}
     in_view = scored.where(scored.segment.isin(*SEGMENTS[:3])).count()
     assert counts["kpis"] == 1 and counts["shares"] == 3 and counts["heatmap"] == 30
     assert counts["detail_kpis"] == 1 and counts["detail_boxes"] == 6
-    assert counts["detail_playbook"] == 4 and counts["table"] == in_view
+    assert counts["detail_playbook"] == 2 and counts["table"] == in_view
 
 
 def test_too_few_customers(sales_df, tmp_path):

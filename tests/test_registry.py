@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -23,7 +24,8 @@ def duck():
 
 
 def test_all_but_seeded_training_have_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"k_sweep", "kmeans_segments"}
+    own = {q for q in registry.queries() if not re.match(r"op\d+_|pipeline$", q)}
+    assert own - set(registry.oracle_sql()) == {"k_sweep", "kmeans_segments"}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 

@@ -10,6 +10,7 @@ from patronscope.operators.segments import (
     require_labelled,
     segment_counts,
     segment_labels,
+    PLAYBOOK_SCHEMA,
     segment_playbook,
 )
 
@@ -68,11 +69,12 @@ def test_unknown_segments_come_last(spark):
 
 def test_playbook(assigned):
     few = assigned.where("cluster in (0, 2)")
-    plays = rows(segment_playbook(segment_labels(few, cluster_ranking(few))))
-    assert len(plays) == 8
-    champions = [p for p in plays if p[0] == "Champions"]
-    assert [p[3] for p in champions] == [1, 2, 3, 4]
-    assert {(p[1], p[2]) for p in champions} == {(2, "PROTECT")}
+    own = [("Champions", "p", ["x", "y", "z"], "t"), ("Nobody", "q", ["u"], "v")]
+    table = few.sparkSession.createDataFrame(own, PLAYBOOK_SCHEMA)
+    plays = rows(segment_playbook(segment_labels(few, cluster_ranking(few)), table))
+    assert sorted(tuple(p) for p in plays) == [
+        ("Champions", 2, "p", n, a, "t") for n, a in enumerate("xyz", 1)
+    ]
 
 
 def test_naming_joins_no_customers(assigned):
