@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents with equal shingle sets are one class from the start. Two classes can only be linked if
-they share a shingle among the first few of each in one common order; how many such shingles they
-share bounds their similarity. Classes first meet the one with which they share most, which joins
+they share a shingle among the first few of each in one common order; the places of the first such
+shingle bound their similarity. Classes first meet the one with which they share most, which joins
 large groups at the cost of one search each. Then every pair of classes that share a first shingle,
 are not joined yet and may still be similar enough is searched, so no link between different
 components is lost. A search has an index of inverted lists: the required overlap T splits a
@@ -32,6 +32,8 @@ FREQUENT = 1 << 21
 COUNTED_FROM = 2
 # Documents that are searched in one task.
 BLOCK = 2048
+# Shingles before a shared one that are looked at for another. Only speed depends on it.
+LOOK_BACK = 6
 # Share of a document's first shingles (one in so many) that makes a first meeting worthwhile.
 WORTHWHILE = 5
 
@@ -113,9 +115,10 @@ def required(n):
 
 
 def _first_shingles(frequent: np.ndarray):
-    """(token, key, n) for the shingles of each document that may lead to a link.
+    """(token, key, n, place) for the shingles of each document that may lead to a link.
 
-    The common order is by hash, with the ``frequent`` ones (signed, most frequent first) last.
+    The common order is by hash, with the ``frequent`` ones (signed, most frequent first) last;
+    ``place`` counts a document's shingles in this order from 0.
     """
     known = frequent.view(np.uint64)
     by_value = np.argsort(known)
@@ -123,7 +126,7 @@ def _first_shingles(frequent: np.ndarray):
 
     def run(batches):
         for rows in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, places = [], [], [], []
             for s in _sets(rows["text"]):
                 if not len(s):
                     continue
@@ -141,12 +144,14 @@ def _first_shingles(frequent: np.ndarray):
                 tokens.append(s_first)
                 keys.append(np.full(len(s_first), _digest(s)[1]))
                 sizes.append(np.full(len(s_first), len(s), dtype=np.int32))
+                places.append(np.arange(len(s_first), dtype=np.int32))
             if tokens:
                 yield pd.DataFrame(
                     {
                         "token": _signed(np.concatenate(tokens)),
                         "key": np.concatenate(keys),
                         "n": np.concatenate(sizes),
+                        "place": np.concatenate(places),
                     }
                 )
 
@@ -291,9 +296,9 @@ def _first_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -> DataFrame:
-    """Entries (token, key, n, component) of shingles that different components share."""
+    """Entries (token, key, n, place, component) of shingles that different components share."""
     labelled = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").selectExpr(
-        "token", "key", "n", "coalesce(component, key) AS component"
+        "token", "key", "n", "place", "coalesce(component, key) AS component"
     )
     labelled = store.save(labelled, f"{name}-labelled")
     mixed = labelled.groupBy("token").agg(
@@ -305,32 +310,36 @@ def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -
 def _open_pairs(rest: DataFrame) -> DataFrame:
     """(a, hub): pairs of classes in different components that may be similar enough.
 
-    Of the first shingles of two sets, of which they share c, those of one set that end earlier in
-    the order are all known to be shared or not. So at most max(T, T') - 1 + c shingles are shared,
-    where T and T' are the least overlaps of the two sizes.
+    What two sets share begins with their first shared shingle, so its places tell how much they can
+    share at most: no pair to be linked is lost. A pair usually shares runs of shingles, and a row
+    for each would be needless: one with a shared shingle shortly before it, in both sets, is left
+    out. That one has a row of its own or in turn one before it, so a first one always stays.
     """
-    size = f"a.n * {DENOMINATOR} >= b.n * {NUMERATOR} AND b.n * {DENOMINATOR} >= a.n * {NUMERATOR}"
-    counted = (
-        rest.alias("a")
-        .join(
-            rest.alias("b"),
-            F.expr(f"a.token = b.token AND a.key < b.key AND a.component <> b.component AND {size}"),
-        )
-        .groupBy(
-            F.expr("a.key").alias("hub"), F.expr("b.key").alias("a"), F.expr("a.n").alias("m"),
-            F.expr("b.n").alias("n"),
-        )
-        .count()
-    )
-    least = f"ceil(greatest(m, n) * {NUMERATOR} / {DENOMINATOR}D)"
-    overlap = f"ceil((m + n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR}D)"
-    return counted.filter(f"{least} - 1 + count >= {overlap}").select("a", "hub")
+    near = rest.withColumn(
+        "before",
+        F.expr(
+            "collect_list(token) OVER (PARTITION BY key ORDER BY place"
+            f" ROWS BETWEEN {LOOK_BACK} PRECEDING AND 1 PRECEDING)"
+        ),
+    )
+    least = f"ceil((a.n + b.n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR}D)"
+    met = near.alias("a").join(
+        near.alias("b"),
+        F.expr(
+            "a.token = b.token AND a.key < b.key AND a.component <> b.component"
+            f" AND a.n - a.place >= {least} AND b.n - b.place >= {least}"
+            f" AND a.n * {DENOMINATOR} >= b.n * {NUMERATOR}"
+            f" AND b.n * {DENOMINATOR} >= a.n * {NUMERATOR}"
+            " AND NOT arrays_overlap(a.before, b.before)"
+        ),
+    )
+    return met.select(F.expr("b.key").alias("a"), F.expr("a.key").alias("hub")).distinct()
 
 
 def _meet(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """(token, key, n, leader) of first shingles that two classes share; leader is the smallest."""
+    """(token, key, n, place, leader) of first shingles that two classes share; leader is the smallest."""
     first = texts.select("doc_id", "text").mapInPandas(
-        _first_shingles(often), "token long, key long, n int"
+        _first_shingles(often), "token long, key long, n int, place int"
     )
     met = first.selectExpr(
         "*", "min(key) OVER (PARTITION BY token) AS leader",
