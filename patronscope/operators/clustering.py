@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.functions.numeric import double
 from patronscope.operators.features import FEATURES
-from patronscope.operators.kmeans import Clustering, fit_models
+from patronscope.operators.kmeans import Clustering, fit_models, train
 from patronscope.sources.small import small_table
 
 # Functions of this module travel to tasks by value: workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Distances held at once while computing pairwise silhouettes: 8 bytes each, so 32 MB.
-PAIRWISE_BLOCK = 4_000_000
+# Points per tile of a pairwise silhouette; a task holds the distances of two tiles, 32 MB.
+TILE = 2_048
 
 EUCLIDEAN = "euclidean"
 SQUARED = "squared_euclidean"
@@ -52,19 +53,40 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.selectExpr("sum(dist2) as inertia")
 
 
+Centers = Sequence[Sequence[float]]
+
+
 def fit_kmeans(
-    features: DataFrame, k: int, starts: int, seed: int, max_iter: int = 300, tol: float = 1e-4
+    features: DataFrame,
+    k: int,
+    starts: int,
+    seed: int,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    init: Sequence[Centers] | None = None,
 ) -> Clustering:
-    """The best of ``starts`` models by inertia."""
-    return _best_of_starts(features, [k], starts, seed, max_iter, tol)[k]
+    """The best by inertia of ``starts`` seeded models, or of those that start from ``init``."""
+    given = None if init is None else {k: init}
+    return _best_of_starts(features, [k], starts, seed, max_iter, tol, given)[k]
 
 
 def _best_of_starts(
-    features: DataFrame, ks: Sequence[int], starts: int, seed: int, max_iter: int, tol: float
+    features: DataFrame,
+    ks: Sequence[int],
+    starts: int,
+    seed: int,
+    max_iter: int,
+    tol: float,
+    init: Mapping[int, Sequence[Centers]] | None,
 ) -> dict[int, Clustering]:
-    jobs = [(k, seed + i) for k in ks for i in range(starts)]
+    if init is None:
+        jobs = [(k, seed + i) for k in ks for i in range(starts)]
+        models = fit_models(features, jobs, max_iter, tol)
+    else:
+        models = train(features, [start for k in ks for start in init[k]], max_iter, tol)
     best: dict[int, Clustering] = {}
-    for (k, _), model in zip(jobs, fit_models(features, jobs, max_iter, tol)):
+    for model in models:
+        k = len(model.centers)
         if k not in best or model.inertia < best[k].inertia:
             best[k] = model
     return best
@@ -78,14 +100,16 @@ def k_sweep(
     max_iter: int = 300,
     tol: float = 1e-4,
     measure: str = SQUARED,
+    init: Mapping[int, Sequence[Centers]] | None = None,
 ) -> DataFrame:
     """Inertia and silhouette per number of clusters.
 
     ``measure`` holds at any size. The squared Euclidean silhouette takes two linear passes; the
-    Euclidean one is quadratic and sends all points to every task, so it is for small tables.
+    Euclidean one takes all distances, so its work is quadratic. With ``init``, starting centres per
+    number of clusters, ``starts`` and ``seed`` have no effect.
     """
     ks = sorted(set(ks))
-    best = _best_of_starts(features, ks, starts, seed, max_iter, tol)
+    best = _best_of_starts(features, ks, starts, seed, max_iter, tol, init)
     labels = [f"cluster_{k}" for k in ks]
     points = features.selectExpr(
         *FEATURES, *[f"{nearest_center(best[k].centers)}.cluster as cluster_{k}" for k in ks]
@@ -121,31 +145,27 @@ def _silhouettes(
                 f"a silhouette of {n} customers needs 2 to {n - 1} clusters, "
                 f"found {len(found.names)}"
             )
-    pairwise = measure == EUCLIDEAN
-    distances = (
-        _pairwise_distances(points, labels, totals) if pairwise else _squared_distances(totals)
-    )
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(labels))
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            axes, numbers = np.array(columns[: len(FEATURES)]), columns[len(FEATURES) :]
-            for span, place, to_clusters in distances(axes):
-                found = totals[place]
-                home = np.searchsorted(found.names, numbers[place][span])
-                sums[place] += _gains(to_clusters, found.sizes, home).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list(labels))
-
-    summed = (
-        # Points move only to share the quadratic work.
-        (points.repartition(points.sparkSession.sparkContext.defaultParallelism)
-         if pairwise else points)
-        .mapInArrow(gains, ", ".join(f"{label} double" for label in labels))
-        .agg(*[F.sum(label) for label in labels])
-        .first()
-    )
-    return [total / n for total in summed]
+    sums = _pairwise_sums if measure == EUCLIDEAN else _squared_sums
+    with sums(points, labels, totals) as summed:
+
+        def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gained = np.zeros(len(labels))
+            for batch in batches:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                numbers, at = columns[: len(labels)], len(labels)
+                for place, found in enumerate(totals):
+                    to_clusters = np.column_stack(columns[at : at + len(found.names)])
+                    at += len(found.names)
+                    home = np.searchsorted(found.names, numbers[place])
+                    gained[place] += _gains(to_clusters, found.sizes, home).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in gained], names=list(labels))
+
+        gained = (
+            summed.mapInArrow(gains, ", ".join(f"{label} double" for label in labels))
+            .agg(*[F.sum(label) for label in labels])
+            .first()
+        )
+    return [total / n for total in gained]
 
 
 @dataclass(frozen=True)
@@ -179,48 +199,109 @@ def _cluster_totals(points: DataFrame, labels: Sequence[str]) -> list[_Totals]:
     ]
 
 
-# Yields (slice of the batch, label column, summed distances of its points to each cluster).
-Distances = Callable[[np.ndarray], Iterator[tuple[slice, int, np.ndarray]]]
+def _sum_columns(totals: Sequence[_Totals]) -> list[str]:
+    return [f"to_{i}_{j}" for i, found in enumerate(totals) for j in range(len(found.names))]
 
 
-def _squared_distances(totals: Sequence[_Totals]) -> Distances:
-    """Sums of squared distances, which follow from a cluster's size, sum and squared norms."""
+@contextmanager
+def _squared_sums(
+    points: DataFrame, labels: Sequence[str], totals: Sequence[_Totals]
+) -> Iterator[DataFrame]:
+    """Per point its labels and its summed squared distances to each cluster of each label.
+
+    They follow from a cluster's size, coordinate sums and squared norms.
+    """
+    names = _sum_columns(totals)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            axes = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[:len(FEATURES)]])
+            norms = (axes**2).sum(axis=0)
+            summed = [
+                np.outer(norms, t.sizes) - 2 * (axes.T @ t.sums.T) + t.norms for t in totals
+            ]
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[len(FEATURES) :] + [pa.array(c) for c in np.hstack(summed).T],
+                names=[*labels, *names],
+            )
 
-    def distances(axes: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
-        norms = (axes**2).sum(axis=0)
-        for place, found in enumerate(totals):
-            cross = axes.T @ found.sums.T
-            yield slice(None), place, np.outer(norms, found.sizes) - 2 * cross + found.norms
+    yield points.select(*FEATURES, *labels).mapInArrow(distances, _sums_schema(labels, names))
 
-    return distances
 
+def _sums_schema(labels: Sequence[str], names: Sequence[str]) -> str:
+    return ", ".join([f"{c} int" for c in labels] + [f"{c} double" for c in names])
 
-def _pairwise_distances(
+
+@contextmanager
+def _pairwise_sums(
     points: DataFrame, labels: Sequence[str], totals: Sequence[_Totals]
-) -> Distances:
-    """Sums of distances to a broadcast of all points.
+) -> Iterator[DataFrame]:
+    """As :func:`_squared_sums`, of plain distances: one task for each pair of tiles.
 
-    Each task takes the distances of a block of its points to all others once for all labels.
+    A tile packs ``TILE`` points of a partition into one row. Every tile meets every tile, which is
+    the measure's definition; a pair gives one row per point of its first tile, and these are
+    added up per point.
     """
-    table = points.toPandas()
-    members = [
-        (table[label].to_numpy()[:, None] == found.names).astype(float)
-        for label, found in zip(labels, totals)
-    ]
-    everyone = table[list(FEATURES)].to_numpy().T
-    shared = points.sparkSession.sparkContext.broadcast((everyone, members))
-
-    def distances(axes: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
-        others, belongs = shared.value
-        step = max(1, PAIRWISE_BLOCK // others.shape[1])
-        for at in range(0, axes.shape[1], step):
-            span = slice(at, at + step)
-            gaps = sum((mine[span, None] - theirs) ** 2 for mine, theirs in zip(axes, others))
-            block = np.sqrt(gaps)
-            for place, member in enumerate(belongs):
-                yield span, place, block @ member
-
-    return distances
+    size, names = TILE, _sum_columns(totals)
+    axes, columns = len(FEATURES), [*FEATURES, *labels]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns],
+                    names=columns,
+                )
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tile, *cells = (batch.column(i)[row] for i in range(batch.num_columns))
+                found = [np.array(cell.values) for cell in cells]
+                mine, theirs = found[: len(columns)], found[len(columns) :]
+                gaps = sum((a[:, None] - b) ** 2 for a, b in zip(mine[:axes], theirs[:axes]))
+                gaps = np.sqrt(gaps)
+                summed = [
+                    gaps @ (numbers[:, None] == t.names).astype(float)
+                    for numbers, t in zip(theirs[axes:], totals)
+                ]
+                n = len(mine[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tile.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32())]
+                    + [pa.array(c, pa.int32()) for c in mine[axes:]]
+                    + [pa.array(c) for c in np.hstack(summed).T],
+                    names=["tile", "at", *labels, *names],
+                )
+
+    packed = ", ".join(
+        [f"{f} array<double>" for f in FEATURES] + [f"{c} array<int>" for c in labels]
+    )
+    tiles = (
+        points.select(*columns)
+        .mapInArrow(pack, packed)
+        .withColumn("tile", F.monotonically_increasing_id())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        # One number per tile.
+        numbers = [row[0] for row in tiles.select("tile").collect()]
+        first = tiles.withColumn("other", F.explode(F.lit(numbers)))
+        second = tiles.select(
+            F.col("tile").alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns]
+        )
+        cores = points.sparkSession.sparkContext.defaultParallelism
+        yield (
+            first.join(second, "other")
+            .select("tile", *columns, *[f"other_{c}" for c in columns])
+            .repartition(max(cores, len(numbers)))
+            .mapInArrow(pair, f"tile bigint, at int, {_sums_schema(labels, names)}")
+            .groupBy("tile", "at")
+            .agg(*[F.max(c).alias(c) for c in labels], *[F.sum(c).alias(c) for c in names])
+            .drop("tile", "at")
+        )
+    finally:
+        tiles.unpersist()
 
 
 def _gains(sums: np.ndarray, sizes: np.ndarray, home: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from brute_force import silhouette_by_hand
 
-from patronscope.operators import kmeans
+from patronscope.operators import clustering, kmeans
 from patronscope.operators.clustering import (
     EUCLIDEAN,
     SQUARED,
@@ -59,12 +59,35 @@ def test_not_worse_than_mllib(blobs):
     assert fit_kmeans(blobs, 4, starts=8, seed=0).inertia <= theirs * 1.001
 
 
-def test_starts_from_a_sample_train_on_all(blobs, monkeypatch):
-    monkeypatch.setattr(kmeans, "START_SAMPLE", 60)
-    found = fit_kmeans(blobs, 5, starts=8, seed=1)
-    assert sum(found.sizes) == blobs.count()
-    monkeypatch.undo()
-    assert found.inertia == pytest.approx(fit_kmeans(blobs, 5, 8, 1).inertia, rel=1e-3)
+def test_given_starts_train_by_plain_steps(blobs):
+    starts = [(-2.0, 0.0, 1.0), (0.5, 0.5, 0.5), (3.0, -1.0, 0.0)]
+    points = [tuple(r) for r in blobs.select(*FEATURES).collect()]
+    centers = list(starts)
+    for _ in range(3):
+        members = [[] for _ in centers]
+        for p in points:
+            gaps = [sum((a - b) ** 2 for a, b in zip(p, c)) for c in centers]
+            members[gaps.index(min(gaps))].append(p)
+        centers = [tuple(sum(axis) / len(own) for axis in zip(*own)) for own in members]
+    found = fit_kmeans(blobs, 3, starts=1, seed=0, max_iter=3, tol=0.0, init=[starts])
+    assert np.allclose(found.centers, centers)
+
+
+def test_lost_centres_come_back(blobs):
+    starts = [(0, 0, 0), (50, 50, 50), (60, 60, 60), (1, 1, 1), (-70, 0, 0)]
+    found = fit_kmeans(blobs, 5, starts=1, seed=0, init=[starts])
+    assert min(found.sizes) > 0 and sum(found.sizes) == blobs.count()
+    assert assign_centroid(blobs, found.centers).select("cluster").distinct().count() == 5
+
+
+def test_starts_come_from_all_rows_and_follow_the_seed(blobs):
+    with kmeans._cached_points(blobs) as points:
+        first = kmeans._drawn_starts(points, [(4, 1), (4, 2)])
+        again = kmeans._drawn_starts(points.repartition(9, "z_monetary"), [(4, 1), (4, 2)])
+    rows = {tuple(r) for r in blobs.select(*FEATURES).collect()}
+    assert all(len({tuple(c) for c in start} & rows) == 4 for start in first)
+    assert np.array_equal(first, again)
+    assert not np.array_equal(first[0], first[1])
 
 
 def test_sweep(blobs):
@@ -100,8 +123,15 @@ def test_sweep_keeps_the_measure_asked_for(blobs):
     assert got["silhouette"].is_monotonic_increasing
 
 
-def test_order_of_rows_does_not_matter(blobs, monkeypatch):
-    monkeypatch.setattr(kmeans, "START_SAMPLE", 100)
+@pytest.mark.parametrize("tile", [7, 64])
+def test_tiles_do_not_change_a_silhouette(blobs, monkeypatch, tile):
+    assigned = assign_centroid(blobs, [(0, 0, 0), (2, 2, 2), (-3, 0, 1)])
+    whole = silhouette(assigned, EUCLIDEAN).first().silhouette
+    monkeypatch.setattr(clustering, "TILE", tile)
+    assert silhouette(assigned, EUCLIDEAN).first().silhouette == pytest.approx(whole)
+
+
+def test_order_of_rows_does_not_matter(blobs):
     first = fit_kmeans(blobs.repartition(7), 4, starts=2, seed=3)
     second = fit_kmeans(blobs.repartition(2, "z_recency"), 4, starts=2, seed=3)
     assert np.allclose(first.centers, second.centers)
