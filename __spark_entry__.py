@@ -43,6 +43,7 @@ CENTERS = (
     (0.3, -0.9, -0.9),
     (2.4, -1.2, -1.2),
 )
+STARTS = duckdb_checks.SWEEP_STARTS
 SELECTED = ("Champions", "Loyal Customers", "At Risk")
 CHOSEN = CustomerFilter(SELECTED, 6, 12, 100_000, 900_000)
 BANDS = HeatmapBands(
@@ -132,14 +133,17 @@ def _scaled_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _k_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return cl.k_sweep(
-        _features(spark, folder), CONFIG.sweep_ks, CONFIG.sweep_n_init, CONFIG.random_state
+    """Training from constant centres for a few passes, which SQL can follow step by step."""
+    init = {k: [STARTS[:k]] for k in CONFIG.sweep_ks}
+    sweep = cl.k_sweep(
+        _features(spark, folder), CONFIG.sweep_ks, 1, 0, duckdb_checks.PASSES, 0.0, init=init
     )
+    return _six(sweep, "inertia", "silhouette")
 
 
 def _kmeans_segments(spark: SparkSession, folder: str) -> DataFrame:
-    features = _features(spark, folder)
-    found = cl.fit_kmeans(features, CONFIG.k_final, CONFIG.n_init, CONFIG.random_state)
+    features, k = _features(spark, folder), CONFIG.k_final
+    found = cl.fit_kmeans(features, k, 1, 0, duckdb_checks.PASSES, 0.0, init=[STARTS[:k]])
     return cl.assign_centroid(features, found.centers).select("customer_id", "cluster")
 
 

@@ -153,6 +153,18 @@ BAND_M = """CASE WHEN monetary > 1000000 THEN '1M+' WHEN monetary > 600000 THEN
             WHEN monetary > 400000 THEN '400k-600k' WHEN monetary > 200000 THEN '200k-400k'
             WHEN monetary > 0 THEN '0-200k' END"""
 SCORED = "customer_id, recency, frequency, monetary, r_score, f_score, m_score, rfm_score"
+# Training from given centres: the same for each cluster count, of which k takes the first k.
+SWEEP_STARTS = (
+    (-0.6, 1.5, 1.5),
+    (2.4, -1.2, -1.2),
+    (0.0, -0.1, -0.1),
+    (-0.4, 0.5, 0.5),
+    (0.3, -0.9, -0.9),
+    (1.2, -0.6, -0.6),
+    (-0.7, 0.9, 0.2),
+    (-0.5, 0.2, 0.9),
+)
+PASSES = 4
 PLAYS = "segment, customers, priority, action_no, action, target"
 
 
@@ -173,6 +185,34 @@ def playbook_values() -> str:
     )
 
 
+def lloyd(ks: range | tuple[int, ...]) -> str:
+    """Steps of ``PASSES`` passes for each k, ending in ``found``: (k, customer_id, cluster, dist2)."""
+    starts = ", ".join(
+        f"({k}, {i}, {r}, {f}, {m})"
+        for k in ks
+        for i, (r, f, m) in enumerate(SWEEP_STARTS[:k])
+    )
+    steps = [f"centers0 AS (SELECT * FROM (VALUES {starts}) AS v(k, cluster, cr, cf, cm))"]
+    for turn in range(PASSES + 1):
+        name = "found" if turn == PASSES else f"near{turn}"
+        steps.append(
+            f"""{name} AS MATERIALIZED (
+            SELECT k, customer_id, cluster, z_recency, z_frequency, z_monetary,
+                   pow(z_recency - cr, 2) + pow(z_frequency - cf, 2) + pow(z_monetary - cm, 2)
+                     AS dist2
+            FROM feat, centers{turn}
+            QUALIFY row_number() OVER (PARTITION BY k, customer_id ORDER BY dist2, cluster) = 1)"""
+        )
+        if turn < PASSES:
+            steps.append(
+                f"""centers{turn + 1} AS MATERIALIZED (
+                SELECT k, cluster, avg(z_recency) AS cr, avg(z_frequency) AS cf,
+                       avg(z_monetary) AS cm
+                FROM near{turn} GROUP BY k, cluster)"""
+            )
+    return ", " + ",\n".join(steps)
+
+
 def all_checks() -> dict[str, str]:
     return {
         "clean_transactions": sql(
@@ -221,6 +261,35 @@ def all_checks() -> dict[str, str]:
             "assigned", f"SELECT customer_id, cluster, {six('dist2')} AS dist2 FROM assigned"
         ),
         "inertia_fixed": sql("assigned", f"SELECT {six('sum(dist2)')} AS inertia FROM assigned"),
+        "kmeans_segments": sql("feat", f"{lloyd((5,))} SELECT customer_id, cluster FROM found"),
+        "k_sweep": sql(
+            "feat",
+            f"""
+            {lloyd(range(2, 9))},
+            pts AS (
+                SELECT *, pow(z_recency, 2) + pow(z_frequency, 2) + pow(z_monetary, 2) AS norm
+                FROM found),
+            tot AS (
+                SELECT k, cluster AS other, count(*) AS n, sum(z_recency) AS sx,
+                       sum(z_frequency) AS sy, sum(z_monetary) AS sz, sum(norm) AS sn
+                FROM pts GROUP BY k, cluster),
+            sums AS (
+                SELECT k, customer_id, dist2, cluster AS own, other, n,
+                       n * norm - 2 * (z_recency * sx + z_frequency * sy + z_monetary * sz) + sn
+                         AS total
+                FROM pts JOIN tot USING (k)),
+            gaps AS (
+                SELECT k, customer_id, any_value(dist2) AS dist2,
+                       max(n) FILTER (own = other) AS size,
+                       max(total / (n - 1)) FILTER (own = other AND n > 1) AS inner_mean,
+                       min(total / n) FILTER (own <> other) AS outer_mean
+                FROM sums GROUP BY k, customer_id)
+            SELECT k, {six('sum(dist2)')} AS inertia,
+                   {six('''avg(CASE WHEN size = 1 THEN 0 ELSE (outer_mean - inner_mean)
+                     / greatest(outer_mean, inner_mean) END)''')} AS silhouette,
+                   'squared_euclidean' AS measure
+            FROM gaps GROUP BY k""",
+        ),
         "silhouette_exact": sql(
             "assigned",
             f"""
