@@ -230,34 +230,39 @@ class TOccurrence:
         return found
 
 
-def link_cell(keys: list, sets: list[np.ndarray], side: np.ndarray) -> list[tuple]:
-    """(key, smallest key linked to it): sets of side 1 are searched among those of side 0."""
+def link_cell(components: list, sets: list[np.ndarray], side: np.ndarray) -> list[tuple]:
+    """(component, smallest one linked to it): sets of side 1 are searched among those of side 0.
+
+    ``components`` gives the component that each set is known to be in; these are not searched.
+    """
     hubs = np.flatnonzero(side == 0)
-    index, labels = TOccurrence([sets[i] for i in hubs]), np.arange(len(sets))
     order = np.append(hubs, np.flatnonzero(side == 1))
+    known, labels = np.unique(np.array(components, dtype=np.int64)[order], return_inverse=True)
+    first = labels.copy()
+    index = TOccurrence([sets[i] for i in hubs])
     for i in range(len(hubs), len(order)):
         for other in index.search(sets[order[i]], len(hubs), i, labels):
             if labels[other] != labels[i]:
                 labels[labels == labels[other]] = labels[i]
-    lowest: dict[int, object] = {}
-    for label, i in zip(labels.tolist(), order.tolist(), strict=True):
-        lowest[label] = min(keys[i], lowest.get(label, keys[i]))
-    return [
-        (keys[i], lowest[label])
-        for label, i in zip(labels.tolist(), order.tolist(), strict=True)
-        if keys[i] != lowest[label]
-    ]
+    # Of the known components, ascending, the first to carry a label is its smallest.
+    after = np.empty(len(known), dtype=np.int64)
+    after[first] = labels
+    _, smallest, of = np.unique(after, return_index=True, return_inverse=True)
+    lowest = known[smallest][of]
+    return [(c, low) for c, low in zip(known.tolist(), lowest.tolist()) if c != low]
 
 
 def _search_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates(["key", "side"])
     sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["tokens"]]
-    edges = link_cell(rows["key"].tolist(), sets, rows["side"].to_numpy())
+    edges = link_cell(rows["component"].tolist(), sets, rows["side"].to_numpy())
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
 def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
-    """Links (a, b) among classes: at least those of ``pairs`` (a, hub) that are similar enough.
+    """Links (a, b) among components that the classes of ``pairs`` (a, hub) are in.
+
+    They join all pairs that are similar enough; ``of_a`` and ``of_hub`` are a pair's components.
 
     Hubs are spread over tasks, a hub with many partners over several, each with a part of them.
     """
@@ -267,8 +272,8 @@ def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store,
     )
     groups = parts_for(pairs.count(), BLOCK)
     place = f"pmod(xxhash64(hub, chunk), {groups}) AS place"
-    placed = spread.selectExpr("a AS key", place, "1 AS side").unionByName(
-        spread.selectExpr("hub AS key", place, "0 AS side")
+    placed = spread.selectExpr("a AS key", place, "1 AS side", "of_a AS component").unionByName(
+        spread.selectExpr("hub AS key", place, "0 AS side", "of_hub AS component")
     )
     placed = store.save(placed.distinct(), f"{name}-placed")
     ids = owners.join(placed.select("key").distinct(), "key", "left_semi").select("doc_id")
@@ -286,13 +291,15 @@ def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store,
 
 
 def _first_pairs(entries: DataFrame) -> DataFrame:
-    """(a, hub): each class with the leader with which it shares most first shingles."""
+    """(a, hub, of_a, of_hub): each class with the leader with which it shares most first shingles."""
     shared = entries.filter("key <> leader").groupBy("key", "n", "leader").count()
     best = shared.groupBy("key", "n").agg(
         F.expr("max_by(leader, struct(count, leader))").alias("hub"), F.max("count").alias("c")
     )
     need = f"ceil(n * {NUMERATOR} / {DENOMINATOR}D)"
-    return best.filter(f"c * {WORTHWHILE} >= n - {need} + 1").selectExpr("key AS a", "hub")
+    return best.filter(f"c * {WORTHWHILE} >= n - {need} + 1").selectExpr(
+        "key AS a", "hub", "key AS of_a", "hub AS of_hub"
+    )
 
 
 def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -> DataFrame:
@@ -308,7 +315,7 @@ def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -
 
 
 def _open_pairs(rest: DataFrame) -> DataFrame:
-    """(a, hub): pairs of classes in different components that may be similar enough.
+    """(a, hub, of_a, of_hub): pairs of classes in different components that may be linked.
 
     What two sets share begins with their first shared shingle, so its places tell how much they can
     share at most: no pair to be linked is lost. A pair usually shares runs of shingles, and a row
@@ -333,7 +340,9 @@ def _open_pairs(rest: DataFrame) -> DataFrame:
             " AND NOT arrays_overlap(a.before, b.before)"
         ),
     )
-    return met.select(F.expr("b.key").alias("a"), F.expr("a.key").alias("hub")).distinct()
+    return met.selectExpr(
+        "b.key AS a", "a.key AS hub", "b.component AS of_a", "a.component AS of_hub"
+    ).distinct()
 
 
 def _meet(texts: DataFrame, often: np.ndarray) -> DataFrame:
@@ -387,12 +396,16 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     )
     rest = _unsettled(again.drop("leader"), joined, store, "open")
     more = store.save(_open_pairs(rest), "open-pairs")
-    links = joined.selectExpr("node AS a", "component AS b").unionByName(
-        _search(more, texts, owners, store, "last")
-    )
-    joined = connected_components(links, store, "linked").withColumnRenamed("node", "key")
-    of_class = classes.join(joined, "key", "left").selectExpr(
-        "key", "rep", "coalesce(component, key) AS component"
+    links = _search(more, texts, owners, store, "last")
+    merged = connected_components(links, store, "linked").selectExpr(
+        "node AS first", "component AS last"
+    )
+    joined = joined.selectExpr("node AS key", "component AS first")
+    of_class = (
+        classes.join(joined, "key", "left")
+        .selectExpr("key", "rep", "coalesce(first, key) AS first")
+        .join(merged, "first", "left")
+        .selectExpr("key", "rep", "coalesce(last, first) AS component")
     )
     lowest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = store.save(of_class.join(lowest, "component").select("key", "component_id"), "of")
