@@ -33,7 +33,7 @@ COUNTED_FROM = 2
 # Documents that are searched in one task.
 BLOCK = 2048
 # Shingles before a shared one that are looked at for another. Only speed depends on it.
-LOOK_BACK = 6
+LOOK_BACK = 3
 # Share of a document's first shingles (one in so many) that makes a first meeting worthwhile.
 WORTHWHILE = 5
 
@@ -125,11 +125,14 @@ def _first_shingles(frequent: np.ndarray):
     ordered = known[by_value]
 
     def run(batches):
+        done = set()  # of the sets in this task: copies add nothing
         for rows in batches:
             tokens, keys, sizes, places = [], [], [], []
             for s in _sets(rows["text"]):
-                if not len(s):
+                key = _digest(s)[1]
+                if not len(s) or key in done:
                     continue
+                done.add(key)
                 first = len(s) - required(len(s)) + 1
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
@@ -142,7 +145,7 @@ def _first_shingles(frequent: np.ndarray):
                 else:
                     s_first = s[:first]
                 tokens.append(s_first)
-                keys.append(np.full(len(s_first), _digest(s)[1]))
+                keys.append(np.full(len(s_first), key))
                 sizes.append(np.full(len(s_first), len(s), dtype=np.int32))
                 places.append(np.arange(len(s_first), dtype=np.int32))
             if tokens:
@@ -303,15 +306,15 @@ def _first_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -> DataFrame:
-    """Entries (token, key, n, place, component) of shingles that different components share."""
-    labelled = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").selectExpr(
-        "token", "key", "n", "place", "coalesce(component, key) AS component"
+    """Entries, with their class's component, of shingles that different components share."""
+    labelled = entries.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.expr("coalesce(component, key)")
     )
-    labelled = store.save(labelled, f"{name}-labelled")
-    mixed = labelled.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")
-    ).filter("x <> y").select("token")
-    return store.save(labelled.join(mixed, "token", "left_semi"), name)
+    met = labelled.selectExpr(
+        "*", "min(component) OVER (PARTITION BY token) AS x",
+        "max(component) OVER (PARTITION BY token) AS y",
+    )
+    return store.save(met.filter("x <> y").drop("x", "y"), name)
 
 
 def _open_pairs(rest: DataFrame) -> DataFrame:
@@ -345,12 +348,12 @@ def _open_pairs(rest: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _meet(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """(token, key, n, place, leader) of first shingles that two classes share; leader is the smallest."""
+def _meet(texts: DataFrame, often: np.ndarray, columns: list[str]) -> DataFrame:
+    """First shingles that two classes share, with ``columns`` of them and the smallest as leader."""
     first = texts.select("doc_id", "text").mapInPandas(
         _first_shingles(often), "token long, key long, n int, place int"
     )
-    met = first.selectExpr(
+    met = first.select(*columns).selectExpr(
         "*", "min(key) OVER (PARTITION BY token) AS leader",
         "max(key) OVER (PARTITION BY token) AS last",
     )
@@ -374,7 +377,7 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     stored = store.save(texts.mapInPandas(run, schema), "profile")
     profile = stored.filter("NOT frequent").drop("frequent")
     often = _frequent(stored.filter("frequent"), store, "shared")
-    entries = store.save(_meet(texts, often), "entries")
+    entries = store.save(_meet(texts, often, ["token", "key", "n"]), "entries")
     with_words = profile.filter("n_shingles > 0").withColumnRenamed("lo", "key")
     classes = store.save(
         with_words.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
@@ -383,7 +386,7 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     owners = classes.filter("rep IS NOT NULL").selectExpr("key", "rep AS doc_id")
     links = _search(_first_pairs(entries), texts, owners, store, "first")
     joined = connected_components(links, store, "first")
-    rest = _unsettled(entries, joined, store, "unsettled")
+    rest = _unsettled(entries.select("token", "key"), joined, store, "unsettled")
     # What is still open meets again in a better order: shingles known to be shared come last. Two
     # classes to be linked are both among these, so the order has to be common to them alone.
     counted = stored.filter("frequent").select("hi", "n_shingles").unionByName(
@@ -391,9 +394,8 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     )
     often = _frequent(counted, store, "shared-again")
     ids = owners.join(rest.select("key").distinct(), "key", "left_semi").select("doc_id")
-    again = store.save(
-        _meet(rows_with_keys(texts, ids.distinct(), ["doc_id"]), often), "entries-again"
-    )
+    open_texts = rows_with_keys(texts, ids.distinct(), ["doc_id"])
+    again = _meet(open_texts, often, ["token", "key", "n", "place"])
     rest = _unsettled(again.drop("leader"), joined, store, "open")
     more = store.save(_open_pairs(rest), "open-pairs")
     links = _search(more, texts, owners, store, "last")
