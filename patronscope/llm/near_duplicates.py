@@ -28,8 +28,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 # Most frequent shingles that come last in the common order. Only speed depends on it.
 FREQUENT = 1 << 21
-# A shingle is counted where one task sees it in so many documents. Only speed depends on it.
+# A shingle is counted where a task sees it in so many documents of a stretch of about so many
+# shingles, which bounds a task's memory. Only speed depends on these.
 COUNTED_FROM = 2
+STRETCH = 2_000_000
 # Documents that are searched in one task.
 BLOCK = 2048
 # Shingles before a shared one that are looked at for another. Only speed depends on it.
@@ -55,14 +57,28 @@ def _sets(texts) -> list[np.ndarray]:
     return [tokens for w in words(_strings(texts)) for tokens in shingle_sets(w, SHINGLE)]
 
 
+def _repeated(seen: list[np.ndarray]) -> pd.DataFrame:
+    tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
+    often = counts >= COUNTED_FROM
+    return pd.DataFrame(
+        {
+            "doc_id": pd.Series([None] * int(often.sum()), dtype=object),
+            "text_key": 0,
+            "n_shingles": counts[often],
+            "hi": _signed(tokens[often]),
+            "lo": 0,
+            "frequent": True,
+        }
+    )
+
+
 def _profile(kind: str):
     """Size and digest of each document's set, and what this task has often seen."""
 
     def run(batches):
-        seen = []
+        seen, size = [], 0
         for rows in batches:
             sets = _sets(rows["text"])
-            seen += sets
             digests = [_digest(s) for s in sets]
             yield pd.DataFrame(
                 {
@@ -74,19 +90,14 @@ def _profile(kind: str):
                     "frequent": False,
                 }
             )
+            for s in sets:
+                seen.append(s)
+                size += len(s)
+                if size >= STRETCH:
+                    yield _repeated(seen)
+                    seen, size = [], 0
         if seen:
-            tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
-            often = counts >= COUNTED_FROM
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.Series([None] * int(often.sum()), dtype=object),
-                    "text_key": 0,
-                    "n_shingles": counts[often],
-                    "hi": _signed(tokens[often]),
-                    "lo": 0,
-                    "frequent": True,
-                }
-            )
+            yield _repeated(seen)
 
     return run, (
         f"doc_id {kind}, text_key long, n_shingles long, hi long, lo long, frequent boolean"
