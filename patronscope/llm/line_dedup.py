@@ -1,168 +1,183 @@
-"""Removal of repeated runs of lines, found by content-defined chunking.
+"""Removal of repeated runs of lines, found by a rolling hash over neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so inserted or
-lost lines move only the chunks around them. Chunks of two lines or more that occur again later in
-the corpus are removed there, after their bytes were compared with those of the first occurrence.
+Every run of ``LEAST`` neighbouring lines is filed under its hash. Runs that occur earlier in the
+corpus are removed, after their bytes were compared, so a repeated passage of ``LEAST`` lines or more
+goes whole wherever it stands. A text of fewer lines is one run as a whole and goes if it is a copy
+of another such text; single lines inside longer texts stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.llm.shared import Store, rows_with_keys
-from patronscope.llm.texthash import BYTE_VALUES, Buffer, buffers, mix, prefix_sums, span_hash
+from patronscope.llm.texthash import BYTE_VALUES, Buffer, buffers, prefix_sums, span_hash
 
-# Lines that the rolling hash spans, mean lines beyond the least, and bounds of a chunk.
-ROLLED, MEAN_MORE, LEAST, MOST = 2, 2, 2, 64
+# Lines of a run.
+LEAST = 2
 
 
-def _strings(column: pd.Series) -> list[str | None]:
-    return [None if pd.isna(t) else t for t in column]
+def line_runs(b: Buffer) -> tuple[np.ndarray, ...]:
+    """Runs of all texts: (text, first byte, bytes, bytes to cut, first line, lines, hash).
 
-
-def line_chunks(b: Buffer) -> list[list[tuple[int, int, int, int]]]:
-    """For each text its chunks: (first byte, bytes, lines, hash). An empty text has none.
-
-    A chunk ends after a line where the rolling hash over it and its predecessor is divisible by
-    ``MEAN_MORE`` and the chunk has ``LEAST`` lines, or where it has ``MOST``.
+    A run's bytes end before its last line break, so that a run at the end of a text without one
+    equals its copies elsewhere; the break is cut along with it. An empty text has no run.
     """
     sums, down = prefix_sums(BYTE_VALUES[b.bytes])
-    breaks = np.flatnonzero(b.bytes == 10)
-    lo, hi = np.searchsorted(breaks, b.start), np.searchsorted(breaks, b.end)
-    found = []
-    for i in range(len(b.start)):
-        start, end = int(b.start[i]), int(b.end[i])
-        ends = breaks[lo[i] : hi[i]] + 1
-        if end > start and (not len(ends) or ends[-1] < end):
-            ends = np.append(ends, end)
-        starts = np.append(start, ends[:-1]) if len(ends) else ends
-        lines = span_hash(sums, down, starts, ends)
-        rolled = lines.copy()
-        for k in range(1, ROLLED):
-            rolled[k:] = mix(rolled[k:] + lines[:-k] * np.uint64(2 * k + 1))
-        cut = (rolled % np.uint64(MEAN_MORE)) == 0
-        own, first = [], 0
-        for k, ends_here in enumerate(cut.tolist()):
-            n = k + 1 - first
-            if (ends_here and n >= LEAST) or n == MOST or k + 1 == len(ends):
-                own.append((int(starts[first]), int(ends[k]), n))
-                first = k + 1
-        spans = np.array([c[:2] for c in own], dtype=np.int64).reshape(-1, 2)
-        hashes = span_hash(sums, down, spans[:, 0], spans[:, 1]).view(np.int64).tolist()
-        found.append(
-            [(s - start, e - s, n, h) for (s, e, n), h in zip(own, hashes, strict=True)]
-        )
-    return found
-
+    after = np.flatnonzero(b.bytes == 10) + 1
+    after = after[after < b.end[np.searchsorted(b.start, after - 1, side="right") - 1]]
+    starts = np.sort(np.concatenate([b.start[b.end > b.start], after]))
+    text = np.searchsorted(b.start, starts, side="right") - 1
+    ends = b.end[text]
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    ends[inner] = starts[inner + 1]
+    first, after_last = np.searchsorted(text, text), np.searchsorted(text, text, side="right")
+    at = np.arange(len(starts))
+    lines = np.minimum(LEAST, after_last - first)
+    whole = at + lines <= after_last
+    at, lines = at[whole], lines[whole]
+    start, cut_end = starts[at], ends[at + lines - 1]
+    end = cut_end - (b.bytes[cut_end - 1] == 10)
+    hashes = span_hash(sums, down, start, end).view(np.int64)
+    own = start - b.start[text[at]]
+    return text[at], own, end - start, cut_end - start, at - first[at], lines, hashes
+
+
+def _runs(bits: int):
+    def run(batches):
+        for rows in batches:
+            for b in buffers(rows.column("text").to_pylist()):
+                text, *numbers, hashes = line_runs(b)
+                own = rows.slice(b.first, b.last - b.first).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc_id"),
+                        own.column("text_key"),
+                        *(pa.array(n.astype(np.int64)) for n in (*numbers, hashes >> (64 - bits))),
+                    ],
+                    ["doc_id", "text_key", "start", "bytes", "cut", "line", "lines", "hash"],
+                )
 
-def _chunks(batches):
-    for rows in batches:
-        out = []
-        for b in buffers(_strings(rows["text"])):
-            part = rows.iloc[b.first : b.last]
-            for doc_id, key, own in zip(
-                part["doc_id"], part["text_key"], line_chunks(b), strict=True
-            ):
-                out += [(doc_id, key, *c) for c in own if c[2] >= LEAST]
-        yield pd.DataFrame(
-            out, columns=["doc_id", "text_key", "start", "bytes", "lines", "hash"]
-        )
+    return run
 
 
-def repeated_chunks(docs: DataFrame, store: Store) -> DataFrame:
-    """(doc_id, text_key, start, bytes, lines) of chunks that equal an earlier one, byte by byte.
+def repeated_runs(docs: DataFrame, store: Store, bits: int = 64) -> DataFrame:
+    """(doc_id, text_key, start, cut, line, lines) of runs that equal an earlier one, byte by byte.
 
-    Earlier means a smaller doc_id (nulls last), or the same and a smaller start.
+    Earlier means a smaller doc_id (nulls last), or the same and a smaller text_key, or the same text
+    and a smaller start. A run that shares lines with its first occurrence is no copy of it.
+    ``bits`` are those of the hash that are used.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    chunks = store.save(
-        texts.mapInPandas(
-            _chunks,
-            f"doc_id {kind}, text_key long, start long, bytes long, lines long, hash long",
-        ).distinct(),
-        "chunks",
+    runs = store.save(
+        texts.mapInArrow(
+            _runs(bits),
+            f"doc_id {kind}, text_key long, start long, bytes long, cut long, line long,"
+            " lines long, hash long",
+        ),
+        "runs",
     )
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    again = store.save(chunks.join(again, "hash"), "candidates")
-    keys = again.selectExpr("text_key").distinct()
-    wanted = rows_with_keys(texts, keys, ["text_key"]).dropDuplicates(["doc_id", "text_key"])
-    owners = wanted.selectExpr("doc_id AS _id", "text_key", "encode(text, 'UTF-8') AS data")
-    cut = store.save(
-        again.alias("a")
-        .join(owners.alias("o"), F.expr("a.text_key = o.text_key AND a.doc_id <=> o._id"))
-        .select("a.*", F.expr("substring(o.data, a.start + 1, a.bytes)").alias("chunk")),
-        "cut",
+    again = runs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    again = rows_with_keys(runs, store.save(again, "repeated"), ["hash"])
+    again = store.save(again.distinct(), "candidates")
+    of_text = again.groupBy("doc_id", "text_key").agg(
+        F.expr("collect_list(struct(start, bytes, cut, line, lines, hash))").alias("runs")
     )
-    place = "struct(doc_id IS NULL, doc_id, start, text_key)"
-    first = cut.groupBy("hash").agg(
-        F.expr(f"min_by(chunk, {place})").alias("first_chunk"),
-        F.expr(f"min({place})").alias("first_place"),
+    owners = of_text.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    keys = again.select("text_key").distinct()
+    pieces = (
+        rows_with_keys(texts, keys, ["text_key"])
+        .join(owners, F.expr("text_key = _key AND doc_id <=> _id"))
+        .selectExpr("doc_id", "text_key", "encode(text, 'UTF-8') AS data", "inline(runs)")
+        .withColumn("piece", F.expr("substring(data, start + 1, bytes)"))
+        .drop("data")
     )
+    told = pieces.select("hash", "piece").distinct().groupBy("hash").count()
+    shared = store.save(told.filter("count > 1").select("hash"), "shared")
+    runs = again.withColumn("piece", F.lit(None).cast("binary"))
+    if not shared.isEmpty():
+        # Different runs of one hash are told apart by their bytes.
+        apart = pieces.join(shared, "hash").select(*runs.columns).distinct()
+        runs = runs.join(shared, "hash", "left_anti").unionByName(apart)
+        runs = store.save(runs, "told_apart")
+    place = "struct(doc_id IS NULL AS no_id, doc_id, text_key, start)"
+    first = runs.groupBy("hash", "piece").agg(F.expr(f"min({place})").alias("first"))
+    first = first.withColumnsRenamed({"hash": "_hash", "piece": "_piece"})
     return (
-        cut.join(first, "hash")
-        .filter(f"chunk = first_chunk AND {place} <> first_place")
-        .select("doc_id", "text_key", "start", "bytes", "lines")
+        runs.join(first, F.expr("hash = _hash AND piece <=> _piece"))
+        .filter(
+            f"{place} <> first AND NOT (doc_id <=> first.doc_id AND text_key = first.text_key"
+            " AND start < first.start + bytes)"
+        )
+        .select("doc_id", "text_key", "start", "cut", "line", "lines")
     )
 
 
 def _without(names: list[str]):
     def run(batches):
         for rows in batches:
-            texts = []
-            for text, starts, sizes in zip(
-                rows["text"], rows["_starts"], rows["_sizes"], strict=True
+            texts, stretches, lines = [], [], []
+            for text, starts, cuts, firsts, counts in zip(
+                *(
+                    rows.column(c).to_pylist()
+                    for c in ("text", "_starts", "_cuts", "_lines", "_counts")
+                ),
+                strict=True,
             ):
-                if pd.isna(text) or starts is None or not len(starts):
-                    texts.append(None if pd.isna(text) else text)
+                stretches.append(0)
+                lines.append(0)
+                if text is None or not starts:
+                    texts.append(text)
                     continue
-                data, kept, at = text.encode("utf-8", "replace"), [], 0
-                for start, size in sorted(zip(starts, sizes, strict=True)):
-                    kept.append(data[at:start])
-                    at = start + size
+                data, kept, at, line = text.encode("utf-8", "replace"), [], 0, 0
+                for start, cut, first, n in sorted(
+                    zip(starts, cuts, firsts, counts, strict=True)
+                ):
+                    if start > at or not at:
+                        stretches[-1] += 1
+                        kept.append(data[at:start])
+                    lines[-1] += first + n - max(first, line)
+                    at, line = start + cut, first + n
                 texts.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
-            counts = rows[["removed_chunks", "removed_lines"]]
-            yield pd.concat([rows[names].assign(text=texts), counts], axis=1)
+            own = {c: rows.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            counts = [pa.array(n, pa.int64()) for n in (stretches, lines)]
+            yield pa.RecordBatch.from_arrays(
+                [*own.values(), *counts], [*own, "removed_chunks", "removed_lines"]
+            )
 
     return run
 
 
 def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
-    """Rows of ``docs`` with repeated chunks cut from ``text``, and how many were cut.
+    """Rows of ``docs`` with repeated runs cut from ``text``, and how much was cut.
 
-    Adds ``removed_chunks`` and ``removed_lines`` (columns of these names are replaced). Null texts
-    stay null, empty ones empty; rows that repeat both id and text count as one document, so each
-    of them keeps what is first in it.
+    Adds ``removed_chunks``, the stretches cut, and ``removed_lines`` (columns of these names are
+    replaced). Null texts stay null, empty ones empty; rows that repeat both id and text count as one
+    document, so each of them keeps what is first in it.
     """
+    spans = "array_sort(collect_list(struct(start, cut, line, lines)))"
     gone = (
-        repeated_chunks(docs, store)
+        repeated_runs(docs, store)
         .groupBy("doc_id", "text_key")
-        .agg(
-            F.expr("transform(array_sort(collect_list(struct(start, bytes))), x -> x.start)").alias(
-                "_starts"
-            ),
-            F.expr("transform(array_sort(collect_list(struct(start, bytes))), x -> x.bytes)").alias(
-                "_sizes"
-            ),
-            F.count("*").alias("removed_chunks"),
-            F.sum("lines").alias("removed_lines"),
+        .agg(F.expr(spans).alias("_spans"))
+        .selectExpr(
+            "doc_id AS _id", "text_key AS _key", "_spans.start AS _starts", "_spans.cut AS _cuts",
+            "_spans.line AS _lines", "_spans.lines AS _counts",
         )
-        .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    )
+    )
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
     keyed = docs.select(*names).withColumn("_text_key", F.xxhash64("text"))
-    joined = keyed.join(gone, F.expr("_text_key = _key AND doc_id <=> _id"), "left").fillna(
-        0, ["removed_chunks", "removed_lines"]
-    )
+    joined = keyed.join(gone, F.expr("_text_key = _key AND doc_id <=> _id"), "left")
     schema = keyed.drop("_text_key").schema.add("removed_chunks", "long").add(
         "removed_lines", "long"
     )
-    return joined.select(
-        *names, "_starts", "_sizes", "removed_chunks", "removed_lines"
-    ).mapInPandas(_without(names), schema)
+    return joined.select(*names, "_starts", "_cuts", "_lines", "_counts").mapInArrow(
+        _without(names), schema
+    )
 
 
 def op5_line_dedup(spark, folder: str) -> DataFrame:

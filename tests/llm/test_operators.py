@@ -16,7 +16,7 @@ from patronscope.llm.components import connected_components
 from patronscope.llm.decontamination import contaminated, drop_contaminated
 from patronscope.llm.fingerprints import compare_versions
 from patronscope.llm.licenses import TEMPLATES, scan_licenses
-from patronscope.llm.line_dedup import dedup_lines
+from patronscope.llm.line_dedup import dedup_lines, repeated_runs
 from patronscope.llm.mixing import fit_counts, mix
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
 from patronscope.llm.shared import Store
@@ -282,6 +282,37 @@ def test_line_dedup(spark, docs, rows, empty):
     assert dedup_lines(empty, Store(spark)).count() == 0
 
 
+def test_line_dedup_cuts_every_repeated_run(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [" ".join(words(rng, 6)) for _ in range(n)]
+    lines = []
+    for n in range(2, 7):
+        for _ in range(6):
+            passage = fresh(n)
+            lines += [fresh(2) + passage + fresh(3), fresh(1) + passage + fresh(1), fresh(1) + passage]
+    lines += [["a"] * 3, ["b"] * 5, ["only line"], ["only line"], ["x", "only line", "y"]]
+    texts = [(2**60 + i, "\n".join(own)) for i, own in enumerate(lines)]
+    texts += [(None, texts[0][1] + "\n"), (None, "é\nü\n\n"), (2**60 + 500, "")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    seen, want = {}, {}
+    for doc_id, text in sorted(texts, key=lambda t: (t[0] is None, t[0] or 0)):
+        own = text.removesuffix("\n").split("\n") if text else []
+        gone = set()
+        for k in range(max(len(own) - 1, min(1, len(own)))):
+            run = tuple(own[k : k + 2])
+            *doc, first_k = seen.setdefault(run, (doc_id, text, k))
+            if doc != [doc_id, text] or k >= first_k + len(run):
+                gone |= set(range(k, k + len(run)))
+        left = "\n".join(x for k, x in enumerate(own) if k not in gone)
+        want[doc_id, text.count("é")] = (left, len(gone))
+    got = dedup_lines(table, Store(spark)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.text.removesuffix("\n"), r.removed_lines) == want[r.doc_id, r.text.count("é")]
+    few = repeated_runs(table, Store(spark), bits=3).collect()
+    assert Counter(few) == Counter(repeated_runs(table, Store(spark)).collect())
+
+
 def labelled(spark, positive, negative, label, n=600):
     rng = random.Random(11)
     texts, labels = [], []
