@@ -352,6 +352,37 @@ def test_toxicity(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_thresholds_follow_the_true_share(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    y = np.repeat([1, 0], [50, 50])
+    scores = np.concatenate([rng.normal(0.6, 0.15, 50), rng.normal(0.4, 0.15, 50)])
+    times = np.where(y == 1, 1, 8)
+    repeated = toxicity.best_threshold(
+        np.repeat(scores, times), np.repeat(y, times), np.ones(times.sum())
+    )
+    assert toxicity.best_threshold(scores, y, times) == repeated
+    assert repeated > toxicity.best_threshold(scores, y, np.ones(100))
+
+    def either(rng):
+        return " ".join(words(rng, 8))
+
+    texts, labels = labelled(spark, either, either, "toxic", 2000)
+    counts = Counter(r.toxic for r in labels.collect())
+    given = []
+
+    def spy(scores, y, weight):
+        given.append((y, weight))
+        return 0.5
+
+    monkeypatch.setattr(toxicity, "PER_CLASS", 400)
+    monkeypatch.setattr(toxicity, "best_threshold", spy)
+    toxicity.fit_toxicity(texts, labels)
+    assert len(given) == 2
+    for y, weight in given:
+        for c in (0, 1):
+            assert set(weight[y == c]) == {counts[c] / 400}
+
+
 def test_quality(spark, docs, rows, empty):
     def good(rng):
         return " ".join(words(rng, 40)) + "."
