@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patronscope.llm.checks import all_checks
+from patronscope.llm.conversation_trie import op11_conversation_trie
 from patronscope.llm.decontamination import op2_decontamination
 from patronscope.llm.fingerprints import op4_fingerprints
+from patronscope.llm.language_id import op13_language_id
 from patronscope.llm.licenses import op3_licenses
 from patronscope.llm.line_dedup import op5_line_dedup
 from patronscope.llm.mixing import op9_mixing
 from patronscope.llm.near_duplicates import op10_near_duplicates
 from patronscope.llm.quality import op7_quality
 from patronscope.llm.sharding import op1_sharding
+from patronscope.llm.spelling import op12_spelling
 from patronscope.llm.suffix_dedup import op6_suffix_dedup
 from patronscope.llm.toxicity import op8_toxicity
 
@@ -32,8 +36,11 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_spelling": op12_spelling,
+        "op13_language_id": op13_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return all_checks()
