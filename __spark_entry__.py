@@ -18,7 +18,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import duckdb_checks  # noqa: E402
 from patronscope.config import CustomerFilter, HeatmapBands, SegmentationConfig  # noqa: E402
 from patronscope.functions.numeric import half_even  # noqa: E402
-from patronscope.functions.order_stats import GlobalOrder  # noqa: E402
 from patronscope.operators import explorer, reports, rfm, segments  # noqa: E402
 from patronscope.operators import clustering as cl  # noqa: E402
 from patronscope.operators import features as ft  # noqa: E402
@@ -102,24 +101,23 @@ def _rfm_base_events(spark: SparkSession, folder: str) -> DataFrame:
     return rfm.rfm_base(sales, Workspace(spark))
 
 
-def _ordered(spark: SparkSession, folder: str) -> tuple[DataFrame, GlobalOrder]:
+def _rfm_ranks(spark: SparkSession, folder: str) -> DataFrame:
     workspace = Workspace(spark)
-    base = _rfm(spark, folder, workspace)
-    return base, rfm.metric_order(base, workspace)
+    return rfm.rfm_ranks(rfm.metric_order(_rfm(spark, folder, workspace), workspace))
 
 
-def _rfm_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return rfm.rfm_ranks(_ordered(spark, folder)[1])
+def _caps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    base = _rfm(spark, folder)
+    marks = rfm.landmarks(base, CONFIG.cap_quantiles)
+    return base, ft.outlier_caps(base, marks, CONFIG.cap_quantiles)
 
 
 def _outlier_caps(spark: SparkSession, folder: str) -> DataFrame:
-    caps = ft.outlier_caps(_ordered(spark, folder)[1], CONFIG.cap_quantiles)
-    return _six(caps, "recency_cap", "frequency_cap", "monetary_cap")
+    return _six(_caps(spark, folder)[1], "recency_cap", "frequency_cap", "monetary_cap")
 
 
 def _capped(spark: SparkSession, folder: str) -> DataFrame:
-    base, order = _ordered(spark, folder)
-    return ft.capped_features(base, ft.outlier_caps(order, CONFIG.cap_quantiles))
+    return ft.capped_features(*_caps(spark, folder))
 
 
 def _capped_features(spark: SparkSession, folder: str) -> DataFrame:

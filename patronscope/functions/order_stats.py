@@ -1,4 +1,4 @@
-"""Exact positions and quantiles without gathering rows in one task."""
+"""Exact positions in a whole order without gathering rows in one task."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from itertools import batched
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from patronscope.functions.numeric import double
 from patronscope.sources.small import small_table
 from patronscope.sources.workspace import Workspace
 
@@ -85,57 +84,3 @@ def global_order(
         starts.append(total)
         total += size["n"]
     return GlobalOrder(rows, tasks, starts, total)
-
-
-def clean_values(df: DataFrame, values: Sequence[str], by: str) -> DataFrame:
-    """The ``by`` column and the values as doubles, with null in place of NaN."""
-    return df.selectExpr(by, *[f"nullif(cast({v} as double), double('NaN')) as {v}" for v in values])
-
-
-def exact_quantiles(
-    df: DataFrame,
-    values: Sequence[str],
-    fractions: Sequence[float],
-    by: str,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, as one array column per value column.
-
-    ``by`` must have few distinct values, such as segments. Two passes over ``df``, neither of which
-    moves its rows. The first brackets each wanted quantile with mergeable sketches. The second
-    clamps every value to the bracket, which leaves the order statistics inside it in place, and
-    takes the exact percentile of that; its buffers hold only the distinct values of a bracket, a
-    few ``1/accuracy`` of the group. Small groups use the whole range as their bracket.
-    """
-    rows = clean_values(df, values, by)
-    # A sketch may be off by 1/accuracy on either side; three times that leaves room for rounding.
-    margin = 3.0 / accuracy
-    levels = ", ".join(
-        double(level) for f in fractions for level in (max(0.0, f - margin), min(1.0, f + margin))
-    )
-    sketch = rows.groupBy(by).agg(
-        *[
-            F.expr(
-                f"if(count({v}) >= {4 * accuracy}, "
-                f"percentile_approx({v}, array({levels}), {accuracy}), null) as {v}_marks"
-            )
-            for v in values
-        ]
-    )
-
-    def quantile(value: str, at: int, fraction: float) -> str:
-        # greatest() and least() skip nulls, so an absent bracket leaves the value as it is, but an
-        # absent value would turn into the bracket.
-        low, high = f"{value}_marks[{2 * at}]", f"{value}_marks[{2 * at + 1}]"
-        clamped = f"if({value} is null, null, least(greatest({value}, {low}), {high}))"
-        return f"percentile({clamped}, {double(fraction)})"
-
-    def quantiles(value: str) -> str:
-        return ", ".join(quantile(value, i, f) for i, f in enumerate(fractions))
-
-    return (
-        # One row per group.
-        rows.join(F.broadcast(sketch), by)
-        .groupBy(by)
-        .agg(*[F.expr(f"array({quantiles(v)}) as {v}") for v in values])
-    )

@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Row
 
 from patronscope.catalog import METRICS
 from patronscope.functions.numeric import double
-from patronscope.functions.order_stats import GlobalOrder
-from patronscope.operators.rfm import customer_count
+from patronscope.operators.rfm import Landmarks
 from patronscope.sources.small import small_table
 
 FEATURES = tuple(f"z_{metric}" for metric in METRICS)
 
 
-def outlier_caps(order: GlobalOrder, quantiles: Mapping[str, float]) -> DataFrame:
+def outlier_caps(rfm: DataFrame, marks: Landmarks, quantiles: Mapping[str, float]) -> DataFrame:
     """One row with the exact, linear-interpolated upper quantile of each metric.
 
-    The two neighbouring values of each quantile are looked up in the sorted metric table.
+    The two neighbouring values of each quantile are among the landmarks found for ``quantiles``.
     """
-    customers = customer_count(order)
-    places = {m: quantiles[m] * (customers - 1) for m in METRICS} if customers else {}
-    ends = {
-        (m, step): i * customers + step(places[m])
-        for i, m in enumerate(METRICS)
-        if m in places
-        for step in (math.floor, math.ceil)
-    }
-    rows = order.rows_at(set(ends.values()))
-    caps = []
-    for m, place in places.items():
-        low, high = (rows[ends[m, step]]["value"] for step in (math.floor, math.ceil))
-        caps.append(low + (high - low) * (place - math.floor(place)))
+    caps = [marks.quantile(m, quantiles[m]) if marks.customers else None for m in METRICS]
     return small_table(
-        order.rows.sparkSession,
-        [tuple(caps or [None] * len(METRICS))],
-        ", ".join(f"{m}_cap double" for m in METRICS),
+        rfm.sparkSession, [tuple(caps)], ", ".join(f"{m}_cap double" for m in METRICS)
     )
 
 

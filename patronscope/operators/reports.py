@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from patronscope.catalog import ALL_CUSTOMERS, METRICS
 from patronscope.config import CustomerFilter, HeatmapBands
 from patronscope.functions.numeric import band, exact_total, half_even, quoted_array
-from patronscope.functions.order_stats import clean_values, exact_quantiles
+from patronscope.functions.selection import clean_values, exact_quantiles
 from patronscope.operators.segments import in_display_order
 from patronscope.sources.small import small_table
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.catalog import METRICS
 from patronscope.functions.numeric import double
 from patronscope.functions.order_stats import GlobalOrder, global_order
+from patronscope.functions.selection import select_ranks
 from patronscope.sources.workspace import Workspace
 
 QUINTILES = 5
@@ -80,31 +85,88 @@ def rfm_ranks(order: GlobalOrder) -> DataFrame:
     )
 
 
-def rfm_scores(rfm: DataFrame, order: GlobalOrder) -> DataFrame:
+@dataclass(frozen=True)
+class Landmarks:
+    """The customers at a few ranks of each metric, ties by customer id.
+
+    ``rows[metric][rank]`` is the (value, customer id) at that 0-based rank.
+    """
+
+    customers: int
+    rows: dict[str, dict[int, tuple[float, int]]]
+
+    def quantile(self, metric: str, fraction: float) -> float:
+        """Linear-interpolated quantile; its ranks must be among the landmarks."""
+        place = fraction * (self.customers - 1)
+        low, high = (self.rows[metric][step(place)][0] for step in (math.floor, math.ceil))
+        return low + (high - low) * (place - math.floor(place))
+
+
+def quintile_ends(customers: int) -> list[int]:
+    """Rank of the last customer of each of the first four quintiles."""
+    return [(b * (customers - 1)) // QUINTILES for b in range(1, QUINTILES)]
+
+
+def landmarks(rfm: DataFrame, quantiles: Mapping[str, float] | None = None) -> Landmarks:
+    """Find the quintile ends of each metric, and the ranks around its entry in ``quantiles``.
+
+    Customers are neither sorted nor moved: the values at these ranks are selected in a few passes,
+    then, among the customers who share such a value, the ids.
+    """
+    wanted = quantiles or {}
+
+    def ranks(i: int, n: int) -> list[int]:
+        place = wanted.get(METRICS[i], 0.0) * (n - 1)
+        return [*quintile_ends(n), math.floor(place), math.ceil(place)]
+
+    # No metric is null, so each has as many ranks as there are customers.
+    values = rfm.selectExpr("customer_id", *[f"cast({m} as double) as {m}" for m in METRICS])
+    selection = select_ranks(values, METRICS, ranks)
+    customers = selection.counts.get(0, [0])[0]
+    by_value = selection.found.get(0, [{} for _ in METRICS])
+    # One column of ids for each value that was met, with the ranks wanted among them.
+    tied: dict[tuple[str, float], list[tuple[int, int]]] = {}
+    for metric, found in zip(METRICS, by_value, strict=True):
+        for rank, hit in found.items():
+            tied.setdefault((metric, hit.value), []).append((rank, rank - hit.below))
+    rows: dict[str, dict[int, tuple[float, int]]] = {m: {} for m in METRICS}
+    if tied:
+        columns = [
+            f"if({metric} = {double(value)}, customer_id, null) as id_{i}"
+            for i, (metric, value) in enumerate(tied)
+        ]
+        places = list(tied.values())
+        ids = select_ranks(
+            values.selectExpr(*columns),
+            [f"id_{i}" for i in range(len(tied))],
+            lambda i, _: [place for _, place in places[i]],
+        ).found[0]
+        for (metric, value), pairs, found_ids in zip(tied, places, ids, strict=True):
+            for rank, place in pairs:
+                rows[metric][rank] = (value, found_ids[place].value)
+    return Landmarks(customers, rows)
+
+
+def rfm_scores(rfm: DataFrame, marks: Landmarks) -> DataFrame:
     """Add quintile scores 1 to 5 per metric and their sum.
 
     A customer's quintile follows from comparing its (value, id) with the last customer of each of
-    the first four quintiles. Those twelve rows are looked up in the sorted table, so scoring is a
-    projection and shuffles nothing.
+    the first four quintiles, so scoring is a projection and shuffles nothing.
     """
-    customers = customer_count(order)
-    if customers < 2:
-        raise ValueError(f"quintiles need at least two customers, found {customers}")
-    ends = [(b * (customers - 1)) // QUINTILES for b in range(1, QUINTILES)]
-    rows = order.rows_at({i * customers + end for i in range(len(METRICS)) for end in ends})
+    if marks.customers < 2:
+        raise ValueError(f"quintiles need at least two customers, found {marks.customers}")
 
-    def quintile(number: int, metric: str) -> str:
+    def quintile(metric: str) -> str:
         beyond = []
-        for end in ends:
-            last = rows[number * customers + end]
-            value = double(last["value"])
+        for end in quintile_ends(marks.customers):
+            last, customer_id = marks.rows[metric][end]
+            value = double(last)
             beyond.append(
-                f"int({metric} > {value} or ({metric} = {value} "
-                f"and customer_id > {last['customer_id']}L))"
+                f"int({metric} > {value} or ({metric} = {value} and customer_id > {customer_id}L))"
             )
         return "1 + " + " + ".join(beyond)
 
-    recency, frequency, monetary = (quintile(i, m) for i, m in enumerate(METRICS))
+    recency, frequency, monetary = (quintile(m) for m in METRICS)
     return rfm.selectExpr(
         "*",
         f"{QUINTILES + 1} - ({recency}) as r_score",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from patronscope.catalog import SEGMENTS
 from patronscope.functions.numeric import half_even, quoted_array
-from patronscope.functions.order_stats import exact_quantiles
+from patronscope.functions.selection import exact_quantiles
 from patronscope.sources.small import small_table
 
 PLAYBOOK_SCHEMA = "segment string, priority string, actions array<string>, target string"

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from patronscope.catalog import SEGMENTS
 from patronscope.config import SegmentationConfig
-from patronscope.functions.order_stats import GlobalOrder
 from patronscope.operators.clean import clean_transactions
 from patronscope.operators.clustering import assign_centroid, fit_kmeans, k_sweep
 from patronscope.operators.features import (
@@ -23,7 +22,7 @@ from patronscope.operators.reports import (
     segment_radar,
     segment_summary,
 )
-from patronscope.operators.rfm import metric_order, rfm_base, rfm_scores
+from patronscope.operators.rfm import Landmarks, landmarks, rfm_base, rfm_scores
 from patronscope.operators.segments import (
     cluster_ranking,
     require_labelled,
@@ -42,19 +41,21 @@ from patronscope.sources.tables import (
 from patronscope.sources.workspace import Workspace
 
 
-def score_customers(tx: DataFrame, workspace: Workspace) -> tuple[DataFrame, GlobalOrder]:
-    """Transactions to customers with RFM values and scores, and the order the scores rest on."""
+def score_customers(
+    tx: DataFrame, workspace: Workspace, quantiles: Mapping[str, float] | None = None
+) -> tuple[DataFrame, Landmarks]:
+    """Transactions to customers with RFM values and scores, and the landmarks the scores rest on."""
     rfm = rfm_base(clean_transactions(tx), workspace)
-    order = metric_order(rfm, workspace)
-    return rfm_scores(rfm, order), order
+    marks = landmarks(rfm, quantiles)
+    return rfm_scores(rfm, marks), marks
 
 
 def prepare_features(
     tx: DataFrame, config: SegmentationConfig, workspace: Workspace
 ) -> DataFrame:
     """Scored customers with standardised features, stored for the passes of clustering."""
-    scored, order = score_customers(tx, workspace)
-    capped = capped_features(scored, outlier_caps(order, config.cap_quantiles))
+    scored, marks = score_customers(tx, workspace, config.cap_quantiles)
+    capped = capped_features(scored, outlier_caps(scored, marks, config.cap_quantiles))
     return workspace.save(scaled_features(capped), "features")
 
 

@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import TX, day, plan_text, rows
+from conftest import SHOPPERS, TX, day, plan_text, rows
 from pyspark.sql import functions as F
 
 from patronscope.operators.clean import clean_transactions, load_stats
@@ -73,10 +73,8 @@ def test_missing_column(spark):
             F.col("id").alias("CustomerID"), F.lit(1).alias("Quantity")))
 
 
-def test_load_stats(spark, sales_df, sales):
-    assert rows(load_stats(clean_transactions(sales_df))) == [
-        (500, sales["customer_id"].nunique())
-    ]
+def test_load_stats(spark, sales_df, kept_sales):
+    assert rows(load_stats(clean_transactions(sales_df))) == [(len(kept_sales), SHOPPERS)]
     assert rows(load_stats(clean_transactions(sales_df).where("false"))) == [(0, 0)]
 
 

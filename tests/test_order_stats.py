@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from patronscope.functions.order_stats import exact_quantiles, global_order
+from patronscope.functions.order_stats import global_order
 
 
 @pytest.fixture()
@@ -40,33 +40,3 @@ def test_no_rows(spark, workspace):
     order = global_order(spark.createDataFrame([], "v double, id bigint"), ["v", "id"], workspace, "t")
     assert order.total == 0
     assert order.with_position().count() == 0
-
-
-@pytest.mark.parametrize("accuracy", [10_000, 25])
-def test_group_quantiles(spark, accuracy):
-    """With a coarse sketch the bracket path is taken; both are exact."""
-    rng = np.random.default_rng(3)
-    table = pd.DataFrame(
-        {
-            "grp": rng.choice(["a", "b"], 4000, p=[0.9, 0.1]),
-            "smooth": rng.normal(size=4000) * 1000,
-            "tied": np.where(rng.random(4000) < 0.4, 1, rng.integers(1, 50, 4000)),
-        }
-    )
-    tiny = pd.DataFrame({"grp": ["c", "d", "d"], "smooth": [1.5, 1.0, 2.0], "tied": [3, 4, 5]})
-    table = pd.concat([table, tiny], ignore_index=True)
-    fractions = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    df = spark.createDataFrame(table).repartition(5)
-    got = {r.grp: r for r in exact_quantiles(df, ["smooth", "tied"], fractions, "grp", accuracy).collect()}
-    assert set(got) == {"a", "b", "c", "d"}
-    for grp, part in table.groupby("grp"):
-        for metric in ("smooth", "tied"):
-            assert np.allclose(got[grp][metric], np.quantile(part[metric], fractions), rtol=1e-12)
-
-
-def test_quantiles_skip_missing_values(spark):
-    df = spark.createDataFrame(
-        [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0), ("b", None)], "g string, v double"
-    )
-    got = {r.g: r.v for r in exact_quantiles(df, ["v"], [0.5], "g", 1).collect()}
-    assert got == {"a": [2.0], "b": [None]}

@@ -1,5 +1,7 @@
+import csv
+
 import pytest
-from conftest import rows
+from conftest import SHOPPERS, rows
 
 from patronscope.__main__ import main
 from patronscope.catalog import SEGMENTS
@@ -7,6 +9,7 @@ from patronscope.config import CustomerFilter, SegmentationConfig
 from patronscope.operators.segments import PLAYBOOK_SCHEMA
 from patronscope.plans import dashboard
 from patronscope.plans.pipeline import run
+from patronscope.sources.transactions import PUBLISHED_NAMES
 
 FAST = SegmentationConfig(n_init=4, sweep_n_init=2, k_range_end=6)
 
@@ -17,9 +20,9 @@ def result(sales_df, tmp_path_factory):
     return output, run(sales_df, output, FAST)
 
 
-def test_every_customer_is_labelled(result, sales):
+def test_every_customer_is_labelled(result):
     scored = result[1].scored.toPandas()
-    assert len(scored) == sales["customer_id"].nunique() == scored["customer_id"].nunique()
+    assert len(scored) == SHOPPERS == scored["customer_id"].nunique()
     assert scored["segment"].notna().all()
     assert set(scored["segment"]) == set(SEGMENTS)
     assert scored["cluster"].nunique() == 5
@@ -31,14 +34,14 @@ def test_best_segment_has_the_best_scores(result):
     assert medians[list(SEGMENTS)].is_monotonic_decreasing
 
 
-def test_sweep_and_summary(result, sales):
+def test_sweep_and_summary(result):
     sweep = result[1].sweep.toPandas()
     assert sweep["k"].tolist() == [2, 3, 4, 5, 6]
     assert sweep["silhouette"].between(-1, 1).all()
     summary = result[1].summary.toPandas()
     assert summary["segment"].tolist() == list(SEGMENTS)
     assert abs(summary["revenue_pct"].sum() - 100) < 0.5
-    assert summary["customers"].sum() == sales["customer_id"].nunique()
+    assert summary["customers"].sum() == SHOPPERS
 
 
 def test_chart_tables_are_written(spark, result):
@@ -72,13 +75,14 @@ def test_dashboard_tabs(result):
 
 def test_too_few_customers(sales_df, tmp_path):
     with pytest.raises(ValueError):
-        run(sales_df.where("customer_id = 1001"), str(tmp_path), FAST)
+        run(sales_df.where("customer_id = 11"), str(tmp_path), FAST)
 
 
 def test_command_line(spark, sales, tmp_path, capsys):
-    names = {"invoice_no": "InvoiceNo", "invoice_ts": "InvoiceDate", "customer_id": "CustomerID",
-             "quantity": "Quantity", "unit_price": "UnitPrice"}
-    sales.rename(columns=names).to_csv(tmp_path / "tx.csv", index=False)
+    with open(tmp_path / "tx.csv", "w", newline="") as file:
+        out = csv.writer(file)
+        out.writerow(PUBLISHED_NAMES.values())
+        out.writerows(sales)
     (tmp_path / "c.yaml").write_text(
         "clustering: {k_final: 5, n_init: 3, sweep_n_init: 1, k_range_start: 2, k_range_end: 4}\n"
     )
@@ -86,4 +90,4 @@ def test_command_line(spark, sales, tmp_path, capsys):
           str(tmp_path / "out"), "--output-format", "csv", "--config", str(tmp_path / "c.yaml")])
     assert "Champions" in capsys.readouterr().out
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "rfm_scored"))
-    assert back.count() == sales["customer_id"].nunique() and "RFM_Score" in back.columns
+    assert back.count() == SHOPPERS and "RFM_Score" in back.columns

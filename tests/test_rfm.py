@@ -1,84 +1,90 @@
-import numpy as np
-import pandas as pd
+import datetime as dt
+
 import pytest
-from conftest import TX, day
+from conftest import SHOPPERS, TX, day
 from pyspark.sql import functions as F
 
+from patronscope.functions import selection
 from patronscope.operators.clean import clean_transactions
-from patronscope.operators.rfm import metric_order, rfm_base, rfm_ranks, rfm_scores, score_range
+from patronscope.operators.rfm import (
+    landmarks,
+    metric_order,
+    rfm_base,
+    rfm_ranks,
+    rfm_scores,
+    score_range,
+)
 
 RFM = "customer_id bigint, recency bigint, frequency bigint, monetary double"
 
 
-def by_hand(rfm: pd.DataFrame) -> pd.DataFrame:
-    """Ranks and quintiles with pandas alone."""
-    out = rfm.sort_values("customer_id").reset_index(drop=True)
-    labels = {"recency": [5, 4, 3, 2, 1], "frequency": [1, 2, 3, 4, 5], "monetary": [1, 2, 3, 4, 5]}
-    for metric, names in labels.items():
-        rank = out[metric].rank(method="first")
-        out[f"{metric}_rank"] = rank.astype(int)
-        out[f"{metric[0]}_score"] = pd.qcut(rank, 5, labels=names).astype(int)
-    out["rfm_score"] = out["r_score"] + out["f_score"] + out["m_score"]
-    return out
-
-
-def scored_and_ranked(rfm, workspace):
-    order = metric_order(rfm, workspace)
-    scored = rfm_scores(rfm, order).toPandas()
-    ranked = rfm_ranks(order).toPandas()
-    return scored.merge(ranked, on="customer_id").sort_values("customer_id").reset_index(drop=True)
-
-
-def test_base_matches_pandas(sales_df, sales, workspace):
-    got = rfm_base(clean_transactions(sales_df), workspace).toPandas().sort_values("customer_id")
-    snapshot = sales["invoice_ts"].max() + pd.Timedelta(days=1)
-    revenue = sales.assign(revenue=sales["quantity"] * sales["unit_price"])
-    want = revenue.groupby("customer_id").agg(
-        recency=("invoice_ts", lambda x: (snapshot - x.max()).days),
-        frequency=("invoice_no", "nunique"),
-        monetary=("revenue", "sum"),
-    )
-    assert got["customer_id"].tolist() == want.index.tolist()
-    for name in ("recency", "frequency"):
-        assert got[name].tolist() == want[name].tolist()
-    assert np.allclose(got["monetary"], want["monetary"].round(2), atol=0.005)
-    assert got["recency"].min() == 1 and (got["monetary"] > 0).all()
+def by_hand(table: list[tuple]) -> dict[int, tuple]:
+    """Ranks and scores of (customer, recency, frequency, monetary) rows with plain dicts.
+
+    The quintile of 0-based rank i of n is the least q with 5 i <= q (n - 1), at least 1.
+    """
+    ranks: dict[int, list[int]] = {row[0]: [] for row in table}
+    for at in (1, 2, 3):
+        for rank, row in enumerate(sorted(table, key=lambda r: (r[at], r[0]))):
+            ranks[row[0]].append(rank)
+    n = len(table)
+    found = {}
+    for customer, places in ranks.items():
+        r, f, m = (next(q for q in range(1, 6) if 5 * i <= q * (n - 1)) for i in places)
+        found[customer] = (*(i + 1 for i in places), 6 - r, f, m, 6 - r + f + m)
+    return found
+
+
+def scored_and_ranked(rfm, workspace) -> dict[int, tuple]:
+    ranks = {r.customer_id: tuple(r)[1:] for r in rfm_ranks(metric_order(rfm, workspace)).collect()}
+    scored = rfm_scores(rfm, landmarks(rfm)).collect()
+    return {
+        r.customer_id: (*ranks[r.customer_id], r.r_score, r.f_score, r.m_score, r.rfm_score)
+        for r in scored
+    }
+
+
+def test_base_matches_plain_sums(sales_df, kept_sales, workspace):
+    invoices, spent, latest = {}, {}, {}
+    for invoice, when, customer, quantity, price in kept_sales:
+        invoices.setdefault(customer, set()).add(invoice)
+        spent[customer] = spent.get(customer, 0) + quantity * round(price * 100)
+        latest[customer] = max(latest.get(customer, when), when)
+    end = max(latest.values()) + dt.timedelta(days=1)
+    got = {r.customer_id: r for r in rfm_base(clean_transactions(sales_df), workspace).collect()}
+    assert set(got) == set(latest) and len(got) == SHOPPERS
+    for customer, row in got.items():
+        assert row.recency == (end - latest[customer]) // dt.timedelta(days=1)
+        assert row.frequency == len(invoices[customer])
+        assert row.monetary == spent[customer] / 100
+
+
+def test_scores_match_plain_ranks(sales_df, workspace):
+    rfm = rfm_base(clean_transactions(sales_df), workspace)
+    want = by_hand([tuple(r) for r in rfm.collect()])
+    assert scored_and_ranked(rfm, workspace) == want
+    assert {w[-1] for w in want.values()} >= {4, 8, 12}
 
 
-def test_scores_match_pandas(sales_df, workspace):
-    rfm = rfm_base(clean_transactions(sales_df), workspace)
-    got = scored_and_ranked(rfm, workspace)
-    want = by_hand(rfm.toPandas())
-    assert (got[want.columns] == want).all().all()
-    assert got["rfm_score"].between(3, 15).all()
-
-
-@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 7, 11, 12, 26, 41])
-def test_quintile_edges_and_ties(spark, workspace, n):
-    rng = np.random.default_rng(n)
-    table = pd.DataFrame(
-        {
-            "customer_id": rng.permutation(n) + 1,
-            "recency": rng.integers(1, 4, n),
-            "frequency": np.ones(n, dtype=int),
-            "monetary": rng.integers(1, 100, n) / 4,
-        }
-    )
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 7, 11, 12, 26, 41, 3000])
+def test_quintile_edges_and_ties(spark, workspace, monkeypatch, n):
+    """Every customer has the same frequency, few differ in recency; few values are fetched."""
+    monkeypatch.setattr(selection, "KEPT", 5)
+    table = [(7 * i % (n * 7 + 1) - n, 1 + i * i % 3, 1, i * 37 % 101 / 4) for i in range(1, n + 1)]
     got = scored_and_ranked(spark.createDataFrame(table, RFM), workspace)
-    want = by_hand(table)
-    assert (got[want.columns] == want).all().all()
+    assert got == by_hand(table)
 
 
 @pytest.mark.parametrize("n", [0, 1])
-def test_too_few_customers(spark, workspace, n):
+def test_too_few_customers(spark, n):
     rfm = spark.createDataFrame([(1, 1, 1, 1.0)] * n, RFM)
     with pytest.raises(ValueError, match="at least two customers"):
-        rfm_scores(rfm, metric_order(rfm, workspace))
+        rfm_scores(rfm, landmarks(rfm))
 
 
 def test_score_types_and_range(spark, workspace, sales_df):
     rfm = rfm_base(clean_transactions(sales_df), workspace)
-    scored = rfm_scores(rfm, metric_order(rfm, workspace))
+    scored = rfm_scores(rfm, landmarks(rfm))
     kinds = dict(scored.dtypes)
     assert [kinds[c] for c in ("r_score", "f_score", "m_score", "rfm_score")] == ["int"] * 4
     assert kinds["recency"] == kinds["frequency"] == kinds["customer_id"] == "bigint"
@@ -109,13 +115,15 @@ def test_recency_counts_elapsed_days(spark, workspace, zone):
 
 
 def test_invoices_count_once(spark, workspace):
-    t = day("2023-06-15")
-    lines = [("2001", t, 1, 1, 10.0), ("2001", t, 1, 1, 10.0), ("2001", t, 1, 3, 0.335)]
-    lines += [(i, day("2023-06-01"), 1, 1, 10.0) for i in ("1001", "1002", "1003")]
-    lines += [(None, t, 2, 1, 1.0), ("2001", t, 3, 1, 1.0)]
+    """Lines and repeated lines of an invoice count once; so does one shared by two customers."""
+    monday, sunday = day("2019-11-04 09:15:00"), day("2019-11-03 17:40:00")
+    lines = [("A7", monday, 31, 2, 4.25)] * 3 + [("A7", monday, 31, 1, 0.335)]
+    lines += [("B1", sunday, 31, 5, 0.2), ("A7", sunday, 32, 1, 6.5)]
+    lines += [(None, monday, 33, 1, 2.75), (None, sunday, 33, 2, 1.0)]
     got = rfm_base(clean_transactions(spark.createDataFrame(lines, TX)), workspace)
     found = {r.customer_id: (r.frequency, r.monetary) for r in got.collect()}
-    assert found == {1: (4, 51.0), 2: (0, 1.0), 3: (1, 1.0)}
+    # 3 x 8.50 + 0.335 + 1.00 = 26.835, of which the cent rounds to the even neighbour.
+    assert found == {31: (2, 26.84), 32: (1, 6.5), 33: (0, 4.75)}
 
 
 def test_hot_customer(spark, workspace):
