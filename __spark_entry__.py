@@ -6,6 +6,7 @@ folder of Parquet tables, and ``oracle_sql()`` gives the SQL each of them is com
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -18,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import duckdb_checks  # noqa: E402
 from patronscope.config import CustomerFilter, HeatmapBands, SegmentationConfig  # noqa: E402
 from patronscope.functions.numeric import half_even  # noqa: E402
-from patronscope.operators import explorer, reports, rfm, segments  # noqa: E402
+from patronscope.operators import brands, explorer, reports, rfm, segments, snapshots  # noqa: E402
 from patronscope.operators import clustering as cl  # noqa: E402
 from patronscope.operators import features as ft  # noqa: E402
 from patronscope.operators.clean import clean_transactions, load_stats  # noqa: E402
@@ -26,11 +27,14 @@ from patronscope.plans import pipeline  # noqa: E402
 from patronscope.sources import tables, transactions  # noqa: E402
 from patronscope.sources.small import small_table  # noqa: E402
 from patronscope.sources.workspace import Workspace  # noqa: E402
+from patronscope.streaming import incremental  # noqa: E402
 
 try:
     import corpus_pipeline
     from patronscope.llm import queries as llm_queries
-except ImportError:  # the subpackage is optional
+except ModuleNotFoundError as missing:  # the subpackage and its pipeline are optional, no more
+    if missing.name not in ("corpus_pipeline", "patronscope.llm"):
+        raise
     llm_queries = None
 
 CONFIG = SegmentationConfig()
@@ -43,6 +47,9 @@ CENTERS = (
     (2.4, -1.2, -1.2),
 )
 STARTS = duckdb_checks.SWEEP_STARTS
+# End of the earlier snapshot, and the span of stored transactions that is read back.
+CUT = "2000-01-01 00:00:00"
+SPAN = (dt.datetime(1997, 3, 9), dt.datetime(1998, 2, 17))
 SELECTED = ("Champions", "Loyal Customers", "At Risk")
 CHOSEN = CustomerFilter(SELECTED, 6, 12, 100_000, 900_000)
 BANDS = HeatmapBands(
@@ -165,6 +172,95 @@ def _scored_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_scored(spark, path, "csv")
 
 
+def _seeded_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Training to convergence from drawn starts, as the batch run does it."""
+    return cl.k_sweep(
+        _features(spark, folder), CONFIG.sweep_ks, CONFIG.sweep_n_init, CONFIG.random_state
+    )
+
+
+def _seeded_segments(spark: SparkSession, folder: str) -> DataFrame:
+    features = _features(spark, folder)
+    found = cl.fit_kmeans(features, CONFIG.k_final, CONFIG.n_init, CONFIG.random_state)
+    return cl.assign_centroid(features, found.centers).select("customer_id", "cluster")
+
+
+def _checked_labels(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = _labelled(spark, folder)
+    segments.require_labelled(labelled)
+    return labelled
+
+
+def _empty_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Three clusters for five names, so two segments are empty."""
+    labelled = pipeline.label_customers(_features(spark, folder), CENTERS[:3])
+    return segments.empty_segments(Workspace(spark).save(labelled, "labelled"))
+
+
+def _summary_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{Workspace(spark).path}/segment_summary_csv"
+    tables.write_summary(_summary(spark, folder), path, "csv")
+    return tables.read_summary(spark, path, "csv")
+
+
+def _explorer_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The exported view, read back with the types of the table."""
+    path = f"{Workspace(spark).path}/explorer_csv"
+    view = explorer.explorer_table(_labelled(spark, folder), CHOSEN, "recency", True)
+    explorer.export_view(view, path)
+    return spark.read.schema(view.schema).option("header", True).csv(path)
+
+
+def _brand_scores(spark: SparkSession, folder: str) -> DataFrame:
+    workspace = Workspace(spark)
+    lines = transactions.from_order_tables(spark, folder)
+    return brands.scores_by(brands.rfm_by(lines, "brand", workspace), "brand", workspace)
+
+
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines dealt into batches at random, so that invoices are split, and streamed in.
+
+    One batch is delivered again in the end.
+    """
+    workspace = Workspace(spark)
+    lines = transactions.canonical(transactions.from_order_tables(spark, folder))
+    staged = f"{workspace.path}/staged"
+    dealt = lines.withColumn("batch", F.expr("pmod(xxhash64(*), 5)"))
+    dealt.repartition(5, "batch").write.partitionBy("batch").parquet(staged)
+    stream = (
+        spark.readStream.schema(lines.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{staged}/batch=*")
+    )
+    state = incremental.InvoiceState(spark, f"{workspace.path}/state")
+    incremental.ingest(stream, state, f"{workspace.path}/progress", fold_every=3)
+    return state.rfm_base(workspace)
+
+
+def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled customers as of ``CUT`` and as of the last sale."""
+    lines = transactions.canonical(transactions.from_order_tables(spark, folder))
+    found = []
+    for tx in (lines.where(f"invoice_ts < timestamp_ntz'{CUT}'"), lines):
+        workspace = Workspace(spark)
+        features = pipeline.prepare_features(tx, CONFIG, workspace)
+        found.append(workspace.save(pipeline.label_customers(features, CENTERS), "labelled"))
+    return found[0], found[1]
+
+
+def _segment_drift(spark: SparkSession, folder: str) -> DataFrame:
+    drift = snapshots.segment_drift(*_snapshots(spark, folder))
+    return _six(drift, "share_before", "share_after", "change", "psi", "psi_total")
+
+
+def _transactions_between(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{Workspace(spark).path}/by-month"
+    transactions.write_by_month(transactions.from_order_tables(spark, folder), path)
+    found = transactions.read_between(spark, path, *SPAN)
+    return found.withColumns({"invoice_ts": F.col("invoice_ts").cast("string"),
+                              "unit_price": F.col("unit_price").cast("double")})
+
+
 def _playbook(spark: SparkSession) -> DataFrame:
     return small_table(spark, duckdb_checks.TEST_PLAYBOOK, segments.PLAYBOOK_SCHEMA)
 
@@ -206,8 +302,11 @@ def queries() -> dict[str, Query]:
             cl.silhouette(_assigned(s, d), cl.SQUARED), "silhouette"
         ),
         "cluster_ranking": lambda s, d: segments.cluster_ranking(_assigned(s, d)),
-        "segment_labels": _labelled,
-        "empty_segments": _on_labelled(segments.empty_segments),
+        "silhouette_sampled": lambda s, d: _six(
+            cl.sampled_silhouette(_assigned(s, d), 10), "silhouette", "std_error"
+        ),
+        "segment_labels": _checked_labels,
+        "empty_segments": _empty_segments,
         "cluster_segment_mean": _on_labelled(segments.cluster_segment_mean),
         "segment_counts": _on_labelled(segments.segment_counts),
         "segment_summary": _summary,
@@ -233,6 +332,15 @@ def queries() -> dict[str, Query]:
         "explorer_table": _on_labelled(explorer.explorer_table, CHOSEN, "monetary", False),
         "segment_playbook": lambda s, d: segments.segment_playbook(_labelled(s, d), _playbook(s)),
         "scored_roundtrip": _scored_roundtrip,
+        "summary_roundtrip": _summary_roundtrip,
+        "explorer_export": _explorer_export,
+        "rfm_incremental": _incremental,
+        "brand_scores": _brand_scores,
+        "segment_migration": lambda s, d: snapshots.segment_migration(*_snapshots(s, d)),
+        "segment_drift": _segment_drift,
+        "transactions_between": _transactions_between,
+        "k_sweep_seeded": _seeded_sweep,
+        "kmeans_segments_seeded": _seeded_segments,
     }
     if llm_queries:
         found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SEGMENT_VALUES = ", ".join(
     f"({rank}, '{name}')"
     for rank, name in enumerate(
@@ -110,6 +112,16 @@ STEPS = {
 }
 
 
+def earlier(last: str) -> str:
+    """All steps up to ``last`` over sales before 2000, as further steps with names in ``_early``."""
+    names = list(STEPS)[: list(STEPS).index(last) + 1]
+    pattern = r"\b(" + "|".join(n for n in names if n != "centers") + r")\b"
+    texts = {n: STEPS[n] for n in names if n != "centers"}
+    texts["tx"] = "SELECT * FROM whole WHERE invoice_ts < TIMESTAMP '2000-01-01'"
+    steps = [f"{n}_early AS ({re.sub(pattern, lambda m: m[0] + '_early', t)})" for n, t in texts.items()]
+    return ", " + ",\n".join(steps).replace("FROM whole", "FROM tx")
+
+
 def sql(last: str, query: str) -> str:
     """``query`` preceded by all steps up to ``last``."""
     names = list(STEPS)
@@ -311,6 +323,30 @@ def all_checks() -> dict[str, str]:
                    'euclidean' AS measure
             FROM gaps""",
         ),
+        "silhouette_sampled": sql(
+            "assigned",
+            f"""
+            , sums AS (
+                SELECT a.customer_id, p.cluster AS own, q.cluster AS other, count(*) AS n,
+                       sum(sqrt(pow(a.z_recency - b.z_recency, 2)
+                                + pow(a.z_frequency - b.z_frequency, 2)
+                                + pow(a.z_monetary - b.z_monetary, 2))) AS total
+                FROM feat a JOIN assigned p ON a.customer_id = p.customer_id,
+                     feat b JOIN assigned q ON b.customer_id = q.customer_id
+                WHERE a.customer_id % 10 = 0
+                GROUP BY ALL),
+            gaps AS (
+                SELECT customer_id, max(n) FILTER (own = other) AS size,
+                       max(total / (n - 1)) FILTER (own = other AND n > 1) AS inner_mean,
+                       min(total / n) FILTER (own <> other) AS outer_mean
+                FROM sums GROUP BY customer_id),
+            gains AS (
+                SELECT CASE WHEN size = 1 THEN 0 ELSE (outer_mean - inner_mean)
+                         / greatest(outer_mean, inner_mean) END AS gain FROM gaps)
+            SELECT {six('avg(gain)')} AS silhouette,
+                   {six('stddev_samp(gain) / sqrt(count(*))')} AS std_error, count(*) AS sampled
+            FROM gains""",
+        ),
         "silhouette_squared": sql(
             "assigned",
             f"""
@@ -337,9 +373,13 @@ def all_checks() -> dict[str, str]:
         "cluster_ranking": sql("ranking", "SELECT * FROM ranking"),
         "segment_labels": sql("lab", f"SELECT {SCORED}, cluster, segment FROM lab"),
         "empty_segments": sql(
-            "lab",
+            "centers",
             f"""SELECT segment FROM (VALUES {SEGMENT_VALUES}) AS names(rank, segment)
-                WHERE segment NOT IN (SELECT segment FROM lab WHERE segment IS NOT NULL)""",
+                WHERE rank > (
+                  SELECT count(DISTINCT nearest) FROM (
+                    SELECT arg_min(cluster, (pow(z_recency - cr, 2) + pow(z_frequency - cf, 2)
+                                             + pow(z_monetary - cm, 2), cluster)) AS nearest
+                    FROM feat, centers WHERE cluster < 3 GROUP BY customer_id))""",
         ),
         "cluster_segment_mean": sql(
             "lab",
@@ -440,4 +480,83 @@ def all_checks() -> dict[str, str]:
                      AS plays(segment, priority, action_no, action, target) USING (segment)""",
         ),
         "scored_roundtrip": sql("lab", f"SELECT {SCORED}, cluster, segment FROM lab"),
+        "summary_roundtrip": sql("summary", "SELECT * FROM summary"),
+        "explorer_export": sql(
+            "lab",
+            f"""SELECT customer_id AS "Customer ID", segment AS "Segment", recency AS "Recency",
+                       frequency AS "Frequency", round_even(monetary * 100, 0) / 100 AS "Monetary",
+                       r_score AS "R", f_score AS "F", m_score AS "M", rfm_score AS "RFM Score"
+                FROM lab WHERE {FILTER}""",
+        ),
+        "rfm_incremental": sql("base", "SELECT * FROM base"),
+        "transactions_between": sql(
+            "tx",
+            """SELECT invoice_no, CAST(invoice_ts AS VARCHAR) AS invoice_ts, customer_id, quantity,
+                      CAST(unit_price AS DOUBLE) AS unit_price
+               FROM tx WHERE invoice_ts >= TIMESTAMP '1997-03-09'
+                 AND invoice_ts < TIMESTAMP '1998-02-17'""",
+        ),
+        "brand_scores": """
+            WITH sales AS (
+                SELECT p_brand AS brand, o_custkey AS customer_id, o_orderkey AS invoice_no,
+                       o_orderdate AS sold,
+                       CAST(l_quantity AS INTEGER) * CAST(p_retailprice AS DECIMAL(18, 2)) AS revenue
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                     JOIN part ON l_partkey = p_partkey
+                WHERE l_returnflag <> 'R' AND o_custkey % 97 <> 0 AND p_retailprice > 0
+                  AND l_quantity > 0 AND NOT (l_linenumber IN (6, 7) AND l_quantity < 5)),
+            sums AS (
+                SELECT brand, customer_id,
+                       date_sub('day', max(sold), (SELECT max(sold) + INTERVAL 1 DAY FROM sales))
+                         AS recency,
+                       count(DISTINCT invoice_no) AS frequency,
+                       round(CAST(sum(revenue) AS DOUBLE), 2) AS monetary
+                FROM sales GROUP BY brand, customer_id),
+            placed AS (
+                SELECT *, count(*) OVER (PARTITION BY brand) - 1 AS last,
+                       row_number() OVER (PARTITION BY brand ORDER BY recency, customer_id) - 1
+                         AS r,
+                       row_number() OVER (PARTITION BY brand ORDER BY frequency, customer_id) - 1
+                         AS f,
+                       row_number() OVER (PARTITION BY brand ORDER BY monetary, customer_id) - 1
+                         AS m
+                FROM sums),
+            edged AS (
+                SELECT brand, customer_id, recency, frequency, monetary,
+                       CAST(6 - greatest(1, ceil(5.0 * r / last)) AS INTEGER) AS r_score,
+                       CAST(greatest(1, ceil(5.0 * f / last)) AS INTEGER) AS f_score,
+                       CAST(greatest(1, ceil(5.0 * m / last)) AS INTEGER) AS m_score
+                FROM placed)
+            SELECT *, r_score + f_score + m_score AS rfm_score FROM edged""",
+        "segment_migration": sql(
+            "lab",
+            f"""{earlier("lab")}
+            SELECT from_segment, to_segment, count(*) AS customers,
+                   round_even(count(*) * 1000.0 / sum(count(*)) OVER (PARTITION BY from_segment), 0)
+                     / 10 AS pct_of_from
+            FROM (SELECT CASE WHEN a.customer_id IS NULL THEN 'entered' ELSE a.segment END
+                           AS from_segment,
+                         CASE WHEN b.customer_id IS NULL THEN 'left' ELSE b.segment END
+                           AS to_segment
+                  FROM lab_early a FULL JOIN lab b ON a.customer_id = b.customer_id)
+            GROUP BY from_segment, to_segment""",
+        ),
+        "segment_drift": sql(
+            "lab",
+            f"""{earlier("lab")},
+            cells AS (
+                SELECT segment,
+                       (SELECT count(*) FROM lab_early l WHERE l.segment = names.segment) AS nb,
+                       (SELECT count(*) FROM lab l WHERE l.segment = names.segment) AS na
+                FROM (VALUES {SEGMENT_VALUES}) AS names(rank, segment)),
+            shares AS (
+                SELECT *, nb / sum(nb) OVER () AS sb, na / sum(na) OVER () AS sa,
+                       greatest(nb, 0.5) / sum(nb) OVER () AS p,
+                       greatest(na, 0.5) / sum(na) OVER () AS q FROM cells),
+            terms AS (SELECT *, (q - p) * ln(q / p) AS term FROM shares)
+            SELECT segment, nb AS n_before, na AS n_after, {six("sb")} AS share_before,
+                   {six("sa")} AS share_after, {six("sa - sb")} AS change, {six("term")} AS psi,
+                   {six("sum(term) OVER ()")} AS psi_total, sum(term) OVER () >= 0.2 AS shifted
+            FROM terms""",
+        ),
     }

@@ -16,14 +16,14 @@ EXCLUDED_PREFIXES = ("C", "D", "M", "S")
 QUANTITY_DIGITS, WHOLE_DIGITS = 10, 15
 
 
-def clean_transactions(tx: DataFrame) -> DataFrame:
-    """Keep sales to known customers and add ``revenue``.
+def clean_transactions(tx: DataFrame, *labels: str) -> DataFrame:
+    """Keep sales to known customers and add ``revenue``; ``labels`` are further columns to keep.
 
     Dropped are lines without customer, lines of invoices starting with an excluded letter, and
     lines whose quantity or price is not above zero. A line without invoice number stays. The filters
     are plain predicates on source columns, so the scan itself skips what statistics rule out.
     """
-    tx = canonical(tx)
+    tx = canonical(tx, *labels)
     prefixes = ", ".join(quoted(p) for p in EXCLUDED_PREFIXES)
     kept = tx.where(
         f"{present(tx, 'customer_id')} and {positive(tx, 'quantity')} "
@@ -37,6 +37,7 @@ def clean_transactions(tx: DataFrame) -> DataFrame:
         "quantity",
         "unit_price",
         f"{_revenue(tx)} as revenue",
+        *labels,
     )
 
 

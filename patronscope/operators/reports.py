@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patronscope.catalog import ALL_CUSTOMERS, METRICS
 from patronscope.config import CustomerFilter, HeatmapBands
-from patronscope.functions.numeric import band, exact_total, half_even, quoted_array
+from patronscope.functions.numeric import band, exact_total, half_even, quoted, quoted_array
 from patronscope.functions.selection import clean_values, exact_quantiles
 from patronscope.operators.segments import in_display_order
 from patronscope.sources.small import small_table
@@ -21,18 +21,24 @@ QUARTILES = (0.25, 0.5, 0.75)
 def filtered_customers(labelled: DataFrame, chosen: CustomerFilter) -> DataFrame:
     """Customers matching all given conditions; each reaches the Parquet scan."""
     kept = labelled
+    for condition in conditions(chosen):
+        kept = kept.where(condition)
+    return kept
+
+
+def conditions(chosen: CustomerFilter) -> list[str]:
+    """The given conditions as SQL; a choice of no segment matches nobody."""
+    found = []
     if chosen.segments is not None:
-        kept = kept.where(F.col("segment").isin(list(chosen.segments)))
+        names = ", ".join(quoted(name) for name in chosen.segments)
+        found.append(f"segment in ({names})" if names else "false")
     bounds = (
         ("rfm_score", chosen.score_lo, chosen.score_hi),
         ("monetary", chosen.monetary_lo, chosen.monetary_hi),
     )
     for name, low, high in bounds:
-        if low is not None:
-            kept = kept.where(F.col(name) >= low)
-        if high is not None:
-            kept = kept.where(F.col(name) <= high)
-    return kept
+        found += [f"{name} >= {low!r}"] * (low is not None) + [f"{name} <= {high!r}"] * (high is not None)
+    return found
 
 
 def filter_bounds(labelled: DataFrame) -> DataFrame:
@@ -185,15 +191,10 @@ def segment_vs_portfolio(
     labelled: DataFrame, segment: str, chosen: CustomerFilter
 ) -> DataFrame:
     """Box statistics of all customers, unfiltered, next to those of one filtered segment."""
-    columns = ["grp", *METRICS]
-    everyone = labelled.withColumn("grp", F.lit(ALL_CUSTOMERS)).select(*columns)
-    one = (
-        filtered_customers(labelled, chosen)
-        .where(F.col("segment") == segment)
-        .withColumn("grp", F.lit(segment))
-        .select(*columns)
-    )
-    return box_stats(everyone.unionByName(one), "grp")
+    wanted = F.expr(" and ".join([f"segment = {quoted(segment)}", *conditions(chosen)]))
+    # A customer counts once or twice, from one scan.
+    groups = F.array_compact(F.array(F.lit(ALL_CUSTOMERS), F.when(wanted, F.lit(segment))))
+    return box_stats(labelled.select(F.explode(groups).alias("grp"), *METRICS), "grp")
 
 
 def segment_radar(labelled: DataFrame) -> DataFrame:

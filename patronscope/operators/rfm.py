@@ -29,28 +29,38 @@ def rfm_base(clean_tx: DataFrame, workspace: Workspace) -> DataFrame:
     invoices = clean_tx.groupBy("customer_id", "invoice_no").agg(
         F.expr("max(invoice_ts) as last_ts"), F.expr("sum(revenue) as revenue")
     )
-    customers = workspace.save(
-        invoices.groupBy("customer_id").agg(
-            F.expr("max(last_ts) as last_ts"),
-            F.expr("count(invoice_no) as frequency"),
-            F.expr("cast(bround(sum(revenue), 2) as double) as monetary"),
-        ),
-        "customers",
+    return rfm_of_customers(workspace.save(customers_of_invoices(invoices), "customers"))
+
+
+def customers_of_invoices(invoices: DataFrame) -> DataFrame:
+    """Latest sale, invoices and spend per customer, from one row per (customer, invoice)."""
+    return invoices.groupBy("customer_id").agg(
+        F.expr("max(last_ts) as last_ts"),
+        F.expr("count(invoice_no) as frequency"),
+        F.expr("cast(bround(sum(revenue), 2) as double) as monetary"),
     )
+
+
+def rfm_of_customers(customers: DataFrame) -> DataFrame:
+    """Replace the latest sale of a stored customer table by days before the snapshot date."""
     latest = customers.selectExpr("cast(max(last_ts) as string)").first()[0]
-    if latest is None:
-        return customers.selectExpr(
-            "customer_id", "cast(null as bigint) as recency", "frequency", "monetary"
-        )
-    # Elapsed time cut to whole days. An interval of zone-free timestamps does not depend on the
-    # session time zone, unlike timestampdiff.
-    elapsed = f"timestamp_ntz '{latest}' + interval 1 day - last_ts"
     return customers.selectExpr(
-        "customer_id", f"cast(extract(day from {elapsed}) as bigint) as recency", "frequency",
-        "monetary",
+        "customer_id", f"{elapsed_days(latest)} as recency", "frequency", "monetary"
     )
 
 
+def elapsed_days(latest: str | None) -> str:
+    """SQL for whole days from ``last_ts`` to a day after ``latest``; null without any sale.
+
+    Elapsed time is cut to whole days. An interval of zone-free timestamps does not depend on the
+    session time zone, unlike timestampdiff.
+    """
+    if latest is None:
+        return "cast(null as bigint)"
+    elapsed = f"timestamp_ntz '{latest}' + interval 1 day - last_ts"
+    return f"cast(extract(day from {elapsed}) as bigint)"
+
+
 def metric_order(rfm: DataFrame, workspace: Workspace) -> GlobalOrder:
     """All (metric, value, customer) rows in one sorted table, metrics in catalogue order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ TRANSACTIONS = T.StructType(
     ]
 )
 
+# Folder column of transactions stored by month.
+MONTH = "invoice_month"
+
 # Column names of the published retail file.
 PUBLISHED_NAMES = {
     "invoice_no": "InvoiceNo",
@@ -33,7 +38,7 @@ ORDER_TABLES = {
         "l_returnflag string"
     ),
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
-    "part": "p_partkey bigint, p_retailprice double",
+    "part": "p_partkey bigint, p_brand string, p_retailprice double",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
 }
 
@@ -42,8 +47,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(ORDER_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def canonical(tx: DataFrame) -> DataFrame:
-    """Select the five transaction columns, under their own or their published names."""
+def canonical(tx: DataFrame, *labels: str) -> DataFrame:
+    """Select the five transaction columns, under their own or their published names, and labels."""
     present = set(tx.columns)
     picked, missing = [], []
     for name, published in PUBLISHED_NAMES.items():
@@ -55,7 +60,7 @@ def canonical(tx: DataFrame) -> DataFrame:
             missing.append(published)
     if missing:
         raise ValueError(f"transaction columns missing: {', '.join(missing)}")
-    return tx.select(*picked)
+    return tx.select(*picked, *labels)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +68,36 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return canonical(spark.read.parquet(path))
 
 
+def write_by_month(tx: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write transactions as Parquet in one folder per month of sale, ``invoice_month=yyyy-MM``.
+
+    Columns take the types of ``TRANSACTIONS``. Rows are ranged by month and time, so a month is written by few tasks, a large one by several,
+    and files within it cover short spans of time. Lines without a time go to a folder of their own.
+    """
+    declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSACTIONS]
+    dated = canonical(tx).select(*declared).withColumn(
+        MONTH, F.expr("date_format(invoice_ts, 'yyyy-MM')")
+    )
+    ranged = dated.repartitionByRange(MONTH, "invoice_ts", "invoice_no")
+    ranged.write.mode(mode).partitionBy(MONTH).parquet(path)
+
+
+def read_between(
+    spark: SparkSession, path: str, since: dt.datetime, until: dt.datetime
+) -> DataFrame:
+    """Transactions of ``write_by_month`` at or after ``since`` and before ``until``.
+
+    Folders of other months aren't listed for reading, and files and row groups outside the span are
+    skipped by their statistics.
+    """
+    schema = T.StructType([*TRANSACTIONS.fields, T.StructField(MONTH, T.StringType())])
+    tx = spark.read.schema(schema).parquet(path)
+    return tx.where(
+        f"{MONTH} between '{since:%Y-%m}' and '{until:%Y-%m}'"
+        f" and invoice_ts >= timestamp_ntz'{since}' and invoice_ts < timestamp_ntz'{until}'"
+    ).drop(MONTH)
+
+
 def read_csv(spark: SparkSession, path: str, timestamp_format: str | None = None) -> DataFrame:
     """Transactions from CSV with a header line.
 
@@ -105,6 +140,7 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
         "cast(if(l_linenumber = 7 and l_quantity < 5, -l_quantity, l_quantity) as int) as quantity",
         "if(l_linenumber = 6 and l_quantity < 5, 0, cast(p_retailprice as decimal(18, 2))) "
         "as unit_price",
+        "p_brand as brand",
     )
 
 
