@@ -1,13 +1,14 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents with equal shingle sets are one class from the start. Two classes can only be linked if
-they share a shingle among the first few of each in one common order; the places of the first such
-shingle bound their similarity. Classes first meet the one with which they share most, which joins
-large groups at the cost of one search each. Then every pair of classes that share a first shingle,
-are not joined yet and may still be similar enough is searched, so no link between different
-components is lost. A search has an index of inverted lists: the required overlap T splits a
-document's lists into the T - 1 longest, which are only probed by binary search, and the short
-rest, which are merged (DivideSkip).
+they share shingles among the first few of each in one common order. Classes first meet the one with
+which they share most, which joins large groups at the cost of one search each. What is left is dealt
+into cells of an inverted index: classes of different components that share a first shingle meet in
+the cell of that shingle's smallest holder. First only these shingles meet there, and a class goes on
+if it shares with another one as many as any two linked sets do; then whole sets are searched. Pairs
+are never listed: a cell returns classes, then links between components. A search
+has inverted lists: of a document's lists the longest, fewer than the required overlap T, are only
+probed by binary search; the short rest are merged (DivideSkip).
 """
 
 from __future__ import annotations
@@ -20,22 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.llm.components import connected_components
-from patronscope.llm.shared import SENDABLE_ROWS, Store, parts_for, rows_with_keys
+from patronscope.llm.shared import SENDABLE_ROWS, Store, parts_for
 from patronscope.llm.texthash import shingle_sets, words
 
 SHINGLE = 5
 # Similarity as a fraction of whole numbers, so that comparing is exact.
 NUMERATOR, DENOMINATOR = 3, 4
 # Most frequent shingles that come last in the common order. Only speed depends on it.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 20
 # A shingle is counted where a task sees it in so many documents of a stretch of about so many
 # shingles, which bounds a task's memory. Only speed depends on these.
 COUNTED_FROM = 2
 STRETCH = 2_000_000
 # Documents that are searched in one task.
-BLOCK = 2048
-# Shingles before a shared one that are looked at for another. Only speed depends on it.
-LOOK_BACK = 3
+BLOCK = 1024
+# What a binary search in one list costs, for each halving, in steps of a merge.
+PROBE_COST = 1.0
 # Share of a document's first shingles (one in so many) that makes a first meeting worthwhile.
 WORTHWHILE = 5
 
@@ -53,8 +54,10 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(data, dtype=np.int64).tolist())
 
 
-def _sets(texts) -> list[np.ndarray]:
-    return [tokens for w in words(_strings(texts)) for tokens in shingle_sets(w, SHINGLE)]
+def _sets(rows: pd.DataFrame):
+    """(rows, their sets) for each buffer of texts, so that memory doesn't grow with a batch."""
+    for w in words(_strings(rows["text"])):
+        yield rows.iloc[w.first : w.last], shingle_sets(w, SHINGLE)
 
 
 def _repeated(seen: list[np.ndarray]) -> pd.DataFrame:
@@ -77,8 +80,7 @@ def _profile(kind: str):
 
     def run(batches):
         seen, size = [], 0
-        for rows in batches:
-            sets = _sets(rows["text"])
+        for rows, sets in (part for batch in batches for part in _sets(batch)):
             digests = [_digest(s) for s in sets]
             yield pd.DataFrame(
                 {
@@ -126,10 +128,9 @@ def required(n):
 
 
 def _first_shingles(frequent: np.ndarray):
-    """(token, key, n, place) for the shingles of each document that may lead to a link.
+    """(token, key, n) for the shingles of each document that may lead to a link: its first ones.
 
-    The common order is by hash, with the ``frequent`` ones (signed, most frequent first) last;
-    ``place`` counts a document's shingles in this order from 0.
+    The common order is by hash, with the ``frequent`` ones (signed, most frequent first) last.
     """
     known = frequent.view(np.uint64)
     by_value = np.argsort(known)
@@ -137,9 +138,9 @@ def _first_shingles(frequent: np.ndarray):
 
     def run(batches):
         done = set()  # of the sets in this task: copies add nothing
-        for rows in batches:
-            tokens, keys, sizes, places = [], [], [], []
-            for s in _sets(rows["text"]):
+        for _, sets in (part for batch in batches for part in _sets(batch)):
+            tokens, keys, sizes = [], [], []
+            for s in sets:
                 key = _digest(s)[1]
                 if not len(s) or key in done:
                     continue
@@ -158,14 +159,12 @@ def _first_shingles(frequent: np.ndarray):
                 tokens.append(s_first)
                 keys.append(np.full(len(s_first), key))
                 sizes.append(np.full(len(s_first), len(s), dtype=np.int32))
-                places.append(np.arange(len(s_first), dtype=np.int32))
             if tokens:
                 yield pd.DataFrame(
                     {
                         "token": _signed(np.concatenate(tokens)),
                         "key": np.concatenate(keys),
                         "n": np.concatenate(sizes),
-                        "place": np.concatenate(places),
                     }
                 )
 
@@ -173,8 +172,7 @@ def _first_shingles(frequent: np.ndarray):
 
 
 def _whole_sets(batches):
-    for rows in batches:
-        sets = _sets(rows["text"])
+    for _, sets in (part for batch in batches for part in _sets(batch)):
         digests = [_digest(s) for s in sets]
         yield pd.DataFrame(
             {
@@ -217,12 +215,13 @@ class TOccurrence:
             return []
         length = self.start[lists + 1] - self.start[lists]
         lists = lists[np.argsort(length, kind="stable")]
-        # Lists that are not there count among the short ones.
-        n_short = len(lists) - (need - 1)
-        short, long = lists[:n_short], lists[n_short:]
+        # The longer the lists, the more a probe costs against a step of the merge.
+        n_long = min(need - 1, int(need / (PROBE_COST * np.log2(length.max()) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         merged = np.concatenate([self.entries[self.start[k] : self.start[k + 1]] for k in short])
         counts = np.bincount(merged % self.m, minlength=self.m)[:below]
-        cand = np.flatnonzero(counts)
+        # What a linked member shares beyond the long lists.
+        cand = np.flatnonzero(counts >= need - n_long)
         size = self.sizes[cand]
         fits = (size * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= size * NUMERATOR)
         if own >= 0:
@@ -230,17 +229,18 @@ class TOccurrence:
         cand = cand[fits]
         cand = cand[np.argsort(-counts[cand], kind="stable")]
         found: list[int] = []
-        while len(cand):
-            picks = np.sort(np.unique(labels[cand], return_index=True)[1])
-            members = cand[picks]
+        # First one of each component; then all members of those that it didn't settle.
+        picks = np.sort(np.unique(labels[cand], return_index=True)[1])
+        for members in (cand[picks], np.delete(cand, picks)):
+            members = members[~np.isin(labels[members], labels[found])] if found else members
+            if not len(members):
+                continue
             probe = long[:, None] * self.m + members
             place = np.minimum(np.searchsorted(self.entries, probe), len(self.entries) - 1)
             overlap = counts[members] + (self.entries[place] == probe).sum(axis=0)
             union = n + self.sizes[members] - overlap
             linked = members[overlap * DENOMINATOR >= union * NUMERATOR]
-            found += linked.tolist()
-            cand = np.delete(cand, picks)
-            cand = cand[~np.isin(labels[cand], labels[linked])]
+            found += linked[np.unique(labels[linked], return_index=True)[1]].tolist()
         return found
 
 
@@ -266,6 +266,33 @@ def link_cell(components: list, sets: list[np.ndarray], side: np.ndarray) -> lis
     return [(c, low) for c, low in zip(known.tolist(), lowest.tolist()) if c != low]
 
 
+def link_members(components: list, sets: list[np.ndarray], cells: list) -> list[tuple]:
+    """(component, smallest one linked to it): sets are searched among those of their cells.
+
+    Members of one cell are indexed together; each is searched among those before it.
+    """
+    known, labels = np.unique(np.array(components, dtype=np.int64), return_inverse=True)
+    members: dict = {}
+    for i, own in enumerate(cells):
+        for cell in own:
+            members.setdefault(cell, []).append(i)
+    for places in members.values():
+        at = np.array(places)
+        if len(np.unique(labels[at])) < 2:
+            continue
+        index = TOccurrence([sets[i] for i in places])
+        for i, place in enumerate(places):
+            for other in index.search(sets[place], i, i, labels[at]):
+                if labels[at[other]] != labels[place]:
+                    labels[labels == labels[at[other]]] = labels[place]
+    # Each component with the smallest of those that carry its label now.
+    of = dict(zip(components, labels.tolist(), strict=True))
+    lowest: dict = {}
+    for c in known.tolist():
+        lowest[of[c]] = min(c, lowest.get(of[c], c))
+    return [(c, lowest[of[c]]) for c in known.tolist() if lowest[of[c]] != c]
+
+
 def _search_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates(["key", "side"])
     sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["tokens"]]
@@ -273,6 +300,37 @@ def _search_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
+def _search_cells(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop_duplicates(["key"])
+    sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["tokens"]]
+    edges = link_members(rows["component"].tolist(), sets, rows["cells"].tolist())
+    return pd.DataFrame(edges, columns=["a", "b"])
+
+
+def _sets_of(keys: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """(key, tokens) of the classes in ``keys``, each from the text of one row."""
+    wanted = owners.join(keys.distinct(), "key", "left_semi").selectExpr(
+        "doc_id AS _id", "text_key AS _key"
+    )
+    few = wanted.count() <= SENDABLE_ROWS
+    return (
+        texts.join(
+            F.broadcast(wanted) if few else wanted,
+            F.expr("text_key = _key AND doc_id <=> _id"),
+            "left_semi",
+        )
+        # Rows without an id that repeat a text.
+        .filter("doc_id IS NOT NULL")
+        .unionByName(
+            texts.filter("doc_id IS NULL")
+            .join(wanted.filter("_id IS NULL"), F.expr("text_key = _key"), "left_semi")
+            .dropDuplicates(["text_key"])
+        )
+        .select("text")
+        .mapInPandas(_whole_sets, "key long, tokens binary")
+    )
+
+
 def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
     """Links (a, b) among components that the classes of ``pairs`` (a, hub) are in.
 
@@ -290,10 +348,7 @@ def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store,
         spread.selectExpr("hub AS key", place, "0 AS side", "of_hub AS component")
     )
     placed = store.save(placed.distinct(), f"{name}-placed")
-    ids = owners.join(placed.select("key").distinct(), "key", "left_semi").select("doc_id")
-    sets = rows_with_keys(texts.select("doc_id", "text"), ids.distinct(), ["doc_id"]).mapInPandas(
-        _whole_sets, "key long, tokens binary"
-    )
+    sets = _sets_of(placed.select("key"), texts, owners)
     # Few places are sent to the sets, so that these move only once.
     few = placed.count() <= SENDABLE_ROWS
     return store.save(
@@ -328,43 +383,119 @@ def _unsettled(entries: DataFrame, joined: DataFrame, store: Store, name: str) -
     return store.save(met.filter("x <> y").drop("x", "y"), name)
 
 
-def _open_pairs(rest: DataFrame) -> DataFrame:
-    """(a, hub, of_a, of_hub): pairs of classes in different components that may be linked.
+def least_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number of first shingles that two linked sets of ``a`` and ``b`` shingles share.
 
-    What two sets share begins with their first shared shingle, so its places tell how much they can
-    share at most: no pair to be linked is lost. A pair usually shares runs of shingles, and a row
-    for each would be needless: one with a shared shingle shortly before it, in both sets, is left
-    out. That one has a row of its own or in turn one before it, so a first one always stays.
+    They share T = 3 (a + b) / 7 shingles or more. In the common order, one of them has its first
+    shingles all before the end of the other's; what they share beyond these is at most what that
+    set has left, which is 0.75 of it less one.
     """
-    near = rest.withColumn(
-        "before",
-        F.expr(
-            "collect_list(token) OVER (PARTITION BY key ORDER BY place"
-            f" ROWS BETWEEN {LOOK_BACK} PRECEDING AND 1 PRECEDING)"
-        ),
+    both = -(-(a + b) * NUMERATOR // (NUMERATOR + DENOMINATOR))
+    return both - required(np.maximum(a, b)) + 1
+
+
+def meeting(rows: pd.DataFrame) -> pd.DataFrame:
+    """(cell, key, component) of the classes that share enough first shingles with another one.
+
+    ``rows`` has of each class its cells and the first shingles that classes of other components
+    share. Each class is searched by merging its inverted lists in a cell's index.
+    """
+    cells: dict = {}
+    for i, own in enumerate(rows["cells"]):
+        for cell in own:
+            cells.setdefault(cell, []).append(i)
+    sizes, components = rows["n"].to_numpy(), rows["component"].to_numpy()
+    firsts = rows["firsts"].to_numpy()
+    found: list[tuple] = []
+    for cell, places in cells.items():
+        at = np.array(places)
+        n, own, m = sizes[at], components[at], len(at)
+        if (own == own[0]).all():
+            continue
+        _, ids = np.unique(np.concatenate(firsts[at]), return_inverse=True)
+        counts = np.array([len(firsts[i]) for i in places])
+        entries = np.sort(ids * m + np.repeat(np.arange(m), counts))
+        starts = np.searchsorted(entries, np.arange(ids.max() + 2) * m)
+        met = np.zeros(m, dtype=bool)
+        for i, lists in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+            merged = np.concatenate([entries[starts[k] : starts[k + 1]] for k in lists])
+            shared = np.bincount(merged % m, minlength=m)
+            other = np.flatnonzero(shared)
+            size = n[other]
+            fits = (shared[other] >= least_first(n[i], size)) & (own[other] != own[i])
+            fits &= (size * DENOMINATOR >= n[i] * NUMERATOR) & (n[i] * DENOMINATOR >= size * NUMERATOR)
+            met[i] = fits.any()
+        found += [(cell, places[i]) for i in np.flatnonzero(met)]
+    chosen = rows.iloc[[i for _, i in found]]
+    return pd.DataFrame(
+        {
+            "cell": [cell for cell, _ in found],
+            "key": chosen["key"].to_numpy(),
+            "component": chosen["component"].to_numpy(),
+        }
+    )
+
+
+def _cells(rest: DataFrame, store: Store, name: str) -> DataFrame:
+    """(cell, key, component): classes that meet in a cell another one they may be linked to.
+
+    ``rest`` has all first shingles that classes of different components share. The cell of such a
+    shingle is that of its smallest holder, so any two classes to be linked have a cell in common;
+    one of more than ``BLOCK`` classes is cut into parts, of which any two are a cell. Only first
+    shingles move here.
+    """
+    members = store.save(
+        rest.selectExpr("key", "n", "component", "min(key) OVER (PARTITION BY token) AS leader")
+        .distinct(),
+        f"{name}-members",
+    )
+    parts = members.groupBy("leader").agg(F.expr(f"ceil(count(*) / {BLOCK}D)").alias("parts"))
+    groups = parts_for(members.count(), BLOCK)
+    placed = (
+        members.join(parts, "leader")
+        .selectExpr("*", "pmod(xxhash64(key, 5), parts) AS part")
+        .selectExpr("*", "explode(sequence(0L, parts - 1)) AS other")
+        .selectExpr(
+            "key", "n", "component",
+            "xxhash64(leader, least(part, other), greatest(part, other)) AS cell",
+        )
+        .groupBy(F.expr(f"pmod(cell, {groups}) AS place"), "key", "n", "component")
+        .agg(F.collect_set("cell").alias("cells"))
+    )
+    firsts = rest.groupBy("key").agg(F.collect_list("token").alias("firsts"))
+    return store.save(
+        placed.join(firsts, "key")
+        .groupBy("place")
+        .applyInPandas(meeting, "cell long, key long, component long"),
+        f"{name}-cells",
     )
-    least = f"ceil((a.n + b.n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR}D)"
-    met = near.alias("a").join(
-        near.alias("b"),
-        F.expr(
-            "a.token = b.token AND a.key < b.key AND a.component <> b.component"
-            f" AND a.n - a.place >= {least} AND b.n - b.place >= {least}"
-            f" AND a.n * {DENOMINATOR} >= b.n * {NUMERATOR}"
-            f" AND b.n * {DENOMINATOR} >= a.n * {NUMERATOR}"
-            " AND NOT arrays_overlap(a.before, b.before)"
+
+
+def _search_open(met: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
+    """Links (a, b) among the components that meet in the cells of ``met``."""
+    groups = parts_for(met.count(), BLOCK)
+    placed = store.save(
+        met.groupBy(F.expr(f"pmod(cell, {groups}) AS place"), "key", "component").agg(
+            F.collect_set("cell").alias("cells")
         ),
+        f"{name}-placed",
+    )
+    sets = _sets_of(placed.select("key"), texts, owners)
+    few = placed.count() <= SENDABLE_ROWS
+    return store.save(
+        sets.join(F.broadcast(placed) if few else placed, "key")
+        .groupBy("place")
+        .applyInPandas(_search_cells, "a long, b long"),
+        f"{name}-links",
     )
-    return met.selectExpr(
-        "b.key AS a", "a.key AS hub", "b.component AS of_a", "a.component AS of_hub"
-    ).distinct()
 
 
-def _meet(texts: DataFrame, often: np.ndarray, columns: list[str]) -> DataFrame:
-    """First shingles that two classes share, with ``columns`` of them and the smallest as leader."""
-    first = texts.select("doc_id", "text").mapInPandas(
-        _first_shingles(often), "token long, key long, n int, place int"
+def _meet(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """First shingles (token, key, n) that two classes share, with the smallest key as leader."""
+    first = texts.select("text").mapInPandas(
+        _first_shingles(often), "token long, key long, n int"
     )
-    met = first.select(*columns).selectExpr(
+    met = first.selectExpr(
         "*", "min(key) OVER (PARTITION BY token) AS leader",
         "max(key) OVER (PARTITION BY token) AS last",
     )
@@ -377,10 +508,10 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     ``docs`` has doc_id (an integer) and text. Words are runs without blanks, A-Z as a-z. Two
     documents link if their sets of 5-word shingles have a Jaccard similarity of at least 0.75;
     component_id is the smallest id reachable over links, the own id included. Null texts and
-    texts without words have no shingles and no links; a null id is never smallest, and stays null
-    without links to others. ``text_key`` is the hash of the text, for joins back to rows whose id
-    is repeated. Shingles and sets are known by 64-bit hashes: two different ones agree with
-    probability 2^-64.
+    texts without words have no shingles and no links. A null id is never smallest: a row without id
+    has its group's smallest id, or null if none there has one, and it links others like any row.
+    ``text_key`` is the hash of the text, for joins back to rows whose id is repeated. Whole texts
+    count, however long; shingles and sets are known by 64-bit hashes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -388,28 +519,20 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     stored = store.save(texts.mapInPandas(run, schema), "profile")
     profile = stored.filter("NOT frequent").drop("frequent")
     often = _frequent(stored.filter("frequent"), store, "shared")
-    entries = store.save(_meet(texts, often, ["token", "key", "n"]), "entries")
+    entries = store.save(_meet(texts, often), "entries")
     with_words = profile.filter("n_shingles > 0").withColumnRenamed("lo", "key")
+    # The text of a class is that of its row with the smallest id, or of any row if none has one.
     classes = store.save(
-        with_words.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
+        with_words.groupBy("key")
+        .agg(F.expr("min(struct(doc_id IS NULL AS none, doc_id, text_key)) AS found"))
+        .selectExpr("key", "found.doc_id AS rep", "found.text_key"),
+        "classes",
     )
-    # Rows without an id are found by the text of another row, or have no links to search.
-    owners = classes.filter("rep IS NOT NULL").selectExpr("key", "rep AS doc_id")
+    owners = classes.selectExpr("key", "rep AS doc_id", "text_key")
     links = _search(_first_pairs(entries), texts, owners, store, "first")
     joined = connected_components(links, store, "first")
-    rest = _unsettled(entries.select("token", "key"), joined, store, "unsettled")
-    # What is still open meets again in a better order: shingles known to be shared come last. Two
-    # classes to be linked are both among these, so the order has to be common to them alone.
-    counted = stored.filter("frequent").select("hi", "n_shingles").unionByName(
-        rest.selectExpr("token AS hi", "1L AS n_shingles")
-    )
-    often = _frequent(counted, store, "shared-again")
-    ids = owners.join(rest.select("key").distinct(), "key", "left_semi").select("doc_id")
-    open_texts = rows_with_keys(texts, ids.distinct(), ["doc_id"])
-    again = _meet(open_texts, often, ["token", "key", "n", "place"])
-    rest = _unsettled(again.drop("leader"), joined, store, "open")
-    more = store.save(_open_pairs(rest), "open-pairs")
-    links = _search(more, texts, owners, store, "last")
+    rest = _unsettled(entries.select("token", "key", "n"), joined, store, "unsettled")
+    links = _search_open(_cells(rest, store, "open"), texts, owners, store, "open")
     merged = connected_components(links, store, "linked").selectExpr(
         "node AS first", "component AS last"
     )
@@ -435,13 +558,20 @@ def keep_one_of_each(docs: DataFrame, store: Store) -> DataFrame:
     """
     found = near_duplicates(docs, store)
     kept = found.filter("component_id IS NULL OR doc_id = component_id").selectExpr(
-        "doc_id AS _id", "text_key AS _key"
+        "doc_id AS kept_id", "text_key AS kept_key"
     ).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = keyed.join(kept, F.expr("doc_id <=> _id AND _text_key = _key"), "left_semi")
-    return rows.withColumn(
-        "_copy", F.expr("row_number() OVER (PARTITION BY doc_id, _text_key ORDER BY doc_id)")
-    ).filter("_copy = 1").select(*docs.columns)
+    # The row travels as one column, so none of its names can clash.
+    whole = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("whole"),
+        docs["doc_id"].alias("id"),
+        F.xxhash64(docs["text"]).alias("text_key"),
+    )
+    return (
+        whole.join(kept, F.expr("id <=> kept_id AND text_key = kept_key"), "left_semi")
+        .withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, text_key ORDER BY id)"))
+        .filter("copy = 1")
+        .select("whole.*")
+    )
 
 
 def op10_near_duplicates(spark, folder: str) -> DataFrame:
