@@ -412,17 +412,3 @@ def test_quality(spark, docs, rows, empty):
     assert quality.score_quality(empty, model).count() == 0
     none = quality.fit_quality(texts, labels.limit(0))
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    out = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = Store(spark).save(stage(spark, out, folder), name)
-        assert out.columns == docs.columns, name
-    final = corpus_pipeline.run(spark, folder)
-    assert {"shard", "grown_shard"} <= set(final.columns)
-    assert final.count() == out.count() > 0
