@@ -1,7 +1,11 @@
 """A training corpus from raw documents: stages that each call one operator of ``llm``.
 
 Each stage reads what its predecessor wrote and decides on all of it. All but the last return the
-columns of documents; the mixing stage repeats a row as often as its source's budget asks for.
+columns of their input, also under names that an operator uses itself; the mixing stage repeats a row
+as often as its source's budget asks for, the last one replaces columns named like those it adds.
+Null texts, ids, languages and sources, empty and very long texts, ties and repeated rows are treated
+as the operators say: such rows stay unless they are toxic, repeat another text, hold a benchmark item
+or have no copy in the mix. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from patronscope.llm.decontamination import drop_contaminated
-from patronscope.llm.mixing import mix
+from patronscope.llm.mixing import WORD_COUNT, mix
 from patronscope.llm.near_duplicates import keep_one_of_each
 from patronscope.llm.sharding import assign_shards
 from patronscope.llm.shared import Store
@@ -39,11 +44,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
-    mixed = mix(docs, Store(spark))
-    return mixed.selectExpr(
-        *docs.columns, "explode(array_repeat(0, copies)) AS _copy"
-    ).drop("_copy")
+    """Repeat or leave out documents so that sources meet their target weights.
+
+    A row travels as one column beside what the mix reads, so its names can't clash.
+    """
+    rows = docs.select(
+        "doc_id", "source", F.expr(WORD_COUNT).alias("words"), F.struct(*docs.columns).alias("row")
+    )
+    mixed = mix(rows, Store(spark), "words")
+    return mixed.select("row", F.explode(F.expr("array_repeat(0, copies)"))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
