@@ -18,6 +18,8 @@ WINDOW = 8
 LITERALS = 4
 # A document is contaminated by an item if so many of its windows are found, or all of fewer.
 LEAST_WINDOWS, LEAST_SHARE = 3, 0.1
+# Words of a short item that make a literal copy of it no accident.
+LEAST_PLAIN = 4
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
     "mg", "g", "kg", "ton", "tons", "tonne", "tonnes", "oz", "lb", "lbs", "pound", "pounds",
@@ -93,9 +95,57 @@ def benchmark_windows(benchmark: DataFrame, store: Store) -> DataFrame:
     return store.save(usable.join(sizes, "item_id"), "benchmark-windows")
 
 
-def _inconsistent(found: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Matches (keys, item_id, item_place, place) whose slots contradict the item's usual ones."""
+def plain_windows(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, place, window): a hash for each run of ``length`` words as they are, without slots."""
+    hashed = f"""IF(size(words) < {length}, array(), transform(
+        sequence(1, greatest(size(words) - {length} + 1, 1)),
+        i -> xxhash64(slice(words, i, {length}))))"""
+    return (
+        texts.select(*keys, raw_words(F.col("text")).alias("words"))
+        .select(*keys, F.expr(f"posexplode_outer({hashed}) AS (place, window)"))
+        .filter("window IS NOT NULL")
+    )
+
+
+def _plain_matches(
+    texts: DataFrame, benchmark: DataFrame, known: DataFrame, store: Store
+) -> DataFrame:
+    """(doc_id, text_key, item_id, matched, item_windows) for items without usable windows.
+
+    Such an item, short or nearly all slots, is looked for as it is: by its runs of eight words, or
+    by all its words if it has fewer, but at least ``LEAST_PLAIN``.
+    """
     keys = ["doc_id", "text_key"]
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").join(
+        known.select("item_id").distinct(), "item_id", "left_anti"
+    )
+    sized = store.save(
+        items.withColumn("length", F.least(F.size(raw_words(F.col("text"))), F.lit(WINDOW))).filter(
+            f"length >= {LEAST_PLAIN}"
+        ),
+        "plain-items",
+    )
+    found = None
+    # At most as many lengths as there are between the two bounds.
+    for (length,) in sorted(sized.select("length").distinct().collect()):
+        own = plain_windows(sized.filter(F.col("length") == length), ["item_id"], length)
+        own = own.select("item_id", "window").distinct()
+        few = own.count() <= SENDABLE_ROWS
+        met = plain_windows(texts, keys, length).join(F.broadcast(own) if few else own, "window")
+        sizes = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+        counted = met.groupBy(*keys, "item_id").agg(F.countDistinct("window").alias("matched"))
+        counted = counted.join(sizes, "item_id").select(*keys, "item_id", "matched", "item_windows")
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+def _inconsistent(found: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Matches (text_key, item_id, item_place, place) whose slots contradict the item's usual ones.
+
+    Slots depend on the text alone, so rows that repeat a text count once, with or without an id.
+    """
+    keys = ["text_key"]
+    found = found.select(*keys, "item_id", "item_place", "place").distinct()
     slotted = known.filter(
         f"exists({template('item_words')}, x -> x IN (1, 2, 3))"
     ).select("item_id", "item_place", "item_words")
@@ -128,10 +178,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFra
     """(doc_id, text_key, item_id, matched, item_windows) of contaminated documents.
 
     ``matched`` counts the item's distinct windows that were found with consistent slots. A pair
-    counts from the larger of three windows and a tenth of the item's, or all if it has fewer. Null
-    and short texts have no windows, nor have items of fewer than eight words or without an id.
-    Rows with a null doc_id count under the null id; ``text_key`` is the hash of the text and tells
-    texts of a repeated id apart.
+    counts from the larger of three windows and a tenth of the item's, or all if it has fewer. An
+    item without a window of eight template words of which four are no slots is looked for word by
+    word instead (``_plain_matches``); one of fewer than ``LEAST_PLAIN`` words, a null text and an
+    item without an id are never found. Whole texts are searched, however long. Rows with a null
+    doc_id count under the null id; ``text_key`` is the hash of the text and tells texts of a
+    repeated id apart.
     """
     known = benchmark_windows(benchmark, store)
     few = known.count() <= SENDABLE_ROWS
@@ -143,14 +195,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFra
     found = store.save(
         windows(texts, keys).join(F.broadcast(lookup) if few else lookup, "window"), "matches"
     ).drop("window")
-    wrong = store.save(_inconsistent(found.filter("doc_id IS NOT NULL"), texts, known), "wrong")
-    right = found.join(wrong, [*keys, "item_id", "item_place", "place"], "left_anti")
+    wrong = store.save(_inconsistent(found, texts, known), "wrong")
+    right = found.join(wrong, ["text_key", "item_id", "item_place", "place"], "left_anti")
     sizes = known.select("item_id", "item_windows").distinct()
     counted = right.groupBy(*keys, "item_id").agg(F.countDistinct("item_place").alias("matched"))
-    return counted.join(sizes, "item_id").filter(
+    counted = counted.join(sizes, "item_id").select(*keys, "item_id", "matched", "item_windows")
+    plain = _plain_matches(texts, benchmark, known, store)
+    return (counted if plain is None else counted.unionByName(plain)).filter(
         f"matched >= least(item_windows, greatest({LEAST_WINDOWS},"
         f" ceil({LEAST_SHARE}D * item_windows)))"
-    ).select(*keys, "item_id", "matched", "item_windows")
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:

@@ -8,6 +8,7 @@ import corpus_pipeline
 import pytest
 
 from patronscope.llm import near_duplicates as nd
+from patronscope.llm.decontamination import contaminated
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
 from patronscope.llm.shared import Store
 
@@ -194,3 +195,39 @@ def test_a_family_of_unlinked_copies(spark, monkeypatch):
     groups = groups_by_hand([t for _, t in rows])
     assert 5 < len(set(groups)) < 140
     assert component_of(spark, rows) == Counter(enumerate(groups))
+
+
+def found_items(spark, texts: list, items: list) -> dict:
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {
+        (r.doc_id, r.item_id): (r.matched, r.item_windows)
+        for r in contaminated(docs, bench, Store(spark)).collect()
+    }
+
+
+def test_slots_are_checked_without_an_id(spark):
+    """A question with other figures, one of them inconsistent, matches alike with and without id."""
+    item = (
+        "If Anna buys 12 apples for 3 dollars and then, Anna gives 5 apples to Peter, how many of"
+        " the apples does Anna still have at the end of the day when 12 were bought first"
+    )
+    changed = item.replace("12 apples", "48 apples").replace("12 were", "31 were")
+    got = found_items(spark, [(1, changed), (None, changed + " ")], [(1, item)])
+    assert got[1, 1] == got[None, 1] and got[1, 1][0] < got[1, 1][1]
+
+
+def test_items_without_template_windows(spark):
+    """Short items and rows of figures are found as literal copies, and only so."""
+    items = [(1, "What is 17 plus 25?"), (2, "1 2 3 5 8 13 21 34 55 89 144"), (3, "too short"), (4, None)]
+    texts = [
+        (1, "He asked: what is 17 plus 25? Nobody knew."),
+        (2, "He asked: what is 18 plus 25? Nobody knew."),
+        (None, "The row 1 2 3 5 8 13 21 34 55 89 144 goes on."),
+        (3, "The row 1 2 3 5 8 13 22 35 57 92 149 doesn't."),
+        (4, "This is too short a text, or 17 plus 25 words."),
+        (5, ""),
+        (6, None),
+    ]
+    assert found_items(spark, texts, items) == {(1, 1): (1, 1), (None, 2): (4, 4)}
+    assert found_items(spark, texts[:2], items[3:]) == {}
