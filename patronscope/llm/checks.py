@@ -66,6 +66,61 @@ FROM sized s JOIN totals t USING (node) LEFT JOIN sized p ON p.node = s.above
 """
 
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS shared FROM shingles x
+        JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes a ON a.doc_id = p JOIN sizes b ON b.doc_id = q
+  WHERE 100 * shared >= 75 * (a.n + b.n - shared)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS low FROM sizes
+  UNION
+  SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.node WHERE r.low < l.b
+)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.low, w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT node, min(low) AS low FROM reached GROUP BY node) c ON c.node = w.doc_id
+"""
+
+SUFFIX_DEDUP = """
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS piece
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM hexed)
+), again AS (
+  SELECT doc_id, p FROM starts
+  QUALIFY row_number() OVER (PARTITION BY piece ORDER BY doc_id, p) > 1
+), marked AS (
+  SELECT doc_id, p,
+    sum(CASE WHEN p - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)
+), spans AS (
+  SELECT doc_id, min(p) AS low, max(p) + 100 AS high FROM marked GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, low, high,
+    coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS since FROM spans
+  UNION ALL
+  SELECT doc_id, length(h) // 2, length(h) // 2, coalesce((SELECT max(high) FROM spans s
+    WHERE s.doc_id = x.doc_id), 0) FROM hexed x
+)
+SELECT x.doc_id, any_value(length(x.h) // 2) AS n_bytes,
+  CAST(sum(k.high - k.low) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(x.h, 2 * k.since + 1, 2 * (k.low - k.since)), ''
+    ORDER BY k.low, k.high))) AS kept_sha256
+FROM hexed x JOIN kept k USING (doc_id) GROUP BY x.doc_id
+"""
+
+
 SPELLING = f"""
 WITH runs AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')),
@@ -117,4 +172,9 @@ FROM joined j LEFT JOIN chains c ON c.word = j.word
 
 
 def all_checks() -> dict[str, str]:
-    return {"op11_conversation_trie": CONVERSATION_TRIE, "op12_spelling": SPELLING}
+    return {
+        "op6_suffix_dedup": SUFFIX_DEDUP,
+        "op10_near_duplicates": NEAR_DUPLICATES,
+        "op11_conversation_trie": CONVERSATION_TRIE,
+        "op12_spelling": SPELLING,
+    }
