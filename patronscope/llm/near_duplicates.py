@@ -28,11 +28,11 @@ SHINGLE = 5
 # Similarity as a fraction of whole numbers, so that comparing is exact.
 NUMERATOR, DENOMINATOR = 3, 4
 # Most frequent shingles that come last in the common order. Only speed depends on it.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 # A shingle is counted where a task sees it in so many documents of a stretch of about so many
 # shingles, which bounds a task's memory. Only speed depends on these.
 COUNTED_FROM = 2
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 # Documents that are searched in one task.
 BLOCK = 1024
 # What a binary search in one list costs, for each halving, in steps of a merge.
