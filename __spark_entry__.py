@@ -33,7 +33,7 @@ try:
     import corpus_pipeline
     from patronscope.llm import queries as llm_queries
 except ModuleNotFoundError as missing:  # the subpackage and its pipeline are optional, no more
-    if missing.name not in ("corpus_pipeline", "patronscope.llm"):
+    if not (missing.name or "").startswith(("corpus_pipeline", "patronscope.llm")):
         raise
     llm_queries = None
 
