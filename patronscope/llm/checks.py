@@ -121,6 +121,40 @@ FROM hexed x JOIN kept k USING (doc_id) GROUP BY x.doc_id
 """
 
 
+LINE_DEDUP = """
+WITH split AS (
+  SELECT doc_id, ends_with(text, chr(10)) AS broken, string_split(
+    CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l
+  FROM documents WHERE text <> ''
+), lines AS (
+  SELECT doc_id, broken, len(l) AS m, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM split
+), runs AS (
+  SELECT doc_id, k, least(m, 2) AS n, CASE WHEN m = 1 THEN line
+    ELSE line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) END AS run FROM lines
+), gone AS (
+  SELECT DISTINCT doc_id, k + unnest(range(0, n)) AS k
+  FROM (SELECT doc_id, k, n, first_value(doc_id) OVER w AS first_doc, first_value(k) OVER w AS first_k
+        FROM runs WHERE run IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY doc_id, k))
+  WHERE doc_id <> first_doc OR k >= first_k + n
+), told AS (
+  SELECT l.doc_id, l.k, g.k IS NOT NULL AS out,
+    CASE WHEN g.k IS NULL THEN line || CASE WHEN l.k < m OR broken THEN chr(10) ELSE '' END
+      ELSE '' END AS kept
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k
+), marked AS (
+  SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY k), false) AS begins
+  FROM told
+), left_over AS (
+  SELECT doc_id, count(*) FILTER (begins) AS removed_chunks, count(*) FILTER (out) AS removed_lines,
+    string_agg(kept, '' ORDER BY k) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(o.removed_chunks, 0) AS removed_chunks,
+  coalesce(o.removed_lines, 0) AS removed_lines, strlen(coalesce(o.kept, '')) AS kept_bytes,
+  sha256(coalesce(o.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN left_over o USING (doc_id)
+"""
+
+
 SPELLING = f"""
 WITH runs AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')),
@@ -173,6 +207,7 @@ FROM joined j LEFT JOIN chains c ON c.word = j.word
 
 def all_checks() -> dict[str, str]:
     return {
+        "op5_line_dedup": LINE_DEDUP,
         "op6_suffix_dedup": SUFFIX_DEDUP,
         "op10_near_duplicates": NEAR_DUPLICATES,
         "op11_conversation_trie": CONVERSATION_TRIE,

@@ -1,9 +1,15 @@
-"""Removal of repeated runs of lines, found by a rolling hash over neighbouring lines.
-
-Every run of ``LEAST`` neighbouring lines is filed under its hash. Runs that occur earlier in the
-corpus are removed, after their bytes were compared, so a repeated passage of ``LEAST`` lines or more
-goes whole wherever it stands. A text of fewer lines is one run as a whole and goes if it is a copy
-of another such text; single lines inside longer texts stay.
+"""Removal of repeated runs of lines by content-defined chunks.
+
+A rolling hash over the hashes of two neighbouring lines puts a boundary wherever it is smaller than
+the next on either side. Boundaries thus depend on three lines around them and nothing else, so a
+passage is cut alike wherever it stands, up to its edges. Chunks between boundaries that occur
+earlier in the corpus go whole, after their bytes were compared.
+
+What chunks leave is then gone through line by line: every two neighbouring lines inside a chunk
+that stays, or across a boundary, are filed too, and go if they occur earlier. This extends the
+copied chunks to both sides as far as lines agree, and finds passages too short to hold a chunk. So
+a repeated passage of ``LEAST`` lines or more goes whole wherever it stands. A text of fewer lines
+is one chunk and goes if it is a copy of another such text; single lines inside longer texts stay.
 """
 
 from __future__ import annotations
@@ -14,36 +20,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronscope.llm.shared import Store, rows_with_keys
-from patronscope.llm.texthash import BYTE_VALUES, Buffer, buffers, prefix_sums, span_hash
+from patronscope.llm.texthash import BYTE_VALUES, Buffer, buffers, mix, prefix_sums, span_hash
 
-# Lines of a run.
+# Fewest lines of a chunk (of a longer text), and those looked at together beside chunks.
 LEAST = 2
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_FIELDS = "start long, bytes long, cut long, line long, lines long, chunk long, hash long"
+_PLACE = "struct(doc_id IS NULL AS no_id, doc_id, text_key, start)"
+
+
+def boundaries(lines: np.ndarray, first: np.ndarray, after_last: np.ndarray) -> np.ndarray:
+    """Where chunks begin, for the line hashes of many texts.
+
+    ``first`` and ``after_last`` give each line's text. A chunk begins with each text and where the
+    rolling hash of the line and the one before it is a local minimum (the first of equal ones), but
+    never so that a text's first or last chunk would have a single line.
+    """
+    at = np.arange(len(lines))
+    begins = at == first
+    if len(lines) > 2 * LEAST - 1:
+        rolled = mix(lines[:-1] * _ROLL + lines[1:])
+        i = at[LEAST : 1 - LEAST]
+        i = i[(i - first[i] >= LEAST) & (after_last[i] - i >= LEAST)]
+        # rolled[i - 1] is that of the lines i - 1 and i; both neighbours lie in the same text.
+        here = rolled[i - 1]
+        begins[i[(here < rolled[i - 2]) & (here <= rolled[i])]] = True
+    return begins
 
 
 def line_runs(b: Buffer) -> tuple[np.ndarray, ...]:
-    """Runs of all texts: (text, first byte, bytes, bytes to cut, first line, lines, hash).
+    """Chunks, then pairs of lines, of all texts of a buffer.
 
-    A run's bytes end before its last line break, so that a run at the end of a text without one
-    equals its copies elsewhere; the break is cut along with it. An empty text has no run.
+    (text, first byte, bytes, bytes to cut, first line, lines, chunk, hash), where ``chunk`` is -1
+    for a chunk, the first byte of its chunk for a pair inside one, and -2 for a pair across a
+    boundary. A run's bytes end before its last line break, so that a run at the end of a text
+    without one equals its copies elsewhere; the break is cut along with it. An empty text has none.
     """
     sums, down = prefix_sums(BYTE_VALUES[b.bytes])
     after = np.flatnonzero(b.bytes == 10) + 1
     after = after[after < b.end[np.searchsorted(b.start, after - 1, side="right") - 1]]
     starts = np.sort(np.concatenate([b.start[b.end > b.start], after]))
     text = np.searchsorted(b.start, starts, side="right") - 1
-    ends = b.end[text]
+    cut_ends = b.end[text]
     inner = np.flatnonzero(text[1:] == text[:-1])
-    ends[inner] = starts[inner + 1]
+    cut_ends[inner] = starts[inner + 1]
+    ends = cut_ends - (b.bytes[cut_ends - 1] == 10)
     first, after_last = np.searchsorted(text, text), np.searchsorted(text, text, side="right")
-    at = np.arange(len(starts))
-    lines = np.minimum(LEAST, after_last - first)
-    whole = at + lines <= after_last
-    at, lines = at[whole], lines[whole]
-    start, cut_end = starts[at], ends[at + lines - 1]
-    end = cut_end - (b.bytes[cut_end - 1] == 10)
+    begins = boundaries(span_hash(sums, down, starts, ends), first, after_last)
+    head = np.flatnonzero(begins)
+    last = np.append(head[1:], len(starts)) - 1
+    chunk_of = starts[head][np.cumsum(begins) - 1] - b.start[text]
+    pair = np.arange(len(starts))
+    pair = pair[pair + LEAST <= after_last]
+    across = chunk_of[pair] != chunk_of[pair + LEAST - 1]
+    at = np.concatenate([head, pair])
+    to = np.concatenate([last, pair + LEAST - 1])
+    inside = np.concatenate([np.full(len(head), -1), np.where(across, -2, chunk_of[pair])])
+    start, end = starts[at], ends[to]
     hashes = span_hash(sums, down, start, end).view(np.int64)
-    own = start - b.start[text[at]]
-    return text[at], own, end - start, cut_end - start, at - first[at], lines, hashes
+    return (
+        text[at], start - b.start[text[at]], end - start, cut_ends[to] - start, at - first[at],
+        to - at + 1, inside, hashes,
+    )
 
 
 def _runs(bits: int):
@@ -58,34 +96,23 @@ def _runs(bits: int):
                         own.column("text_key"),
                         *(pa.array(n.astype(np.int64)) for n in (*numbers, hashes >> (64 - bits))),
                     ],
-                    ["doc_id", "text_key", "start", "bytes", "cut", "line", "lines", "hash"],
+                    ["doc_id", "text_key", *(f.split()[0] for f in _FIELDS.split(", "))],
                 )
 
     return run
 
 
-def repeated_runs(docs: DataFrame, store: Store, bits: int = 64) -> DataFrame:
-    """(doc_id, text_key, start, cut, line, lines) of runs that equal an earlier one, byte by byte.
+def copies(texts: DataFrame, runs: DataFrame, store: Store, name: str) -> DataFrame:
+    """Those ``runs`` of ``texts`` whose bytes equal those of an earlier one.
 
     Earlier means a smaller doc_id (nulls last), or the same and a smaller text_key, or the same text
     and a smaller start. A run that shares lines with its first occurrence is no copy of it.
-    ``bits`` are those of the hash that are used.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    runs = store.save(
-        texts.mapInArrow(
-            _runs(bits),
-            f"doc_id {kind}, text_key long, start long, bytes long, cut long, line long,"
-            " lines long, hash long",
-        ),
-        "runs",
-    )
     again = runs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    again = rows_with_keys(runs, store.save(again, "repeated"), ["hash"])
-    again = store.save(again.distinct(), "candidates")
+    again = rows_with_keys(runs, store.save(again, f"{name}-repeated"), ["hash"])
+    again = store.save(again.distinct(), f"{name}-candidates")
     of_text = again.groupBy("doc_id", "text_key").agg(
-        F.expr("collect_list(struct(start, bytes, cut, line, lines, hash))").alias("runs")
+        F.expr("collect_list(struct(start, bytes, hash))").alias("runs")
     )
     owners = of_text.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     keys = again.select("text_key").distinct()
@@ -97,24 +124,41 @@ def repeated_runs(docs: DataFrame, store: Store, bits: int = 64) -> DataFrame:
         .drop("data")
     )
     told = pieces.select("hash", "piece").distinct().groupBy("hash").count()
-    shared = store.save(told.filter("count > 1").select("hash"), "shared")
-    runs = again.withColumn("piece", F.lit(None).cast("binary"))
+    shared = store.save(told.filter("count > 1").select("hash"), f"{name}-shared")
+    found = again.withColumn("piece", F.lit(None).cast("binary"))
     if not shared.isEmpty():
         # Different runs of one hash are told apart by their bytes.
-        apart = pieces.join(shared, "hash").select(*runs.columns).distinct()
-        runs = runs.join(shared, "hash", "left_anti").unionByName(apart)
-        runs = store.save(runs, "told_apart")
-    place = "struct(doc_id IS NULL AS no_id, doc_id, text_key, start)"
-    first = runs.groupBy("hash", "piece").agg(F.expr(f"min({place})").alias("first"))
+        bytes_of = pieces.join(shared, "hash").distinct()
+        bytes_of = bytes_of.withColumnsRenamed({"doc_id": "_id"})
+        on = ["text_key", "start", "bytes", "hash"]
+        apart = again.join(shared, "hash").join(bytes_of, on).filter("doc_id <=> _id")
+        found = found.join(shared, "hash", "left_anti").unionByName(apart.drop("_id"))
+        found = store.save(found, f"{name}-told_apart")
+    first = found.groupBy("hash", "piece").agg(F.expr(f"min({_PLACE})").alias("first"))
     first = first.withColumnsRenamed({"hash": "_hash", "piece": "_piece"})
-    return (
-        runs.join(first, F.expr("hash = _hash AND piece <=> _piece"))
-        .filter(
-            f"{place} <> first AND NOT (doc_id <=> first.doc_id AND text_key = first.text_key"
-            " AND start < first.start + bytes)"
-        )
-        .select("doc_id", "text_key", "start", "cut", "line", "lines")
+    return found.join(first, F.expr("hash = _hash AND piece <=> _piece")).filter(
+        f"{_PLACE} <> first AND NOT (doc_id <=> first.doc_id AND text_key = first.text_key"
+        " AND start <= first.start + bytes)"
+    )
+
+
+def repeated_runs(docs: DataFrame, store: Store, bits: int = 64) -> DataFrame:
+    """(doc_id, text_key, start, cut, line, lines) of copied chunks, then of copied pairs of lines.
+
+    Pairs inside copied chunks aren't looked at again: the first chunk of that content has them all.
+    ``bits`` are those of the hash that are used.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    schema = f"doc_id {kind}, text_key long, {_FIELDS}"
+    runs = store.save(texts.mapInArrow(_runs(bits), schema), "runs")
+    chunks = store.save(copies(texts, runs.filter("chunk = -1"), store, "chunks"), "chunk-copies")
+    gone = chunks.selectExpr("doc_id AS _id", "text_key AS _key", "start AS _start")
+    pairs = runs.filter("chunk <> -1").join(
+        gone, F.expr("text_key = _key AND chunk = _start AND doc_id <=> _id"), "left_anti"
     )
+    pairs = copies(texts, store.save(pairs, "pairs"), store, "pairs")
+    return chunks.unionByName(pairs).select("doc_id", "text_key", "start", "cut", "line", "lines")
 
 
 def _without(names: list[str]):

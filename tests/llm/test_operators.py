@@ -16,12 +16,13 @@ from patronscope.llm.components import connected_components
 from patronscope.llm.decontamination import contaminated, drop_contaminated
 from patronscope.llm.fingerprints import compare_versions
 from patronscope.llm.licenses import TEMPLATES, scan_licenses
-from patronscope.llm.line_dedup import dedup_lines, repeated_runs
+from patronscope.llm.line_dedup import dedup_lines, line_runs, repeated_runs
 from patronscope.llm.mixing import fit_counts, mix
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
 from patronscope.llm.shared import Store
 from patronscope.llm.sharding import assign_shards, number_slots
 from patronscope.llm.suffix_dedup import remove_repeats
+from patronscope.llm.texthash import buffers
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, id long, copy int,"
@@ -290,7 +291,7 @@ def test_line_dedup_cuts_every_repeated_run(spark):
         for _ in range(6):
             passage = fresh(n)
             lines += [fresh(2) + passage + fresh(3), fresh(1) + passage + fresh(1), fresh(1) + passage]
-    lines += [["a"] * 3, ["b"] * 5, ["only line"], ["only line"], ["x", "only line", "y"]]
+    lines += [["a"] * 3, ["b"] * 5, [""] * 4, ["q", "", "", ""], ["only line"], ["only line"], ["x", "only line", "y"]]
     texts = [(2**60 + i, "\n".join(own)) for i, own in enumerate(lines)]
     texts += [(None, texts[0][1] + "\n"), (None, "é\nü\n\n"), (2**60 + 500, "")]
     table = spark.createDataFrame(texts, "doc_id long, text string")
@@ -313,6 +314,29 @@ def test_line_dedup_cuts_every_repeated_run(spark):
     assert Counter(few) == Counter(repeated_runs(table, Store(spark)).collect())
 
 
+def test_line_chunks_resist_shifts(spark):
+    """Chunks partition a text, have two lines or more, and are cut alike inside a moved passage."""
+    rng = random.Random(12)
+    fresh = lambda n: [" ".join(words(rng, 6)) for _ in range(n)]
+    passage = fresh(40)
+    texts = ["\n".join(fresh(n) + passage + fresh(3)) for n in (0, 1, 2, 7)] + ["one", "", "a\nb\nc"]
+    (b,) = buffers(texts)
+    text, start, size, cut, line, lines, chunk, _ = line_runs(b)
+    found = []
+    for i, t in enumerate(texts):
+        whole, own = t.split("\n") if t else [], (text == i) & (chunk == -1)
+        assert lines[own].sum() == len(whole) and cut[own].sum() == len(t.encode())
+        assert all(n >= min(2, len(whole)) for n in lines[own])
+        places = sorted(zip(line[own], lines[own], strict=True))
+        found.append({tuple(whole[k : k + n]) for k, n in places})
+        inside = Counter(chunk[(text == i) & (chunk >= 0)])
+        assert inside == {start[j]: lines[j] - 1 for j in np.flatnonzero(own) if lines[j] > 1}
+    # A pair of lines is a chunk's or lies across a boundary, so all pairs are there.
+    assert sum(chunk != -1) == sum(max(0, len(t.split("\n")) - 1) for t in texts)
+    common = set.intersection(*found[:4])
+    assert sum(map(len, common)) >= 30 and all(set(c) <= set(passage) for c in common)
+
+
 def labelled(spark, positive, negative, label, n=600):
     rng = random.Random(11)
     texts, labels = [], []
