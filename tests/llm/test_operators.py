@@ -15,7 +15,7 @@ from patronscope.llm import quality, suffix_dedup, toxicity
 from patronscope.llm.components import connected_components
 from patronscope.llm.decontamination import contaminated, drop_contaminated
 from patronscope.llm.fingerprints import compare_versions
-from patronscope.llm.licenses import TEMPLATES, scan_licenses
+from patronscope.llm.licenses import _CUE, LONG_TEMPLATES, TEMPLATES, scan_licenses, wordings
 from patronscope.llm.line_dedup import dedup_lines, line_runs, repeated_runs
 from patronscope.llm.mixing import fit_counts, mix
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
@@ -254,10 +254,15 @@ def test_fingerprints(spark, rows, docs, empty):
     assert compare_versions(empty, Store(spark)).count() == 0
 
 
+def scanned(spark, texts, **kw):
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS blocks")
+    return {r.doc_id: r for r in scan_licenses(docs, **kw).collect()}
+
+
 def test_licenses(spark, docs, empty):
     texts = [(i, f"before\n{t}\nafter") for i, t in enumerate(TEMPLATES.values())]
     texts += [(100, "Licensed under the Apache License, Version 1.1."), (101, "a licence to spy")]
-    found = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS blocks")).collect()}
+    found = scanned(spark, texts)
     for i, name in enumerate(TEMPLATES):
         assert (found[i].license, found[i].exact) == (name, True)
     assert (found[100].license, found[100].exact) == ("Apache-2.0", False)
@@ -266,6 +271,51 @@ def test_licenses(spark, docs, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_licenses_inside_other_text(spark):
+    """All wordings inside prose of their own words, commented and wrapped, are found exactly."""
+    rng = random.Random(13)
+    known = wordings()
+    common = " ".join(t for _, t in known if "SPDX" not in t).split()
+
+    def prose(n):
+        plain = [w for w in common if not _CUE.search(w)]
+        return " ".join(rng.choice(plain) for _ in range(n))
+
+    texts, want = [], []
+    for name, text in known:
+        wrapped, line = [], ""
+        for word in text.split():
+            if len(line) + len(word) > 50:
+                wrapped, line = [*wrapped, line], ""
+            line += f" {word}"
+        marked = "\n".join(f" *{x}" for x in [*wrapped, line])
+        for form in (text, f"\n{marked}\n", text.replace("Version", "version")):
+            texts.append((len(texts), f"{prose(200)} . {form} . {prose(200)}"))
+            want.append(name)
+    far = "licence " + "word " * 40_000
+    texts.append((len(texts), far + TEMPLATES["MIT"] + " licence" * 5000 + " . " + TEMPLATES["MPL-2.0"]))
+    found = scanned(spark, texts)
+    for i, name in enumerate(want):
+        assert name in found[i].licenses and found[i].exact, (texts[i], found[i])
+    assert found[len(want)].licenses == ["MIT", "MPL-2.0"]
+    notices = {
+        0: "Copyright 2021 The Example Authors and Contributors of the Project. All rights reserved.",
+        1: "Two people wrote it in a long winter and it is, as the readme says, useful. Released under"
+        " the MIT License.",
+        2: "# SPDX-License-Identifier: Apache-2.0\nimport x",
+        3: "# SPDX-License-Identifier: Apache-1.1\nimport x",
+        4: LONG_TEMPLATES["ISC"].replace("without fee", "without a small fee"),
+        5: "",
+    }
+    got = scanned(spark, [*notices.items(), (6, None), (None, TEMPLATES["MIT"])])
+    names = ["All rights reserved", "MIT", "Apache-2.0", None, "ISC", None, None]
+    assert [got[i].license for i in range(7)] == names and got[None].license == "MIT"
+    assert not got[4].exact and got[4].changes == [">a small"]
+    assert [got[i].blocks for i in (5, 6)] == [0, 0] and got[6].exact is None
+    own = scanned(spark, [(1, notices[1])], templates={"own": "as the readme licence says"})[1]
+    assert (own.license, own.exact, own.changes) == ("own", False, ["licence>"])
+
+
 def test_line_dedup(spark, docs, rows, empty):
     rng = random.Random(5)
     block = "\n".join(" ".join(words(rng, 6)) for _ in range(30))
