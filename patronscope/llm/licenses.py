@@ -243,7 +243,7 @@ def scan_licenses(
     exact ones, or the inexact ones if none is exact. Line breaks, comment marks and the text around
     a notice make no difference; ``saved`` is a share of the template's own compressed size. Whole
     texts of any length are scanned, long rows of blocks in overlapping pieces. Texts without a cue,
-    null and empty ones have 0 blocks and null for the rest, and never leave the JVM.
+    null and empty ones have 0 blocks and null for the rest; their texts never leave the JVM.
     """
     if templates is None:
         templates = wordings()
@@ -260,7 +260,7 @@ def scan_licenses(
         for rows in batches:
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                blocks, found = scanner.scan_text(text)
+                blocks, found = (0, []) if pd.isna(text) else scanner.scan_text(text)
                 best = found[0] if found else None
                 out.append(
                     (
@@ -278,15 +278,9 @@ def scan_licenses(
                 columns=["doc_id", "blocks", "license", "exact", "saved", "changes", "licenses"],
             ).astype({"exact": object, "saved": object})
 
-    texts = docs.select("doc_id", "text")
-    cue = F.coalesce(F.col("text").rlike(CUES), F.lit(False))
-    with_cue = texts.filter(cue).mapInPandas(run, schema)
-    without = texts.filter(~cue).selectExpr(
-        "doc_id", "0 AS blocks", "CAST(NULL AS STRING) AS license",
-        "CAST(NULL AS BOOLEAN) AS exact", "CAST(NULL AS DOUBLE) AS saved",
-        "CAST(NULL AS ARRAY<STRING>) AS changes", "CAST(NULL AS ARRAY<STRING>) AS licenses",
-    )
-    return with_cue.unionByName(without)
+    # One scan: texts without a cue are nulled before they would reach Python.
+    cue = F.when(F.col("text").rlike(CUES), F.col("text")).alias("text")
+    return docs.select("doc_id", cue).mapInPandas(run, schema)
 
 
 def op3_licenses(spark, folder: str) -> DataFrame:
