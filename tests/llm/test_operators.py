@@ -1,6 +1,7 @@
 """Every operator on small awkward tables: nulls, empty and long texts, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -20,7 +21,7 @@ from patronscope.llm.line_dedup import dedup_lines, line_runs, repeated_runs
 from patronscope.llm.mixing import fit_counts, mix
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
 from patronscope.llm.shared import Store
-from patronscope.llm.sharding import assign_shards, number_slots
+from patronscope.llm.sharding import SEED, assign_shards, number_slots, op1_sharding
 from patronscope.llm.suffix_dedup import remove_repeats
 from patronscope.llm.texthash import buffers
 
@@ -154,6 +155,40 @@ def test_crowded_seeds_give_the_same(spark, docs, monkeypatch):
     assert again == whole
 
 
+def draw(key, shard: int, seed: int) -> float:
+    """The hash of three values, each seeded by the one before; a null is left out."""
+    h = 42
+    for value, size in ((key, 8), (shard, 4), (seed, 4)):
+        if value is not None:
+            h = xxhash.xxh64(value.to_bytes(size, "little", signed=True), seed=h).intdigest()
+    return ((h >> 11) + 0.5) / 2**53
+
+
+def shard_by_hand(key, weights: list[float]) -> int:
+    return min(range(len(weights)), key=lambda s: -math.log(draw(key, s, SEED)) / weights[s])
+
+
+def test_sharding_by_hand(spark):
+    """The query's rows over a whole table, and weighted shards of awkward keys."""
+    folder = "/root/testdata/sf0.001"
+    got = op1_sharding(spark, folder).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key")
+        assert r.shard == shard_by_hand(r.doc_id, [1.0] * 8)
+        assert r.grown_shard == shard_by_hand(r.doc_id, [1.0] * 9)
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    keys = [None, 0, -1, 2**62, -(2**63), *range(100, 400), 100, 100]
+    docs = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for r in assign_shards(docs, [0.5, 1.0, 3.0], grown_weight=2.0).collect():
+        assert r.shard == shard_by_hand(r.doc_id, [0.5, 1.0, 3.0])
+        assert r.grown_shard == shard_by_hand(r.doc_id, [0.5, 1.0, 3.0, 2.0])
+
+
 def test_sharding(spark, docs, rows, empty):
     placed = assign_shards(docs, [1.0, 1.0, 2.0])
     got = number_slots(placed, Store(spark)).collect()
