@@ -1,14 +1,17 @@
 """Each stage of the corpus pipeline against brute force on its own input, and near duplicates."""
 
+import math
 import random
 import re
-from collections import Counter
+import string
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+import regex
 
 from patronscope.llm import near_duplicates as nd
-from patronscope.llm.decontamination import contaminated
+from patronscope.llm.decontamination import UNITS, contaminated, op2_decontamination
 from patronscope.llm.near_duplicates import keep_one_of_each, near_duplicates
 from patronscope.llm.shared import Store
 
@@ -231,3 +234,66 @@ def test_items_without_template_windows(spark):
     ]
     assert found_items(spark, texts, items) == {(1, 1): (1, 1), (None, 2): (4, 4)}
     assert found_items(spark, texts[:2], items[3:]) == {}
+
+
+def template_words(text: str | None) -> list[tuple]:
+    """(slot or word, word) of a text: digits first, names after a lower-case letter or comma, units."""
+    text = regex.sub(r"(?<=[0-9])[.,:/](?=[0-9])", "\x04", text or "")
+    text = regex.sub(r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", "\x03\\1", text).lower()
+    found = [w for w in re.split(f"[ \\t\\n\\v\\f\\r{re.escape(string.punctuation)}]+", text) if w]
+    kinds = []
+    for i, w in enumerate(found):
+        number = w[0] in "0123456789"
+        unit = w in UNITS and i > 0 and found[i - 1][0] in "0123456789"
+        kinds.append("number" if number else "name" if w[0] == "\x03" else "unit" if unit else f"={w}")
+    return list(zip(kinds, found, strict=True))
+
+
+def contaminated_by_hand(texts: dict, items: dict) -> tuple[dict, set]:
+    """(matched, item_windows) by document and item; items with a template window that repeats."""
+    usable, repeating = {}, set()
+    for item, text in items.items():
+        own, seen = template_words(text), set()
+        for place in range(len(own) - 7):
+            window = own[place : place + 8]
+            kinds = tuple(k for k, _ in window)
+            if sum(k[0] == "=" for k in kinds) < 4:
+                continue
+            if kinds in seen:
+                repeating.add(item)
+            seen.add(kinds)
+            usable.setdefault(kinds, []).append((item, place, [w for _, w in window]))
+    sizes = Counter(item for found in usable.values() for item, _, _ in found)
+    result = {}
+    for doc, text in texts.items():
+        own, met = template_words(text), defaultdict(list)
+        for place in range(len(own) - 7):
+            window = own[place : place + 8]
+            for item, at, was in usable.get(tuple(k for k, _ in window), ()):
+                slots = [(k, a, b) for (k, b), a in zip(window, was, strict=True) if k[0] != "="]
+                met[item].append((at, slots))
+        for item, found in met.items():
+            became = defaultdict(Counter)
+            for _, slots in found:
+                for kind, was, now in slots:
+                    became[kind, was][now] += 1
+            usual = {x: max(c, key=lambda now: (c[now], now)) for x, c in became.items()}
+            right = {at for at, slots in found if all(usual[k, was] == now for k, was, now in slots)}
+            if len(right) >= min(sizes[item], max(3, math.ceil(0.1 * sizes[item]))):
+                result[doc, item] = (len(right), sizes[item])
+    return result, repeating | (set(items) - set(sizes))
+
+
+def test_decontamination_by_hand(spark):
+    """All documents against all items; one that says a thing twice may choose either place."""
+    read = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet").collect()
+    texts = {r.doc_id: r.text for r in read("documents")}
+    items = {r.item_id: r.text for r in read("benchmark")}
+    want, either = contaminated_by_hand(texts, items)
+    got = {
+        (r.doc_id, r.item_id): (r.matched, r.item_windows)
+        for r in op2_decontamination(spark, FOLDER).collect()
+    }
+    plain = {k: v for k, v in got.items() if k[1] not in either}
+    assert plain == {k: v for k, v in want.items() if k[1] not in either}
+    assert len(plain) > 10 and len(either) < len(items) / 10
