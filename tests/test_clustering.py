@@ -162,3 +162,17 @@ def test_fewer_distinct_points_than_centres(spark):
     same = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(6)], schema)
     found = fit_kmeans(same, 3, starts=1, seed=0)
     assert sum(found.sizes) == 6 and found.inertia == 0
+
+
+def test_repeated_customers_are_measured_once(blobs, monkeypatch):
+    """Equal points are one that counts as often, so copies add nothing to the quadratic work."""
+    assigned = assign_centroid(blobs, [(0, 0, 0), (2, 2, 2), (-3, 0, 1)])
+    often = assigned.selectExpr("*", "explode(sequence(0, customer_id % 5)) as copy")
+    points = often.select(*FEATURES, "cluster")
+    totals = clustering._cluster_totals(points, ["cluster"])
+    with clustering._pairwise_sums(points, ["cluster"], totals) as summed:
+        assert summed.count() == assigned.count() < points.count()
+    table = points.toPandas()
+    want = silhouette_by_hand(table[list(FEATURES)].to_numpy(), table["cluster"].to_numpy())
+    monkeypatch.setattr(clustering, "TILE", 50)
+    assert silhouette(points, EUCLIDEAN).first().silhouette == pytest.approx(want)
