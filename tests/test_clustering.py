@@ -14,6 +14,7 @@ from patronscope.operators.clustering import (
     fit_kmeans,
     inertia,
     k_sweep,
+    sampled_silhouette,
     silhouette,
 )
 from patronscope.operators.features import FEATURES
@@ -176,3 +177,25 @@ def test_repeated_customers_are_measured_once(blobs, monkeypatch):
     want = silhouette_by_hand(table[list(FEATURES)].to_numpy(), table["cluster"].to_numpy())
     monkeypatch.setattr(clustering, "TILE", 50)
     assert silhouette(points, EUCLIDEAN).first().silhouette == pytest.approx(want)
+
+
+def test_samples_of_any_size(blobs, monkeypatch):
+    """Samples beyond the former bound of 20,000, whole and in part, in several tiles."""
+    monkeypatch.setattr(clustering, "TILE", 50)
+    assigned = assign_centroid(blobs, [(0, 0, 0), (2, 2, 2), (-3, 0, 1)])
+    often = assigned.selectExpr("*", "explode(sequence(0, 139)) as copy")
+    many = often.withColumn("customer_id", often.customer_id + often.copy * 300)
+    table = assigned.toPandas()
+    points, labels = table[list(FEATURES)].to_numpy(), table["cluster"].to_numpy()
+    n = len(points) * 140
+    whole = sampled_silhouette(many, 1).first()
+    exact = silhouette(many, EUCLIDEAN).first().silhouette
+    assert whole.sampled == n and whole.silhouette == pytest.approx(exact)
+    some = sampled_silhouette(many, 2).first()
+    assert some.sampled == n // 2
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    sizes = np.bincount(labels) * 140
+    sums = np.stack([gaps[:, labels == c].sum(axis=1) * 140 for c in range(3)], axis=1)
+    gains = np.repeat(clustering._gains(sums, sizes.astype(float), labels)[::2], 140)
+    assert some.silhouette == pytest.approx(gains.mean())
+    assert some.std_error == pytest.approx(gains.std(ddof=1) / np.sqrt(n // 2))
