@@ -50,6 +50,8 @@ STARTS = duckdb_checks.SWEEP_STARTS
 # End of the earlier snapshot, and the span of stored transactions that is read back.
 CUT = "2000-01-01 00:00:00"
 SPAN = (dt.datetime(1997, 3, 9), dt.datetime(1998, 2, 17))
+# Batches in which stored lines arrive.
+BATCHES = 5
 SELECTED = ("Champions", "Loyal Customers", "At Risk")
 CHOSEN = CustomerFilter(SELECTED, 6, 12, 100_000, 900_000)
 BANDS = HeatmapBands(
@@ -217,21 +219,29 @@ def _brand_scores(spark: SparkSession, folder: str) -> DataFrame:
     return brands.scores_by(brands.rfm_by(lines, "brand", workspace), "brand", workspace)
 
 
-def _incremental(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines dealt into batches at random, so that invoices are split, and streamed in.
+def _staged(lines: DataFrame, path: str) -> DataFrame:
+    """A stream of ``lines``, dealt at random into ``BATCHES`` batches that are stored under ``path``.
 
-    One batch is delivered again in the end.
+    Spark cuts a large batch into tasks, and so files, of its advised size. As many files as make a
+    batch arrive together, so neither a task nor the number of batches grows with the lines.
     """
-    workspace = Workspace(spark)
-    lines = transactions.canonical(transactions.from_order_tables(spark, folder))
-    staged = f"{workspace.path}/staged"
-    dealt = lines.withColumn("batch", F.expr("pmod(xxhash64(*), 5)"))
-    dealt.repartition(5, "batch").write.partitionBy("batch").parquet(staged)
-    stream = (
+    spark = lines.sparkSession
+    dealt = lines.withColumn("batch", F.expr(f"pmod(xxhash64(*), {BATCHES})"))
+    dealt.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
+    stored = f"{path}/batch=*"
+    files = len(spark.read.schema(lines.schema).parquet(stored).inputFiles())
+    return (
         spark.readStream.schema(lines.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{staged}/batch=*")
+        .option("maxFilesPerTrigger", max(1, -(-files // BATCHES)))
+        .parquet(stored)
     )
+
+
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines dealt into batches at random, so that invoices are split, and streamed in."""
+    workspace = Workspace(spark)
+    lines = transactions.canonical(transactions.from_order_tables(spark, folder))
+    stream = _staged(lines, f"{workspace.path}/staged")
     state = incremental.InvoiceState(spark, f"{workspace.path}/state")
     incremental.ingest(stream, state, f"{workspace.path}/progress", fold_every=3)
     return state.rfm_base(workspace)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from __spark_entry__ import BATCHES, _staged
 from conftest import SHOPPERS, TX
 
 from patronscope.operators.clean import clean_transactions
@@ -65,3 +66,19 @@ def test_stream_goes_on_after_a_restart(spark, sales, whole, workspace, tmp_path
         ingest(stream, state, str(tmp_path / "progress"), fold_every=2)
     assert found(state, workspace) == whole
     assert state._complete("base") and len(state._complete("delta")) >= 3
+
+
+def test_large_batches_are_cut_into_tasks(spark, sales, whole, workspace):
+    """No task gets a whole batch; files that arrive together still make no more batches."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "2k")
+    try:
+        stream = _staged(spark.createDataFrame(sales, TX).repartition(8), f"{workspace.path}/staged")
+    finally:
+        spark.conf.unset(size)
+    files = spark.read.parquet(f"{workspace.path}/staged").inputFiles()
+    assert len(files) > 2 * BATCHES
+    state = InvoiceState(spark, f"{workspace.path}/state")
+    ingest(stream, state, f"{workspace.path}/progress", fold_every=3)
+    assert found(state, workspace) == whole
+    assert len(state._complete("delta")) <= BATCHES and state._complete("base")
