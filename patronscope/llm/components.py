@@ -33,16 +33,16 @@ def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every node is either the centre of a star or a point of one single star."""
-    twice = edges.groupBy("hi").agg(F.count("*").alias("n")).filter("n > 1")
-    both = edges.select("hi").join(edges.selectExpr("lo AS hi"), "hi", "left_semi")
-    return twice.isEmpty() and both.isEmpty()
+    ends = edges.selectExpr("inline(array(struct(hi AS node, 1 AS up), struct(lo AS node, 0 AS up)))")
+    stars = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    # A point has one edge up and none down.
+    loose = stars.filter("ups > 1 OR ups = 1 AND least = 0")
+    return loose.agg(F.count("*")).first()[0] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = edges.selectExpr("hi AS u", "lo AS v").unionByName(
-        edges.selectExpr("lo AS u", "hi AS v")
-    )
+    both = edges.selectExpr("inline(array(struct(hi AS u, lo AS v), struct(lo AS u, hi AS v)))")
     least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
     return both.filter("v > u").join(least, "u").selectExpr("v AS hi", "m AS lo").distinct()
 
@@ -50,5 +50,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter("lo <> m").selectExpr("lo AS hi", "m AS lo")
-    return moved.unionByName(least.selectExpr("hi", "m AS lo")).distinct()
+    moved = edges.join(least, "hi").selectExpr(
+        "inline(array(struct(hi AS hi, m AS lo), struct(lo AS hi, m AS lo)))"
+    )
+    return moved.filter("hi <> lo").distinct()

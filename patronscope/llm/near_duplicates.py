@@ -307,10 +307,13 @@ def _search_cells(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
-def _sets_of(keys: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
+def _sets_of(keys: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
     """(key, tokens) of the classes in ``keys``, each from the text of one row."""
-    wanted = owners.join(keys.distinct(), "key", "left_semi").selectExpr(
-        "doc_id AS _id", "text_key AS _key"
+    wanted = store.save(
+        owners.join(keys.distinct(), "key", "left_semi").selectExpr(
+            "doc_id AS _id", "text_key AS _key"
+        ),
+        f"{name}-wanted",
     )
     few = wanted.count() <= SENDABLE_ROWS
     return (
@@ -344,18 +347,18 @@ def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store,
     )
     groups = parts_for(pairs.count(), BLOCK)
     place = f"pmod(xxhash64(hub, chunk), {groups}) AS place"
-    placed = spread.selectExpr("a AS key", place, "1 AS side", "of_a AS component").unionByName(
-        spread.selectExpr("hub AS key", place, "0 AS side", "of_hub AS component")
+    placed = spread.selectExpr("*", place).selectExpr(
+        "inline(array(struct(a AS key, place AS place, 1 AS side, of_a AS component), "
+        "struct(hub AS key, place AS place, 0 AS side, of_hub AS component)))"
     )
     placed = store.save(placed.distinct(), f"{name}-placed")
-    sets = _sets_of(placed.select("key"), texts, owners)
+    sets = _sets_of(placed.select("key"), texts, owners, store, name)
     # Few places are sent to the sets, so that these move only once.
     few = placed.count() <= SENDABLE_ROWS
-    return store.save(
+    return (
         sets.join(F.broadcast(placed) if few else placed, "key")
         .groupBy("place")
-        .applyInPandas(_search_group, "a long, b long"),
-        f"{name}-links",
+        .applyInPandas(_search_group, "a long, b long")
     )
 
 
@@ -480,13 +483,12 @@ def _search_open(met: DataFrame, texts: DataFrame, owners: DataFrame, store: Sto
         ),
         f"{name}-placed",
     )
-    sets = _sets_of(placed.select("key"), texts, owners)
+    sets = _sets_of(placed.select("key"), texts, owners, store, name)
     few = placed.count() <= SENDABLE_ROWS
-    return store.save(
+    return (
         sets.join(F.broadcast(placed) if few else placed, "key")
         .groupBy("place")
-        .applyInPandas(_search_cells, "a long, b long"),
-        f"{name}-links",
+        .applyInPandas(_search_cells, "a long, b long")
     )
 
 
@@ -529,7 +531,8 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
         "classes",
     )
     owners = classes.selectExpr("key", "rep AS doc_id", "text_key")
-    links = _search(_first_pairs(entries), texts, owners, store, "first")
+    pairs = store.save(_first_pairs(entries), "first-pairs")
+    links = _search(pairs, texts, owners, store, "first")
     joined = connected_components(links, store, "first")
     rest = _unsettled(entries.select("token", "key", "n"), joined, store, "unsettled")
     links = _search_open(_cells(rest, store, "open"), texts, owners, store, "open")

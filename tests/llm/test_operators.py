@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Row
 
 from patronscope.llm import quality, suffix_dedup, toxicity
+from patronscope.llm import components
 from patronscope.llm.components import connected_components
 from patronscope.llm.decontamination import contaminated, drop_contaminated
 from patronscope.llm.fingerprints import compare_versions
@@ -521,3 +522,19 @@ def test_quality(spark, docs, rows, empty):
     assert quality.score_quality(empty, model).count() == 0
     none = quality.fit_quality(texts, labels.limit(0))
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_settling_is_one_count(spark, tmp_path):
+    """A settled table is judged by one grouping; more jobs and plans only fill the driver."""
+    stars = spark.createDataFrame([(i, i % 5) for i in range(5, 200)], "hi long, lo long")
+    stars.repartition(8).write.parquet(str(tmp_path / "stars"))
+    context, settled = spark.sparkContext, components._settled
+    context.setJobGroup("settling", "")
+    try:
+        assert settled(spark.read.parquet(str(tmp_path / "stars")))
+        jobs = context.statusTracker().getJobIdsForGroup("settling")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 4
+    for loose in [(3, 2), (4, 3)], [(4, 2), (4, 3)]:
+        assert not settled(spark.createDataFrame(loose, "hi long, lo long"))
