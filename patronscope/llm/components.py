@@ -17,6 +17,16 @@ def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame
 
     Nulls and loops are left out; repeated edges count once. No edges give no rows.
     """
+    found = larger_nodes(edges, store, name)
+    low = found.selectExpr("component AS node", "component").distinct()
+    return found.unionByName(low)
+
+
+def larger_nodes(edges: DataFrame, store: Store, name: str) -> DataFrame:
+    """``connected_components`` without the rows of the smallest nodes; one row for each other node.
+
+    A left join that falls back on the node itself needs no more.
+    """
     now = store.save(
         edges.filter("a <> b")
         .selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo")
@@ -27,8 +37,7 @@ def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame
     while not _settled(now):
         step += 1
         now = store.save(_small_star(_large_star(now)), f"{name}-{step}")
-    low = now.selectExpr("lo AS node", "lo AS component").distinct()
-    return now.selectExpr("hi AS node", "lo AS component").unionByName(low)
+    return now.selectExpr("hi AS node", "lo AS component")
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronscope.llm.components import connected_components
+from patronscope.llm.components import larger_nodes
 from patronscope.llm.shared import SENDABLE_ROWS, Store, parts_for
 from patronscope.llm.texthash import shingle_sets, words
 
@@ -307,34 +307,38 @@ def _search_cells(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
-def _sets_of(keys: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
-    """(key, tokens) of the classes in ``keys``, each from the text of one row."""
+def _sets_of(
+    keys: DataFrame, few: bool, texts: DataFrame, owners: DataFrame, nameless: bool, store: Store,
+    name: str,
+):
+    """(key, tokens) of the classes in ``keys`` (``few``: sendable), each from the text of one row.
+
+    ``nameless`` tells whether ``owners`` has any without an id.
+    """
     wanted = store.save(
         owners.join(keys.distinct(), "key", "left_semi").selectExpr(
             "doc_id AS _id", "text_key AS _key"
         ),
         f"{name}-wanted",
     )
-    few = wanted.count() <= SENDABLE_ROWS
-    return (
-        texts.join(
-            F.broadcast(wanted) if few else wanted,
-            F.expr("text_key = _key AND doc_id <=> _id"),
-            "left_semi",
-        )
+    rows = texts.join(
+        F.broadcast(wanted) if few else wanted,
+        F.expr("text_key = _key AND doc_id <=> _id"),
+        "left_semi",
+    )
+    if nameless:
         # Rows without an id that repeat a text.
-        .filter("doc_id IS NOT NULL")
-        .unionByName(
+        rows = rows.filter("doc_id IS NOT NULL").unionByName(
             texts.filter("doc_id IS NULL")
             .join(wanted.filter("_id IS NULL"), F.expr("text_key = _key"), "left_semi")
             .dropDuplicates(["text_key"])
         )
-        .select("text")
-        .mapInPandas(_whole_sets, "key long, tokens binary")
-    )
+    return rows.select("text").mapInPandas(_whole_sets, "key long, tokens binary")
 
 
-def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
+def _search(
+    pairs: DataFrame, texts: DataFrame, owners: DataFrame, nameless: bool, store: Store, name: str
+):
     """Links (a, b) among components that the classes of ``pairs`` (a, hub) are in.
 
     They join all pairs that are similar enough; ``of_a`` and ``of_hub`` are a pair's components.
@@ -345,16 +349,17 @@ def _search(pairs: DataFrame, texts: DataFrame, owners: DataFrame, store: Store,
     spread = pairs.join(met, "hub").withColumn(
         "chunk", F.expr("pmod(xxhash64(a, 3), chunks)")
     )
-    groups = parts_for(pairs.count(), BLOCK)
+    rows = pairs.count()
+    groups = parts_for(rows, BLOCK)
     place = f"pmod(xxhash64(hub, chunk), {groups}) AS place"
     placed = spread.selectExpr("*", place).selectExpr(
         "inline(array(struct(a AS key, place AS place, 1 AS side, of_a AS component), "
         "struct(hub AS key, place AS place, 0 AS side, of_hub AS component)))"
     )
     placed = store.save(placed.distinct(), f"{name}-placed")
-    sets = _sets_of(placed.select("key"), texts, owners, store, name)
-    # Few places are sent to the sets, so that these move only once.
-    few = placed.count() <= SENDABLE_ROWS
+    # Few places are sent to the sets, so that these move only once; a pair has at most two.
+    few = 2 * rows <= SENDABLE_ROWS
+    sets = _sets_of(placed.select("key"), few, texts, owners, nameless, store, name)
     return (
         sets.join(F.broadcast(placed) if few else placed, "key")
         .groupBy("place")
@@ -474,17 +479,20 @@ def _cells(rest: DataFrame, store: Store, name: str) -> DataFrame:
     )
 
 
-def _search_open(met: DataFrame, texts: DataFrame, owners: DataFrame, store: Store, name: str):
+def _search_open(
+    met: DataFrame, texts: DataFrame, owners: DataFrame, nameless: bool, store: Store, name: str
+):
     """Links (a, b) among the components that meet in the cells of ``met``."""
-    groups = parts_for(met.count(), BLOCK)
+    rows = met.count()
+    groups = parts_for(rows, BLOCK)
     placed = store.save(
         met.groupBy(F.expr(f"pmod(cell, {groups}) AS place"), "key", "component").agg(
             F.collect_set("cell").alias("cells")
         ),
         f"{name}-placed",
     )
-    sets = _sets_of(placed.select("key"), texts, owners, store, name)
-    few = placed.count() <= SENDABLE_ROWS
+    few = rows <= SENDABLE_ROWS
+    sets = _sets_of(placed.select("key"), few, texts, owners, nameless, store, name)
     return (
         sets.join(F.broadcast(placed) if few else placed, "key")
         .groupBy("place")
@@ -531,12 +539,13 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
         "classes",
     )
     owners = classes.selectExpr("key", "rep AS doc_id", "text_key")
+    nameless = owners.filter("doc_id IS NULL").agg(F.count("*")).first()[0] > 0
     pairs = store.save(_first_pairs(entries), "first-pairs")
-    links = _search(pairs, texts, owners, store, "first")
-    joined = connected_components(links, store, "first")
+    links = _search(pairs, texts, owners, nameless, store, "first")
+    joined = larger_nodes(links, store, "first")
     rest = _unsettled(entries.select("token", "key", "n"), joined, store, "unsettled")
-    links = _search_open(_cells(rest, store, "open"), texts, owners, store, "open")
-    merged = connected_components(links, store, "linked").selectExpr(
+    links = _search_open(_cells(rest, store, "open"), texts, owners, nameless, store, "open")
+    merged = larger_nodes(links, store, "linked").selectExpr(
         "node AS first", "component AS last"
     )
     joined = joined.selectExpr("node AS key", "component AS first")

@@ -538,3 +538,33 @@ def test_settling_is_one_count(spark, tmp_path):
     assert len(jobs) <= 4
     for loose in [(3, 2), (4, 3)], [(4, 2), (4, 3)]:
         assert not settled(spark.createDataFrame(loose, "hi long, lo long"))
+
+
+def test_search_takes_few_jobs(spark, tmp_path):
+    """Near duplicates of few texts take a bounded number of jobs, whose plans fill the driver."""
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, 60)) for _ in range(40)]
+    rows = [(i, texts[i % 40] + (f" w{i}" if i % 3 else "")) for i in range(120)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    context = spark.sparkContext
+    context.setJobGroup("searching", "")
+    try:
+        found = near_duplicates(spark.read.parquet(path), Store(spark)).collect()
+        jobs = context.statusTracker().getJobIdsForGroup("searching")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 40 for i in range(120)}
+    assert len(jobs) <= 66
+
+
+def test_search_with_nameless_classes(spark):
+    """A class none of whose rows has an id links others, beside classes that have one."""
+    rng = random.Random(8)
+    long = " ".join(words(rng, 60))
+    rows = [(None, long), (None, long), (4, long + " one"), (9, long + " one two"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(docs, Store(spark)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [
+        (0, 4), (0, 4), (4, 4), (5, 5), (9, 4)
+    ]
