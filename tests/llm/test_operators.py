@@ -493,6 +493,69 @@ def test_thresholds_follow_the_true_share(spark, monkeypatch):
             assert set(weight[y == c]) == {counts[c] / 400}
 
 
+@pytest.mark.parametrize("texts_in_shard", [700, 1 << 13])
+def test_toxicity_learns_from_every_label(spark, monkeypatch, texts_in_shard):
+    """Each of many toxic words is in few texts, so that a part of the labels would not do."""
+    vile = [hashlib.md5(b"%d" % i).hexdigest()[:9] for i in range(40)]
+
+    def clean(rng):
+        return " ".join(words(rng, 25))
+
+    def bad(rng):
+        return f"{clean(rng)} {rng.choice(vile)} {clean(rng)}"
+
+    monkeypatch.setattr(toxicity, "PER_CLASS", 100)
+    monkeypatch.setattr(toxicity, "SHARD_TEXTS", texts_in_shard, raising=False)
+    texts, labels = labelled(spark, bad, clean, "toxic", 3000)
+    model = toxicity.fit_toxicity(texts, labels, f"NOT ({toxicity.HELD_OUT})")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [
+        r
+        for r in toxicity.score_toxicity(texts, model).collect()
+        if zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    ]
+    assert sum((r.score >= r.threshold) == truth[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    def clean(rng):
+        return " ".join(words(rng, 9000))
+
+    def bad(rng):
+        return f"{clean(rng)} vileword"
+
+    texts, labels = labelled(spark, bad, clean, "toxic", 90)
+    assert texts.selectExpr("min(length(text)) AS n").first().n > 1 << 15
+    model = toxicity.fit_toxicity(texts, labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(texts, model).collect()}
+    assert min(s for d, s in scores.items() if truth[d]) > max(
+        s for d, s in scores.items() if not truth[d]
+    )
+
+
+def test_ranks_of_scores_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", 50)
+    monkeypatch.setattr(toxicity, "SORTED", 64)
+    rng = random.Random(6)
+    made = [
+        (rng.choice(["en", "de", None]), int(rng.random() < 0.2), round(rng.random(), 2))
+        for _ in range(700)
+    ]
+    found = toxicity._ranked(
+        spark.createDataFrame(made, "lang string, y int, score double"), Store(spark)
+    )
+    for whole, lang in ((True, ""), (False, "en"), (False, "de")):
+        for y in (0, 1):
+            own = sorted(s for at, c, s in made if c == y and (whole or at == lang))
+            n, m = len(own), min(len(own), 50)
+            rows = found.query("whole == @whole and lang == @lang and y == @y")
+            assert set(rows["n"]) == {n}
+            even = rows[rows["even"]]["score"]
+            assert sorted(even) == [own[(2 * i + 1) * n // (2 * m)] for i in range(m)]
+            assert list(rows[rows["safe"]]["score"]) == ([] if y else [own[n - 1 - n // 100]])
+
+
 def test_quality(spark, docs, rows, empty):
     def good(rng):
         return " ".join(words(rng, 40)) + "."
