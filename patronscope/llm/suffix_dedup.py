@@ -4,15 +4,15 @@ Strings of ``LENGTH`` bytes are compared by position, so a copy is found whereve
 such string is filed under its seed, the least-hashed short string inside it; equal strings have
 equal seeds at equal offsets, so a string whose seed occurs once in the corpus is unique. Strings
 that share a seed and their surroundings come as one stretch, and only its first occurrence goes
-on. Of what remains, the suffixes of a bounded block are sorted one bucket at a time by their first
+on. A stretch is then cut in four by where the seed lies in its strings; all strings of such a piece
+have some 83 bytes in common, under whose hash it is filed again, and one that is alone there is
+unique. Of what remains, the suffixes of a bounded block are sorted one bucket at a time by their first
 bytes; longer ties are resolved by the ranks of a difference-cover sample of the suffixes, which
 were computed before.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +25,10 @@ LENGTH = 100
 SEED = 32
 # Period of the difference cover; suffixes are first sorted by so many bytes.
 PERIOD = 32
-# Stretches that one task sorts together, some 170 bytes each.
-BLOCK = 6000
+# Starts of a piece: its strings have their seed after ``PIECE * i`` to ``PIECE * (i + 1) - 1`` bytes.
+PIECE = -(-(LENGTH - SEED + 1) // 4)
+# Pieces that one task sorts together, some 115 bytes each; those of one key may be ``CROWD`` times more.
+BLOCK, CROWD = 6000, 4
 # Id of documents without one: after all others.
 LAST = (1 << 63) - 1
 
@@ -52,14 +54,15 @@ SHIFT = np.array(
 
 
 def stretches(b: Buffer) -> tuple[np.ndarray, ...]:
-    """(first start, starts, hash of the seed, hash of the bytes) of the stretches in a buffer.
+    """(first start, starts, hash of the seed, hash of the bytes, place of the seed after the first
+    start) of the stretches in a buffer.
 
     A stretch is a run of starts in one text whose strings have the same occurrence of a seed.
     """
     size = len(b.bytes)
     n = size - LENGTH + 1
     if n <= 0:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     sums, down = prefix_sums(BYTE_VALUES[b.bytes])
     hashes = mix((sums[SEED:] - sums[:-SEED]) * down[: size - SEED + 1])
     # The place in the low bits makes the leftmost of equal seeds the least.
@@ -77,14 +80,14 @@ def stretches(b: Buffer) -> tuple[np.ndarray, ...]:
     edges[b.end[long] - LENGTH + 1] -= 1
     starts = np.flatnonzero(np.cumsum(edges)[:n])
     if not len(starts):
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     seed = seed[starts]
     cut = np.flatnonzero((np.diff(seed) != 0) | (np.diff(starts) != 1)) + 1
     lo, hi = starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)]
     at = seed[np.append(0, cut)]
     whole = span_hash(sums, down, lo, hi + LENGTH)
     whole = mix(whole + (at - lo).astype(np.uint64))
-    return lo, hi - lo + 1, hashes[at].view(np.int64), whole.view(np.int64)
+    return lo, hi - lo + 1, hashes[at].view(np.int64), whole.view(np.int64), at - lo
 
 
 def _strings(column: pd.Series) -> list[str | None]:
@@ -95,59 +98,75 @@ def _file(batches):
     for rows in batches:
         ids, copies = rows["id"].to_numpy(), rows["copy"].to_numpy()
         for b in buffers(_strings(rows["text"])):
-            lo, n, seed, whole = stretches(b)
+            lo, n, seed, whole, after = stretches(b)
             text = np.searchsorted(b.start, lo, side="right") - 1
             yield pd.DataFrame(
                 {
                     "id": ids[b.first + text],
                     "copy": copies[b.first + text],
                     "lo": (lo - b.start[text]).astype(np.int32),
-                    "n": n.astype(np.int32),
+                    # Both are below 128; one column instead of two is less to shuffle.
+                    "span": (n | after << 8).astype(np.int32),
                     "seed": seed,
                     "whole": whole,
                 }
             )
 
 
-def _cut_out(groups: int):
-    """The bytes of wanted stretches. Those of a crowded seed go string by string."""
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for id_, copy, text, wanted in zip(
-                rows["id"], rows["copy"], rows["text"], rows["wanted"], strict=True
-            ):
-                data = text.encode("utf-8", "replace")
-                for w in wanted:
-                    lo, n = w["lo"], w["n"]
-                    if not w["crowded"]:
-                        place = w["seed"] % groups
-                        out.append((place, id_, copy, lo, n, data[lo : lo + n + LENGTH - 1]))
-                        continue
-                    for start in range(lo, lo + n):
-                        own = data[start : start + LENGTH]
-                        digest = hashlib.blake2b(own, digest_size=8).digest()
-                        place = int.from_bytes(digest) % groups
-                        out.append((place, id_, copy, start, 1, own))
-            yield pd.DataFrame(out, columns=["place", "id", "copy", "lo", "n", "data"])
-
-    return run
+def _cut_out(batches):
+    """The pieces of wanted stretches, with a hash of what all strings of a piece have in common."""
+    for rows in batches:
+        ids, copies = rows["id"].to_numpy(), rows["copy"].to_numpy()
+        wanted = rows["wanted"].tolist()
+        for b in buffers(_strings(rows["text"])):
+            sums, down = prefix_sums(BYTE_VALUES[b.bytes])
+            own = wanted[b.first : b.last]
+            text = np.repeat(np.arange(b.last - b.first), [len(w) for w in own])
+            lo, span = np.array([(w["lo"], w["span"]) for ws in own for w in ws], np.int64).T
+            lo, n, after = b.start[text] + lo, span & 255, span >> 8
+            for i in range(-(-(LENGTH - SEED + 1) // PIECE)):
+                # Bytes before the seed in this piece's strings.
+                least, most = PIECE * i, min(PIECE * (i + 1) - 1, LENGTH - SEED)
+                first = np.maximum(lo, lo + after - most)
+                last = np.minimum(lo + n - 1, lo + after - least)
+                has = first <= last
+                first, last, seed, of = first[has], last[has], (lo + after)[has], text[has]
+                key = span_hash(sums, down, seed - least, seed - most + LENGTH)
+                yield pd.DataFrame(
+                    {
+                        "key": mix(key + np.uint64(i)).view(np.int64),
+                        "id": ids[b.first + of],
+                        "copy": copies[b.first + of],
+                        "lo": (first - b.start[of]).astype(np.int32),
+                        "n": (last - first + 1).astype(np.int32),
+                        "data": [
+                            b.bytes[s:e].tobytes()
+                            for s, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)
+                        ],
+                    }
+                )
 
 
 class CoverSample:
-    """Ranks and common prefixes of the suffixes at a text's cover positions, to LENGTH bytes."""
+    """Ranks and common prefixes of the suffixes at cover positions, to LENGTH bytes.
+
+    Only positions less than PERIOD after one of ``starts`` are ever asked for, so only those are
+    sampled.
+    """
 
     WORDS = -(-LENGTH // 8)
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, starts: np.ndarray):
         padded = np.append(text, np.zeros(8 * self.WORDS + PERIOD + 8, dtype=np.uint8))
         n = len(text)
         # Eight bytes from every position on, most significant first.
         self.words = np.zeros(len(padded) - 8, dtype=np.uint64)
         for i in range(8):
             self.words = (self.words << np.uint64(8)) | padded[i : i + len(self.words)]
-        at = np.flatnonzero(_IN_COVER[np.arange(n) % PERIOD])
+        near = np.zeros(n + PERIOD + 1, dtype=np.int32)
+        near[starts] += 1
+        near[starts + PERIOD] -= 1
+        at = np.flatnonzero(_IN_COVER[np.arange(n) % PERIOD] & (np.cumsum(near)[:n] > 0))
         columns = [self.words[at + 8 * c] for c in range(self.WORDS)]
         order = np.lexsort(columns[::-1])
         self.rank = np.full(n, -1, dtype=np.int64)
@@ -190,7 +209,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     if not len(starts):
         return starts
-    sample, found = CoverSample(text), []
+    sample, found = CoverSample(text, starts), []
     for byte in np.unique(text[starts]):
         bucket = starts[text[starts] == byte]
         columns = [sample.words[bucket + 8 * c] for c in range(PERIOD // 8)]
@@ -225,8 +244,14 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sort_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of starts whose string occurs earlier, in a block of stretches."""
+    """Runs of starts whose string occurs earlier, in a block of pieces; equal ones aren't sorted."""
     rows = rows.sort_values(["id", "copy", "lo"], ignore_index=True)
+    equal = rows["data"].duplicated()
+    names = ["id", "copy", "lo", "n"]
+    return pd.concat([rows.loc[equal, names], _sorted_runs(rows[~equal].reset_index(drop=True))])
+
+
+def _sorted_runs(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = rows["data"].map(len).to_numpy()
     text = np.frombuffer(b"".join(rows["data"]), dtype=np.uint8)
     base, n = np.cumsum(sizes) - sizes, rows["n"].to_numpy(np.int64)
@@ -310,33 +335,50 @@ def repeated_strings(numbered: DataFrame, store: Store) -> DataFrame:
     texts = numbered.selectExpr("_own_id AS id", "_own_copy AS copy", "text")
     place = "struct(id, copy, lo)"
     filed = texts.mapInPandas(
-        _file, "id long, copy int, lo int, n int, seed long, whole long"
+        _file, "id long, copy int, lo int, span int, seed long, whole long"
     ).repartition("seed").sortWithinPartitions("seed", "whole")
     marked = filed.selectExpr(
         "*",
         "min(whole) OVER (PARTITION BY seed) <> max(whole) OVER (PARTITION BY seed) AS varied",
     ).selectExpr("*", f"min({place}) OVER (PARTITION BY seed, whole) = {place} AS first")
-    marked = store.save(marked.filter("varied OR NOT first").drop("whole", "varied"), "marked")
-    again = marked.filter("NOT first").select("id", "copy", "lo", "n")
+    marked = store.save(
+        marked.filter("varied OR NOT first").drop("seed", "whole", "varied"), "marked"
+    )
+    again = marked.filter("NOT first").selectExpr("id", "copy", "lo", "span & 255 AS n")
     open_ = marked.filter("first")
-    crowds = open_.groupBy("seed").agg(F.count("*").alias("m")).filter(f"m > {BLOCK}")
-    crowds = store.save(crowds.selectExpr("seed", "true AS crowded"), "crowds")
-    few = crowds.count() <= SENDABLE_ROWS
-    wanted = (
-        open_.join(F.broadcast(crowds) if few else crowds, "seed", "left")
-        .groupBy("id", "copy")
-        .agg(
-            F.expr(
-                "collect_set(struct(lo, n, seed, coalesce(crowded, false) AS crowded))"
-            ).alias("wanted")
-        )
+    wanted = open_.groupBy("id", "copy").agg(
+        F.expr("collect_set(struct(lo, span))").alias("wanted")
     )
-    groups = parts_for(open_.count(), BLOCK)
     owners = rows_with_keys(texts, open_.select("id", "copy").distinct(), ["id", "copy"])
     pieces = owners.dropDuplicates(["id", "copy"]).join(wanted, ["id", "copy"]).mapInPandas(
-        _cut_out(groups), "place long, id long, copy int, lo int, n int, data binary"
+        _cut_out, "key long, id long, copy int, lo int, n int, data binary"
+    )
+    pieces = store.save(pieces, "pieces")
+    repeated = store.save(
+        pieces.groupBy("key")
+        .agg(F.count("*").alias("m"), F.sum("n").alias("starts"))
+        .filter("m > 1")
+        .selectExpr("*", f"m > {CROWD * BLOCK} AS crowded")
+        .selectExpr("key", "crowded", "IF(crowded, starts, m) AS size"),
+        "repeated",
+    )
+    known = repeated.agg(F.count("*").alias("keys"), F.sum("size").alias("size")).first()
+    groups = parts_for(known["size"] or 0, BLOCK)
+    keys = repeated.drop("size")
+    # Pieces of a crowded key go string by string, spread by content.
+    cut = (
+        pieces.join(F.broadcast(keys) if known["keys"] <= SENDABLE_ROWS else keys, "key")
+        .selectExpr("*", "explode(IF(crowded, sequence(0, n - 1), array(0))) AS i")
+        .selectExpr(
+            "id", "copy", "CAST(lo + i AS INT) AS lo", "IF(crowded, 1, n) AS n", "key", "crowded",
+            f"IF(crowded, substring(data, i + 1, {LENGTH}), data) AS data",
+        )
+        .selectExpr(
+            f"pmod(IF(crowded, xxhash64(data), key), {groups}) AS place",
+            "id", "copy", "lo", "n", "data",
+        )
     )
-    sorted_ = pieces.groupBy("place").applyInPandas(
+    sorted_ = cut.groupBy("place").applyInPandas(
         _sort_block, "id long, copy int, lo int, n int"
     )
     return again.unionByName(sorted_)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -132,6 +133,38 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert remove_repeats(empty, Store(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [60, 82, 100, 101, 150, 400])
+def test_pieces_of_repeated_strings_meet(shared):
+    """Pieces with a copy of one of their strings have another's key; few shared bytes do not do."""
+    rng = random.Random(shared)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = fresh(shared)
+    texts = [fresh(n) + passage + fresh(300) for n in (0, 130, 211)] + [fresh(50)]
+    (b,) = buffers(texts)
+    lo, n, _, _, after = suffix_dedup.stretches(b)
+    text = np.searchsorted(b.start, lo, side="right") - 1
+    assert sum(n) == sum(max(0, len(t) - 99) for t in texts)
+    wanted = [
+        [{"lo": at, "span": span} for at, span in zip(lo[own] - b.start[i], (n | after << 8)[own])]
+        for i, own in enumerate(text == np.arange(len(texts))[:, None])
+    ]
+    rows = pd.DataFrame({"id": range(len(texts)), "copy": 0, "text": texts, "wanted": wanted})
+    pieces = pd.concat(suffix_dedup._cut_out([rows[rows["wanted"].map(len) > 0]]))
+    assert pieces["n"].sum() == sum(n)
+    holders = {}
+    for key, id_, at, count, data in pieces[["key", "id", "lo", "n", "data"]].values:
+        assert data == texts[id_].encode()[at : at + count + 99]
+        for i in range(count):
+            holders.setdefault(data[i : i + 100], set()).add(key)
+    assert all(len(keys) == 1 for keys in holders.values())
+    met = pieces["key"].value_counts()
+    if shared < 83:
+        assert met.max() == 1
+    for i in range(shared - 99):
+        (key,) = holders[passage.encode()[i : i + 100]]
+        assert met[key] == 3
+
+
 def test_repeated_starts_against_a_dictionary(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
