@@ -209,7 +209,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     if not len(starts):
         return starts
-    sample, found = CoverSample(text, starts), []
+    sample, found = CoverSample(text, starts), [starts[:0]]
     for byte in np.unique(text[starts]):
         bucket = starts[text[starts] == byte]
         columns = [sample.words[bucket + 8 * c] for c in range(PERIOD // 8)]

@@ -182,6 +182,14 @@ def test_repeated_starts_against_a_dictionary(monkeypatch):
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
 
 
+def test_a_block_without_copies():
+    data = [bytes(range(i, i + 110)) for i in (1, 140)]
+    rows = pd.DataFrame({"id": [0, 1], "copy": 0, "lo": 0, "n": 11, "data": data})
+    assert not len(suffix_dedup._sort_block(rows))
+    found = suffix_dedup._sort_block(pd.concat([rows, rows.assign(id=[5, 6])]))
+    assert found[["id", "lo", "n"]].values.tolist() == [[5, 0, 11], [6, 0, 11]]
+
+
 def test_crowded_seeds_give_the_same(spark, docs, monkeypatch):
     whole = {(r.doc_id, r.text, r.n_removed) for r in remove_repeats(docs, Store(spark)).collect()}
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1)
